@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         ends = e.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("v")))
-        step = ends.groupBy("node").agg(best.alias("m")).select("node", F.when(F.col("m.h") < F.xxhash64("node"), F.col("m.v")).otherwise(F.col("node")).alias("parent"))
+        own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
+        step = ends.groupBy("node").agg(best.alias("m")).select("node", F.least("m", own)["v"].alias("parent"))
         step = written(step)
         steps.append(step)
         a, b = (step.select(F.col("node").alias(k), F.col("parent").alias(f"p{k}")) for k in "ab")
