@@ -1,17 +1,27 @@
-"""The queries of the corpus operators, with SQL where SQL can express them."""
+"""The queries of the corpus operators and the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from newsfold.llm import exact_dedup, simhash, token_counts
+from newsfold.llm import byte_bpe, exact_dedup, html_text, packing, quality_model, quality_rules, sharding, simhash, substring_dedup, token_counts
 
 
 def queries():
+    import corpus_pipeline
+
     return {
         "op1_exact_dedup": exact_dedup.op1,
         "op2_token_counts": token_counts.op2,
         "op3_simhash_near_dedup": simhash.op3,
+        "op4_quality_model": quality_model.op4,
+        "op5_byte_bpe": byte_bpe.op5,
+        "op6_quality_rules": quality_rules.op6,
+        "op7_html_text": html_text.op7,
+        "op8_substring_dedup": substring_dedup.op8,
+        "op9_packing": packing.op9,
+        "op10_sharding": sharding.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_quality_rules": quality_rules.OP6_SQL}
