@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsfold.plans import core
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = core.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
