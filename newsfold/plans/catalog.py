@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsfold.plans import core
+from newsfold.plans import core, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = core.QUERIES
+_ALL = core.QUERIES | pages.QUERIES
 
 
 def queries() -> dict[str, Query]:
