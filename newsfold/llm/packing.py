@@ -14,6 +14,7 @@ lengths up to the class and the last patterns leave.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,9 @@ from newsfold.llm.text import documents
 LENGTH, END_ID, GRAIN = 2048, 1, 8
 #: Patterns that the linear program prices at most; the plan stays valid when it stops there.
 MAX_COLUMNS = 3000
-#: Chunks of text that a worker remembers.
-REMEMBER = 400_000
+#: Chunks, and pieces of them, that a worker remembers.
+REMEMBER = 600_000
+STOPS = ".,;:!?"
 
 
 @lru_cache(maxsize=2)
@@ -41,27 +43,34 @@ def tokenizer(path: str):
 class Encoder:
     """Ids of texts as the library gives them, without added special tokens.
 
-    The pre-tokenizer splits at every space and line end, so the chunks between them encode by themselves. New chunks are
-    encoded in one call with a special token between them, which cuts the ids; the others are looked up.
+    The pre-tokenizer splits at every space and line end, so the chunks between them encode by themselves, each as the
+    chain of its pieces. Chunks and pieces seen before are looked up; a new piece goes to the library's model. Letters
+    of ASCII, with or without a stop behind them, need no normaliser and splitter; chunks that may hold a special
+    token go to the library whole.
     """
 
-    def __init__(self, path: str, between: str = "<|endoftext|>"):
-        self.tok, self.between = tokenizer(path), between
-        self.cut = self.tok.token_to_id(between)
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<" not in c and ">" not in c]
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = self._ids(self.between.join(part))
-            for c, x in zip(part, np.split(ids, np.flatnonzero(ids == self.cut)), strict=True):
-                self.known[c] = x[x != self.cut].tobytes()
-        for c in set(chunks).difference(plain):
-            self.known[c] = self._ids(c).tobytes()
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) > REMEMBER:
+                self.pieces.clear()
+            got = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+        return got
+
+    def _chunk(self, c: str) -> bytes:
+        if c.isascii():
+            if c.isalpha():
+                return self._piece(c.lower())
+            if c[-1] in STOPS and c[:-1].isalpha():
+                return self._piece(c[:-1].lower()) + self._piece(c[-1])
+        if "<" in c or ">" in c:
+            return array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes()
+        return b"".join(self._piece(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(c)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -70,22 +79,27 @@ class Encoder:
             cut = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
             if len(self.known) > REMEMBER:
                 self.known = {"": b""}
-            new = set().union(*cut).difference(self.known)
-            if new:
-                self._learn(list(new))
+            for c in set().union(*cut).difference(self.known):
+                self.known[c] = self._chunk(c)
             out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: it keeps what it has learnt from one task to the next."""
+    return Encoder(path)
+
+
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of the pieces of every row: full sequences and a rest."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
-            for k, b in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for k, b in enumerate(encode(batch.column("text").to_pylist())):
                 b += end
                 n = len(b) // 4
                 rows += [(k, s, min(length, n - s), zlib.crc32(b[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
@@ -218,9 +232,9 @@ def sequences(docs: DataFrame, placed: DataFrame, path: str, length: int = LENGT
     """
 
     def run(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
-            ids = [np.frombuffer(b, "<u4").astype(np.int32).tolist() + [end_id] for b in encoder.encode(batch.column("text").to_pylist())]
+            ids = [np.frombuffer(b, "<u4").astype(np.int32).tolist() + [end_id] for b in encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     coded = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
