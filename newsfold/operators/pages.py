@@ -95,8 +95,9 @@ def paywall_evidence(pages: DataFrame) -> DataFrame:
 def trigrams(docs: DataFrame, *keep: str) -> DataFrame:
     """docs' (keep..., gram) of every three characters of the lower-cased words."""
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " ")), F.lit(" "))
-    rows = docs.select(*keep, t.alias("__t")).where(F.length("__t") >= 3)
-    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("__t") - 2), lambda i: F.substr("__t", i, F.lit(3)))).alias("gram"))
+    # characters as an array: to find the i-th character of a string takes i steps
+    rows = docs.select(*keep, F.filter(F.split(t, ""), lambda c: c != "").alias("__c")).where(F.size("__c") >= 3)
+    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(F.get("__c", i), F.get("__c", i + 1), F.get("__c", i + 2)))).alias("gram"))
 
 
 def language_profiles(docs: DataFrame) -> DataFrame:
