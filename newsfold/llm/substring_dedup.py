@@ -29,8 +29,6 @@ from newsfold.functions.runtime import written
 from newsfold.llm.text import documents
 
 RUN, MIN_WORDS, LONG_WORDS = 3, 12, 40
-#: Removed sentences (12 bytes each) that may be broadcast.
-BROADCAST_SENTENCES = 1_000_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
@@ -118,13 +116,11 @@ def _cut_all(text: pd.Series, gone: pd.Series) -> pd.Series:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated sentences cut out of ``text``, and ``__gone``: the numbers of the sentences that went (or null).
 
-    Texts that lose nothing stay as they are. The numbers of removed sentences go to the documents where they are few
-    (they are counted); else both sides shuffle by id.
+    Texts that lose nothing stay as they are. Texts and removed sentences meet by id, at any size in the same way; Spark
+    sends the sentences to the texts only where it knows them to be few.
     """
-    gone = covered(docs)
-    few = gone.limit(BROADCAST_SENTENCES + 1).count() <= BROADCAST_SENTENCES
-    lists = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list("at")).alias("__gone"))
-    joined = docs.join(F.broadcast(lists) if few else lists, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    lists = covered(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list("at")).alias("__gone"))
+    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col("__id"), "left")
     left = F.pandas_udf(_cut_all, "string")("text", "__gone")
     return joined.select(*[left.alias("text") if c == "text" else F.col(c) for c in docs.columns], "__gone")
 
