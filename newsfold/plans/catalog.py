@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsfold.plans import core, documents, pages
+from newsfold.plans import core, documents, pages, titles
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = core.QUERIES | pages.QUERIES | documents.QUERIES
+_ALL = core.QUERIES | pages.QUERIES | documents.QUERIES | titles.QUERIES
 
 
 def queries() -> dict[str, Query]:
