@@ -34,7 +34,7 @@ def title_suspicious(title: Column) -> Column:
 def sentences(text: Column) -> Column:
     """By line, then after . ! ? before a space; trimmed, without empty ones."""
     lines = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.split(x, r"(?<=[.!?])\s+")))
-    return F.filter(F.transform(lines, F.trim), lambda s: s != "")
+    return F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def local_time_text(ts: Column, now: Column, zone: str = "Europe/Helsinki") -> Column:

@@ -152,8 +152,8 @@ def change_report(upserted: DataFrame, removed: DataFrame) -> DataFrame:
     return lines(upserted, "upserted").unionByName(lines(removed, "removed"))
 
 
-def read_catalogue(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
-    """The entries of a catalogue document (status, schema_version, updated, entries[]) in their order, with ``as_of``.
+def read_catalogue(spark: SparkSession, path: str, now: Column | None = None, lines: bool = False) -> DataFrame:
+    """The entries of a catalogue document (one a file, or with ``lines`` one a line: status, schema_version, updated, entries[]) in their order, with ``as_of``.
 
     A path without a document is an empty catalogue.
     """
@@ -161,7 +161,7 @@ def read_catalogue(spark: SparkSession, path: str, now: Column | None = None) ->
     entry = f"struct<updated: timestamp_ntz, urls: array<{url}>, title: string, clickbaitiness: string, labels: array<string>, outlet: string>"
     schema = f"status string, schema_version string, updated timestamp_ntz, entries array<{entry}>"
     try:
-        doc = spark.read.schema(schema).json(path, multiLine=True)
+        doc = spark.read.schema(schema).json(path, multiLine=not lines)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsfold.plans import core, documents, pages, titles, wiki
+from newsfold.plans import core, documents, feeds, pages, titles, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = core.QUERIES | pages.QUERIES | documents.QUERIES | titles.QUERIES | wiki.QUERIES
+_ALL = core.QUERIES | pages.QUERIES | documents.QUERIES | titles.QUERIES | wiki.QUERIES | feeds.QUERIES
 
 
 def queries() -> dict[str, Query]:
