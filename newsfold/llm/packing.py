@@ -26,10 +26,10 @@ from newsfold.functions.runtime import parts, ranked, written
 from newsfold.llm.text import documents
 
 LENGTH, END_ID, GRAIN = 2048, 1, 8
-#: Patterns that the linear program prices at most; the plan stays valid when it stops there.
-MAX_COLUMNS = 3000
+#: Patterns that the knapsack prices at most; the plan stays valid when it stops there.
+MAX_COLUMNS = 1500
 #: Chunks, and pieces of them, that a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 300_000
 STOPS = ".,;:!?"
 
 
@@ -130,14 +130,34 @@ def _best_pattern(y: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(f[room]), a
 
 
+def _greedy_patterns(sizes: np.ndarray, room: int) -> np.ndarray:
+    """A column for each class and number of its items: these, and then the largest classes that still fit."""
+    out = []
+    for i, size in enumerate(sizes):
+        for n in range(1, room // size + 1):
+            a, free = np.zeros(len(sizes)), room - n * size
+            a[i] = n
+            while (k := int(np.searchsorted(sizes, free, side="right")) - 1) >= 0:
+                a[k] += free // sizes[k]
+                free %= sizes[k]
+            out.append(a)
+    return np.stack(out, axis=1)
+
+
 def column_generation(need: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and how often to use each, a basic optimum of the linear relaxation."""
     m = len(sizes)
     columns = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / columns.diagonal())
     x = inverse @ need
-    for _ in range(MAX_COLUMNS):
-        worth, a = _best_pattern(inverse.sum(axis=0), sizes, room)
+    pool, priced = _greedy_patterns(sizes, room), 0
+    while priced < MAX_COLUMNS:
+        y = inverse.sum(axis=0)
+        worths = y @ pool  # what lies at hand is cheaper to price than a new pattern
+        a, worth = pool[:, worths.argmax()], worths.max()
+        if worth <= 1 + 1e-7:
+            worth, a = _best_pattern(y, sizes, room)
+            priced += 1
         if worth <= 1 + 1e-7:
             break
         d = inverse @ a
