@@ -46,12 +46,17 @@ class Codec:
         ranks = self.ranks
         if len(data) > 2 * LEAF:
             return self._merge_long(data)
+        none = 1 << 62
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = min(((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if least == 1 << 62:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
@@ -115,13 +120,19 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+@lru_cache(maxsize=1)
+def codec(ranks_path: str, pattern: str) -> Codec:
+    """The worker's codec: it keeps what it has learnt from one task to the next."""
+    return Codec(load_ranks(ranks_path), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row; null text is empty and has no ids; repeated rows are repeated."""
 
     def run(batches):
-        codec = Codec(load_ranks(ranks_path), pattern)
+        encode = codec(ranks_path, pattern).encode
         for batch in batches:
-            ids = [pa.array(codec.encode(t.as_py() or "").astype(np.int32)) for t in batch.column("text")]
+            ids = [pa.array(encode(t.as_py() or "").astype(np.int32)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.to_pylist() for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -135,14 +146,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        codec = Codec(load_ranks(ranks_path), pattern)
+        own = codec(ranks_path, pattern)
         for batch in batches:
             n, coded, decoded = [], [], []
             for t in batch.column("text"):
-                ids = codec.encode(t.as_py() or "")
+                ids = own.encode(t.as_py() or "")
                 n.append(len(ids))
                 coded.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids.tolist())).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
