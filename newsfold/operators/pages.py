@@ -111,11 +111,13 @@ def language_profiles(docs: DataFrame) -> DataFrame:
 def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, detected): the language whose profile makes the text's trigrams likeliest; null if none is known.
 
-    Every gram of a profile gets a row for each language. That table has a few hundred rows a language, so it goes to
+    A gram of any profile gets a column for each language. That table has a few hundred rows a language, so it goes to
     the texts, whose grams aren't shuffled.
     """
-    langs = profiles.select("language").distinct()
-    table = profiles.select("gram").distinct().crossJoin(F.broadcast(langs)).join(profiles, ["gram", "language"], "left").select("gram", "language", F.coalesce("logp", F.ln(F.lit(UNSEEN))).alias("logp"))
-    scores = trigrams(docs, key).join(F.broadcast(table), "gram").groupBy(key, "language").agg(F.sum("logp").alias("s"))
-    best = scores.groupBy(key).agg(F.max_by("language", F.struct(F.round("s", 6), "language")).alias("detected"))
+    langs = sorted(r.language for r in profiles.select("language").distinct().collect())  # a row a language
+    if not langs:
+        return docs.select(key, F.lit(None).cast("string").alias("detected"))
+    wide = profiles.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("language") == x, F.col("logp"))), F.ln(F.lit(UNSEEN))).alias(f"__{k}") for k, x in enumerate(langs)])
+    sums = trigrams(docs, key).join(F.broadcast(wide), "gram").groupBy(key).agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in range(len(langs))])
+    best = sums.select(key, F.array_max(F.array(*[F.struct(F.round(f"__{k}", 6).alias("s"), F.lit(x).alias("l")) for k, x in enumerate(langs)]))["l"].alias("detected"))
     return docs.select(key).join(best, key, "left")

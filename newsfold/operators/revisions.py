@@ -123,7 +123,8 @@ def align_revisions(pairs: DataFrame) -> DataFrame:
     l, r = left.select("pair_id", "a", F.col("s").alias("clean")), right.select("pair_id", "b", F.col("s").alias("changed"))
     ratio = 1 - F.levenshtein("clean", "changed") / F.greatest(F.length("clean"), F.length("changed"))
     # a ratio above the threshold bounds the lengths, which is cheap to see first
-    close = l.join(r, "pair_id").where(F.least(F.length("clean"), F.length("changed")) > ALIGNED * F.greatest(F.length("clean"), F.length("changed"))).withColumn("ratio", ratio).where(F.col("ratio") > ALIGNED)
+    near = l.join(r, "pair_id").where(F.least(F.length("clean"), F.length("changed")) > ALIGNED * F.greatest(F.length("clean"), F.length("changed")))
+    close = near.withColumn("ratio", ratio).where(F.col("ratio") > ALIGNED)
     best = close.groupBy("pair_id", "b").agg(F.max_by(F.struct("a", "clean", "changed", "ratio"), F.struct("ratio", (-F.col("a")).alias("n"))).alias("m")).select("pair_id", "b", "m.*")
     deleted = l.join(best.select("pair_id", "a").distinct(), ["pair_id", "a"], "left_anti")
     inserted = r.join(best.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
