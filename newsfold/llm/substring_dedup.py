@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at line ends and after . ! ? before white space). Every run of ``RUN`` consecutive
-sentences with at least ``MIN_WORDS`` words is a span, and so are runs of one or two sentences that are long by
-themselves. Spans are hashed (128 bits, white space made single, A-Z lower-cased) and joined globally: the first holder
-of a hash, by (doc_id, place), keeps its sentences; sentences that any other holder covers are removed there.
+A text is cut into sentences (at line ends and after . ! ? before white space). A span is the shortest run from a
+sentence on that has ``RUN`` sentences and ``MIN_WORDS`` words at least, and for a line's last sentence also the shortest
+such run that ends with it, so that a passage's end is covered too; a sentence of ``LONG_WORDS`` words is a span by itself.
+The word bound leaves common lines alone. Spans are hashed (128 bits, white space made single, A-Z lower-cased) and joined
+globally: the first holder of a hash, by (doc_id, place), keeps its sentences; sentences that any other holder covers are
+removed there.
 
 Repeats inside one text are seen while it is read. So the join needs one row per document and hash; the least doc_id of
 a hash is combined before the shuffle, and the join back is a plain equi-join that Spark can split where one passage
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from newsfold.functions.runtime import written
 from newsfold.llm.text import documents
 
-RUN, MIN_WORDS, LONG_WORDS = 3, 12, 40
+RUN, MIN_WORDS, LONG_WORDS = 2, 18, 40
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
@@ -48,18 +50,30 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def spans(text: str) -> list[tuple[bytes, int, int]]:
     """(hash, first sentence, sentences) of the spans of a text."""
-    parts = [text[a:b].encode().lower().split() for a, b in sentences(text)]
-    size = [len(p) for p in parts]
-    line = [b" ".join(p) for p in parts]
-    out = []
+    where = sentences(text)
+    parts = [text[a:b].encode().lower().split() for a, b in where]
+    size, line = [len(p) for p in parts], [b" ".join(p) for p in parts]
+    runs, words, end = [], 0, 0
     for i in range(len(parts)):
+        while end < len(parts) and (words < MIN_WORDS or end - i < RUN):
+            words += size[end]
+            end += 1
+        if words >= MIN_WORDS and end - i >= RUN:
+            runs.append((i, end - i))
+        words -= size[i]
         if size[i] >= LONG_WORDS:
-            out.append((xxhash.xxh3_128_digest(line[i]), i, 1))
-        if i + 1 < len(parts) and size[i] + size[i + 1] >= LONG_WORDS:
-            out.append((xxhash.xxh3_128_digest(line[i] + b"\n" + line[i + 1]), i, 2))
-        if i + RUN <= len(parts) and sum(size[i : i + RUN]) >= MIN_WORDS:
-            out.append((xxhash.xxh3_128_digest(b"\n".join(line[i : i + RUN])), i, RUN))
-    return out
+            runs.append((i, 1))
+    forward = set(runs)
+    for k in range(len(parts)):
+        if k + 1 < len(parts) and "\n" not in text[where[k][1] : where[k + 1][0]]:
+            continue
+        i, words = k + 1, 0
+        while i > 0 and (words < MIN_WORDS or k + 1 - i < RUN):
+            i -= 1
+            words += size[i]
+        if words >= MIN_WORDS and k + 1 - i >= RUN and (i, k + 1 - i) not in forward:
+            runs.append((i, k + 1 - i))
+    return [(xxhash.xxh3_128_digest(b"\n".join(line[i : i + n])), i, n) for i, n in sorted(runs)]
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
