@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from newsfold.functions.runtime import parts, small, written
 from newsfold.llm import fuse
-from newsfold.llm.text import ascii_lower, body, documents, without
+from newsfold.llm.text import ascii_lower, body, documents
 
 #: Digests in a bucket, about: what one task builds a filter over.
 BUCKET_DIGESTS = 100_000
@@ -129,8 +129,13 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts the largest doc_id stays."""
-    return without(docs, written(exact_dedup(docs).where("not kept").select("doc_id")))
+    """docs without the copies: of equal texts the largest doc_id stays.
+
+    A row goes by its id and its text, so that another text under the same id stays; rows with a null id go if a row
+    with an id has their text.
+    """
+    gone = written(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (sha256(normalised()) == F.col("__digest")), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

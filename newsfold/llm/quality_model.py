@@ -196,7 +196,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return without(docs, written(classify(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()))
+    """docs without those that the model rejects.
+
+    Rows that repeat a doc_id go only if each of them would; rows with a null id stay.
+    """
+    best = classify(docs, labels).where("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("best"))
+    return without(docs, written(best.where("best = 0").select("doc_id")))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -254,9 +254,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> Data
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
-    near = near_duplicates(docs)
-    return without(docs, written(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id")))
+    """docs with one document of each component: the one with the smallest id.
+
+    Rows that repeat a doc_id go only if each of them would; rows with a null id stay.
+    """
+    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+    near = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(stays)
+    return without(docs, written(near.where("not stays").select("doc_id")))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
