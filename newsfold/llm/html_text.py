@@ -23,6 +23,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text to read.
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video map select textarea button option head title".split())
+#: Silent elements that may lie in their like; a second start tag of any other tells that the first one was left open.
+NESTING = frozenset("canvas object svg template".split())
 #: Elements beside the article.
 BESIDE = frozenset("nav footer aside form menu dialog".split())
 #: Words in a class, id or role that name furniture.
@@ -31,7 +33,7 @@ NAMED = re.compile(
     re.I,
 )
 #: An opening tag ends these open ones.
-ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
+ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"])}
 #: An open tag that such an end doesn't reach through.
 WALLS = frozenset("table ul ol dl div article section main body td th blockquote".split())
 STOPS = re.compile(r"[.,;:!?…。，、]")
@@ -39,37 +41,92 @@ STOPS = re.compile(r"[.,;:!?…。，、]")
 HOLDS, LEAST = 0.6, 0.02
 
 
-class _Reader(HTMLParser):
-    """Collects blocks: (path, kept text). A path is a tuple of (tag, number of the element, furniture?)."""
+class _Tokens(HTMLParser):
+    """Collects the page's tags and text: (tag, attrs), (tag, None) of an end tag, (None, text)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []
-        self.blocks: list[tuple[tuple, list[str]]] = []
-        self.silent, self.count, self.fresh = 0, 0, True
+        self.tokens: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
+        self.tokens.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        self.tokens.append((tag, None))
+
+    def handle_data(self, data):
+        self.tokens.append((None, data))
+
+
+def _ended(tokens: list[tuple]) -> set[int]:
+    """The numbers of the silent start tags that an end tag of their own closes."""
+    stack: list[tuple[str, int]] = []
+    ended = set()
+    for at, (tag, attrs) in enumerate(tokens):
+        if tag not in SILENT or tag == "head":
+            continue
+        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+        if attrs is None:
+            if k is not None:
+                ended.add(stack[k][1])
+                del stack[k:]
+        else:
+            if k is not None and tag not in NESTING:
+                del stack[k:]
+            stack.append((tag, at))
+    return ended
+
+
+class _Reader:
+    """Collects blocks: (path, kept text). A path is a tuple of (tag, number of the element, furniture?)."""
+
+    def __init__(self, tokens: list[tuple]):
+        self.open: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[tuple, list[str]]] = []
+        #: Places of the silent elements in ``open``, and whether their own end tag comes.
+        self.silent: list[tuple[int, bool]] = []
+        self.count, self.fresh = 0, True
+        ended = _ended(tokens)
+        for at, (tag, what) in enumerate(tokens):
+            if tag is None:
+                self._data(what)
+            elif what is None:
+                self._end(tag)
+            else:
+                self._start(tag, what, at in ended)
+
+    def _start(self, tag, attrs, ended):
         if tag in VOID:
             self.fresh |= tag == "hr"
             if self.blocks and tag == "br":
-                self.handle_data("\n")
-            return
-        if tag in SILENT:
-            self.silent += tag != "head"  # what a head leaves open doesn't hide the body
-        elif self.silent:
+                self._data("\n")
             return
-        elif tag in INLINE:
-            if self._named(attrs):
+        if tag in INLINE:
+            if not self.silent and self._named(attrs):
                 self._push(tag, True)
             return
-        for k in range(len(self.open) - 1, -1, -1):
+        while self.silent and not self.silent[-1][1]:  # one that is never ended hides what comes up to the next block
+            self._cut(self.silent[-1][0])
+        floor = self.silent[-1][0] if self.silent else -1
+        for k in range(len(self.open) - 1, floor, -1):
             if self.open[k][0] in ENDS.get(tag, ()):
-                del self.open[k:]
+                self._cut(k)
                 break
             if self.open[k][0] in WALLS:
                 break
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
-        self._push(tag, tag in BESIDE or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and self._named(attrs))
+        if self.silent:
+            self._push(tag, False)
+        else:
+            inside = any(t in ("article", "main") for t, _, _ in self.open)
+            self._push(tag, tag in BESIDE or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and self._named(attrs))
+        if tag in SILENT and tag != "head":  # what a head leaves open doesn't hide the body
+            self.silent.append((len(self.open) - 1, ended))
+
+    def _cut(self, k):
+        del self.open[k:]
+        while self.silent and self.silent[-1][0] >= k:
+            self.silent.pop()
+        self.fresh = True
 
     def _push(self, tag, beside):
         self.count += 1
@@ -80,18 +137,16 @@ class _Reader(HTMLParser):
     def _named(attrs) -> bool:
         return any(k in ("class", "id", "role") and v and NAMED.search(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
 
-    def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - (tag != "head"))
-        for k in range(len(self.open) - 1, -1, -1):
+    def _end(self, tag):
+        floor = max((k for k, ended in self.silent if ended), default=0)  # an end tag in a silent element ends nothing outside
+        for k in range(len(self.open) - 1, floor - 1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
-                self.fresh = True
+                self._cut(k)
                 return
             if self.open[k][0] in WALLS and tag in ENDS and tag not in WALLS:
                 return
 
-    def handle_data(self, data):
+    def _data(self, data):
         if self.silent:
             return
         if self.fresh or not self.blocks:
@@ -104,13 +159,13 @@ class _Reader(HTMLParser):
 
 def blocks(html: str) -> list[tuple[tuple, str]]:
     """The page's text blocks (path, text), white space made single."""
-    r = _Reader()
+    r = _Tokens()
     try:
         r.feed(html)
         r.close()
     except Exception:  # markup that the parser gives up on: what came before it counts
         pass
-    return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in r.blocks) if t]
+    return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in _Reader(r.tokens).blocks) if t]
 
 
 def main_text(html: str | None) -> str:

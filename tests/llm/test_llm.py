@@ -269,6 +269,14 @@ def test_html_of_the_pages(spark, sf_dir):
     assert {(r.page_id, r.n_chars) for r in html_text.extract(none).collect()} == {(1, 0), (None, 1)} and html_text.extract(none.limit(0)).count() == 0
 
 
+def test_silent_elements_hide_only_themselves():
+    text = "<p>First text, long enough. Yes.</p>%s<p>More of it, too. And on.</p>"
+    want = "First text, long enough. Yes. More of it, too. And on."
+    for odd in ("<select><option>A<option>B</select>", "<datalist><option>A<option>B</datalist>", "<select><optgroup label=x><option>A<optgroup label=y><option>B</select>", "<noscript><div>no, no.</div></noscript>", "<noscript>no</div></article></noscript>", "<div><button>no</div>", "<button>no", "<noscript>no", "<iframe src=x>", "<object><object>no</object>", "<div><noscript><iframe src=x></noscript></div>", "<select><option>A</select>"):
+        assert html_text.main_text("<body><div><article><div>" + text % odd + "</div></article></div>") == want, odd
+    assert html_text.main_text("<article>" + text % "<button>A<p>no</p><button>B</button>" + "</article>") == "First text, long enough. Yes. no More of it, too. And on."
+
+
 # substrings
 
 
