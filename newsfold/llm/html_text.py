@@ -37,10 +37,17 @@ ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center de
 #: An open tag that such an end doesn't reach through.
 WALLS = frozenset("table ul ol dl div article section main body td th blockquote".split())
 STOPS = re.compile(r"[.,;:!?…。，、]")
+#: Character references of more digits than the parser's numbers may have.
+HUGE = re.compile(r"&#([0-9]{20,});?")
 #: The share of the whole that the main container keeps, and of the mean ratio that a path needs.
 HOLDS, LEAST = 0.6, 0.02
 
 
+def _sound(m: re.Match) -> str:
+    digits = m[1].lstrip("0")
+    return f"&#{digits};" if 0 < len(digits) < 8 else "\ufffd"
+
+
 class _Tokens(HTMLParser):
     """Collects the page's tags and text: (tag, attrs), (tag, None) of an end tag, (None, text)."""
 
@@ -48,6 +55,30 @@ class _Tokens(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tokens: list[tuple] = []
 
+    def read(self, html: str) -> list[tuple]:
+        """The tokens of the whole page."""
+        rest = HUGE.sub(_sound, html)
+        while rest:
+            self.reset()
+            try:
+                self.feed(rest)
+                self.close()
+                rest = ""
+            except Exception:  # markup that the parser gives up on is skipped, and what comes after it is read
+                rest = self.rawdata[(self.rawdata.find(">", self.at) + 1 or len(self.rawdata)) :]
+        return self.tokens
+
+    def goahead(self, end):
+        self.at = 0
+        super().goahead(end)
+
+    def updatepos(self, i, j):
+        self.at = j
+        return j
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, 0)  # as browsers do: up to the next >
+
     def handle_starttag(self, tag, attrs):
         self.tokens.append((tag, attrs))
 
@@ -159,13 +190,8 @@ class _Reader:
 
 def blocks(html: str) -> list[tuple[tuple, str]]:
     """The page's text blocks (path, text), white space made single."""
-    r = _Tokens()
-    try:
-        r.feed(html)
-        r.close()
-    except Exception:  # markup that the parser gives up on: what came before it counts
-        pass
-    return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in _Reader(r.tokens).blocks) if t]
+    r = _Reader(_Tokens().read(html))
+    return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in r.blocks) if t]
 
 
 def main_text(html: str | None) -> str:

@@ -277,6 +277,13 @@ def test_silent_elements_hide_only_themselves():
     assert html_text.main_text("<article>" + text % "<button>A<p>no</p><button>B</button>" + "</article>") == "First text, long enough. Yes. no More of it, too. And on."
 
 
+def test_odd_declarations_and_references_lose_nothing():
+    for odd in ("<![ foo ]>", "<![foo[x]]>", "<![>", "<![if IE>", "<![CDATA[ no >", "<![endif]>", "<!foo>", "<!>", "</ >", "<?x>"):
+        assert html_text.main_text(f"<p>First text, here.</p>{odd}<p>Second text, here.</p>") == "First text, here. Second text, here.", odd
+    for odd, sign in ((f"&#{'9' * 5000};", "\ufffd"), (f"&#{'0' * 5000}65;", "A"), (f"&#{'0' * 30};", "\ufffd")):
+        assert html_text.main_text(f"<p>First text, {odd}.</p><p>Second text, here.</p>") == f"First text, {sign}. Second text, here."
+
+
 # substrings
 
 
