@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,12 +27,14 @@ SILENT = frozenset("script style noscript template iframe object svg math canvas
 #: Silent elements that may lie in their like; a second start tag of any other tells that the first one was left open.
 NESTING = frozenset("canvas object svg template".split())
 #: Elements beside the article.
-BESIDE = frozenset("nav footer aside form menu dialog".split())
+BESIDE = frozenset("nav footer aside menu dialog".split())
 #: Words in a class, id or role that name furniture.
 NAMED = re.compile(
     r"(^|[\s_-])(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|replies|reply|respond|newsletter|subscribe|signup|login|search|popup|modal|overlay|paywall|toolbar|pagination|pager|complementary|contentinfo|banner)($|[\s_-])",
     re.I,
 )
+#: A name that tells of the furniture beside or of its absence.
+EXEMPT = re.compile(r"(^|[_-])(has|no|with|without)[_-]", re.I)
 #: An opening tag ends these open ones.
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"])}
 #: An open tag that such an end doesn't reach through.
@@ -39,8 +42,15 @@ WALLS = frozenset("table ul ol dl div article section main body td th blockquote
 STOPS = re.compile(r"[.,;:!?…。，、]")
 #: Character references of more digits than the parser's numbers may have.
 HUGE = re.compile(r"&#([0-9]{20,});?")
-#: The share of the whole that the main container keeps, and of the mean ratio that a path needs.
+#: The share of the whole that the main container keeps, and of the largest ratio that a path needs.
 HOLDS, LEAST = 0.6, 0.02
+#: The share of the whole that shows a named element to be a wrapper; factors of a path's ratio by its mark.
+WRAPS, LOWERED = 0.8, (1.0, 0.001, 0.0)
+
+
+@lru_cache(maxsize=4096)
+def _names_furniture(names: str) -> bool:
+    return any(NAMED.search(x) and not EXEMPT.search(x) for x in names.split())
 
 
 def _sound(m: re.Match) -> str:
@@ -109,10 +119,10 @@ def _ended(tokens: list[tuple]) -> set[int]:
 
 
 class _Reader:
-    """Collects blocks: (path, kept text). A path is a tuple of (tag, number of the element, furniture?)."""
+    """Collects blocks: (path, kept text). A path is a tuple of (tag, number of the element, mark)."""
 
     def __init__(self, tokens: list[tuple]):
-        self.open: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, int, int]] = []
         self.blocks: list[tuple[tuple, list[str]]] = []
         #: Places of the silent elements in ``open``, and whether their own end tag comes.
         self.silent: list[tuple[int, bool]] = []
@@ -133,8 +143,8 @@ class _Reader:
                 self._data("\n")
             return
         if tag in INLINE:
-            if not self.silent and self._named(attrs):
-                self._push(tag, True)
+            if not self.silent and (mark := self._mark(attrs)):
+                self._push(tag, mark)
             return
         while self.silent and not self.silent[-1][1]:  # one that is never ended hides what comes up to the next block
             self._cut(self.silent[-1][0])
@@ -146,10 +156,13 @@ class _Reader:
             if self.open[k][0] in WALLS:
                 break
         if self.silent:
-            self._push(tag, False)
+            self._push(tag, 0)
         else:
             inside = any(t in ("article", "main") for t, _, _ in self.open)
-            self._push(tag, tag in BESIDE or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and self._named(attrs))
+            if tag in BESIDE or tag == "header" and not inside:
+                self._push(tag, 2)
+            else:
+                self._push(tag, 0 if tag in ("html", "body", "article", "main") else max(self._mark(attrs), tag == "form"))
         if tag in SILENT and tag != "head":  # what a head leaves open doesn't hide the body
             self.silent.append((len(self.open) - 1, ended))
 
@@ -159,14 +172,16 @@ class _Reader:
             self.silent.pop()
         self.fresh = True
 
-    def _push(self, tag, beside):
+    def _push(self, tag, mark):
         self.count += 1
-        self.open.append((tag, self.count, bool(beside)))
+        self.open.append((tag, self.count, int(mark)))
         self.fresh = True
 
     @staticmethod
-    def _named(attrs) -> bool:
-        return any(k in ("class", "id", "role") and v and NAMED.search(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+    def _mark(attrs) -> int:
+        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            return 2
+        return int(any(k in ("class", "id", "role") and v and _names_furniture(v) for k, v in attrs))
 
     def _end(self, tag):
         floor = max((k for k, ended in self.silent if ended), default=0)  # an end tag in a silent element ends nothing outside
@@ -194,39 +209,82 @@ def blocks(html: str) -> list[tuple[tuple, str]]:
     return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in r.blocks) if t]
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page."""
-    found = blocks(html or "")
+def _ratios(found: list[tuple[tuple, str]], marks: list[int]) -> list[float]:
+    """The smoothed, fused ratio of every block's path, lowered by its mark."""
+    keys = [(tuple(t for t, _, _ in path), m) for (path, _), m in zip(found, marks, strict=True)]
     by_path: dict[tuple, list[tuple[float, float]]] = defaultdict(list)
-    for path, text in found:
-        by_path[tuple(t for t, _, _ in path), any(b for _, _, b in path)].append((len(text), len(STOPS.findall(text)) + 0.1))
+    for key, (_, text) in zip(keys, found, strict=True):
+        by_path[key].append((len(text), len(STOPS.findall(text)) + 0.1))
     order = list(by_path)
     mean = {p: (sum(a for a, _ in v) / len(v), sum(b for _, b in v) / len(v)) for p, v in by_path.items()}
 
     def smooth(k: int, part: int) -> float:
-        near = [(w, mean[order[j]][part]) for j, w in ((k - 1, 0.25), (k, 1.0), (k + 1, 0.25)) if 0 <= j < len(order) and not order[j][1]]
+        near = [(w, mean[order[j]][part]) for j, w in ((k - 1, 0.25), (k, 1.0), (k + 1, 0.25)) if 0 <= j < len(order) and (j == k or not order[j][1])]
         return sum(w * x for w, x in near) / sum(w for w, _ in near)
 
-    ratio = {p: 0.0 if p[1] else smooth(k, 0) * smooth(k, 1) for k, p in enumerate(order)}
+    ratio = {p: LOWERED[p[1]] * smooth(k, 0) * smooth(k, 1) if LOWERED[p[1]] else 0.0 for k, p in enumerate(order)}
+    return [ratio[key] for key in keys]
+
+
+def _marks(found: list[tuple[tuple, str]]) -> list[int]:
+    """The mark of every block: 0 plain, 1 in an element named furniture, 2 furniture.
+
+    A name doesn't count on an element that holds almost the whole page, and makes furniture of what lies beside an
+    article or main element that has text of its own.
+    """
+    marks = [max((m for _, _, m in path), default=0) for path, _ in found]
+    if 1 not in marks:
+        return marks
+    held: dict[int, float] = defaultdict(float)
+    above: dict[int, set[int]] = {}
+    whole = 0.0
+    for (path, text), r in zip(found, _ratios(found, [m & 2 for m in marks]), strict=True):
+        whole += len(text) * r
+        for k, (_, n, m) in enumerate(path):
+            if m == 1:
+                held[n] += len(text) * r
+                if n not in above:
+                    above[n] = {e for _, e, _ in path[:k]}
+    articles = {n for (path, _), m in zip(found, marks, strict=True) if not m for t, n, _ in path if t in ("article", "main")}
+    mark = {n: 0 if w >= WRAPS * whole and articles <= above[n] else 2 if articles and articles.isdisjoint(above[n]) else 1 for n, w in held.items()}
+    return [max((mark[n] if m == 1 else m for _, n, m in path), default=0) for path, _ in found]
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page."""
+    found = blocks(html or "")
+    marks = _marks(found)
+    ratio = _ratios(found, marks)
+    least = LEAST * max(ratio, default=0.0)
+    if not least:
+        return ""
     held: dict[tuple, float] = defaultdict(float)
-    whole, scored = 0.0, []
-    for path, text in found:
-        r = ratio[tuple(t for t, _, _ in path), any(b for _, _, b in path)]
+    whole = 0.0
+    for (path, text), r in zip(found, ratio, strict=True):
         weight = len(text) * r
         whole += weight
-        scored.append((path, text, r))
         for k in range(len(path)):
             held[path[: k + 1]] += weight
-    if not whole:
-        return ""
     body_like = [p for p, w in held.items() if w >= HOLDS * whole and p[-1][0] not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote")]
     main = max(body_like, key=len, default=())
     articles = [p for p in body_like if p[-1][0] in ("article", "main")]
     if articles:
         main = max(articles, key=lambda p: (p[-1][0] == "article", len(p)))
-    inside = [(p, t, r) for p, t, r in scored if p[: len(main)] == main and r > 0]
-    least = LEAST * max(ratio.values()) if main and main[-1][0] in ("html", "body") else 0.0
-    return " ".join(t for p, t, r in inside if r >= least or p[-1][0] in ("h1", "h2", "h3"))
+    if main and main[-1][0] in ("html", "body"):
+        main = ()
+    # a block's branch: the main container, or the element that leaves the way from the root to the container
+    branch, depth = [], []
+    for path, _ in found:
+        k = next((k for k, (a, b) in enumerate(zip(path, main)) if a != b), min(len(path), len(main)))  # noqa: B905
+        depth.append(k)
+        branch.append(main if main and k == len(main) else path[: k + 1])
+    length: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    for (_, text), r, m, b in zip(found, ratio, marks, branch, strict=True):
+        length[b][0] += len(text) * (not m)
+        length[b][1] += len(text) * (r >= least)
+    full = {b for b, (n, passing) in length.items() if 2 * passing >= n} | {main} - {()}
+    climbed = min((d for d, r in zip(depth, ratio, strict=True) if r >= least), default=0)
+    return " ".join(t for (p, t), r, m, b, d in zip(found, ratio, marks, branch, depth, strict=True) if r >= least or r > 0 and not m and (b in full or d >= climbed and p[-1:] and p[-1][0] in ("h1", "h2", "h3")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

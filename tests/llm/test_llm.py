@@ -284,6 +284,24 @@ def test_odd_declarations_and_references_lose_nothing():
         assert html_text.main_text(f"<p>First text, {odd}.</p><p>Second text, here.</p>") == f"First text, {sign}. Second text, here."
 
 
+def test_text_beside_the_main_container_stays():
+    def told(n):
+        return " ".join(f"Word{i} of it, and so on." for i in range(n))
+
+    end = "<footer>No, no. No.</footer>"
+    lead, body = told(7), told(13)
+    assert html_text.main_text(f"<body><div id=content><h1>T</h1><div class=lead>{lead}</div><div class=body>{body}</div></div>{end}") == f"T {lead} {body}"
+    assert html_text.main_text(f"<body><main><article><p>{body}</p></article><section><p>{lead}</p></section></main>{end}") == f"{body} {lead}"
+    assert html_text.main_text(f"<body><div><p>{lead}</p><ul><li>{body}</li></ul><p>{lead}</p></div>{end}") == f"{lead} {body} {lead}"
+    assert html_text.main_text(f"<body><article><p>{body}</p></article><article><p>{lead}</p><ul><li>One</li></ul></article>{end}") == f"{body} {lead} One"
+    for name in ("has-sidebar", "with-nav", "no-header", "layout-with-sidebar", "page sidebar-right"):
+        page = f"<body><div class='{name}'><div class=text><p>{body}</p></div><div class=sidebar>Other things, here. Or there.</div></div>%s{end}"
+        assert html_text.main_text(page % "") == body, name
+        assert html_text.main_text(page % "<div>Call us. Now.</div>").startswith(body), name
+    assert html_text.main_text(f"<body><div class=widget>{body}</div><div class=widget>{body}</div>{end}") == f"{body} {body}"
+    assert html_text.main_text(f"<body><form id=aspnet><div><p>{body}</p></div><div class=comments><p>{lead}</p></div></form>{end}") == body
+
+
 # substrings
 
 
