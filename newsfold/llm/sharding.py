@@ -1,16 +1,19 @@
 """Sharding by a k-d tree over document metadata, in built-in functions alone.
 
-Equal texts are one unit with the metadata of their least doc_id; a unit above a small share of all bytes is split by a
-hash of the id, since no shard of even size could hold it. Each node of the tree is cut at the weighted median of its
-widest dimension (its range against the whole range) until a leaf is small enough. The median is exact: bytes are
-summed by bins of the dimension and the bin where half is reached is cut into bins again, until it holds one value. All
-nodes of a level go through one job, and the driver sees bins, never rows.
+Equal texts are one unit with the metadata of their least doc_id. Only a unit of more bytes than an even shard is torn:
+into pieces as large as a shard, and small pieces of what is left. Each node of the tree is cut at the weighted median
+of its widest dimension (its range against the whole range) until a leaf is small enough. Large units, of which there
+are few, are placed first: each on its side of their own median, or where there is room. The cut then shares out the small
+units so that both sides come even. The median is exact: bytes are summed by bins of the dimension and the bin where half
+is reached is cut into bins again, until it holds one value. All nodes of a level go through one job, and the driver sees
+bins and large units, never rows. Shards are uneven only where units that aren't torn leave no even way.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from newsfold.functions.runtime import parts, ranked, written
 from newsfold.llm.text import body, documents
 
 DIMENSIONS = ("doc_id", "size", "source", "lang")
-#: Bins of a node in one round; rounds; a unit's largest share of a leaf.
+#: Bins of a node in one round; rounds; the share of a shard above which a unit is large.
 BINS, ROUNDS, UNIT_SHARE = 512, 8, 1 / 64
 
 
@@ -29,12 +32,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), *kept, F.unhex(F.md5(t)).alias("key"))
 
 
-def units(rows: DataFrame, target: float) -> tuple[DataFrame, DataFrame]:
+def units(rows: DataFrame, target: float, buckets: int) -> tuple[DataFrame, DataFrame]:
     """rows with their unit's number in the group (``part``), and the units (key, part, w, the dimensions x0...)."""
-    most = max(1, int(target * UNIT_SHARE))
-    # at most shards / UNIT_SHARE groups are as large as that
-    large = rows.groupBy("key").agg(F.sum("size").alias("w")).where(F.col("w") > most).select("key", F.ceil(F.col("w") / most).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(large), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("each"))
+    per, small = (F.greatest(F.lit(1), F.floor(F.lit(float(share)) / F.col("each"))) for share in (target, target * UNIT_SHARE))
+    torn = written(groups.where((F.col("w") > target) & (F.col("copies") > 1)).select("key", per.alias("per"), small.alias("small"), F.floor(F.col("copies") / per).alias("pieces")))
+    whole = rows.join(F.broadcast(torn), "key", "left_anti").withColumn("part", F.lit(0))  # fewer are torn than there are shards
+    dealt = ranked(rows.join(F.broadcast(torn), "key"), ["key"], [F.col(c) for c in ("doc_id", "source", "lang")], buckets, "at")
+    rest = F.col("at") - F.col("pieces") * F.col("per")
+    part = F.when(rest < 0, F.floor(F.col("at") / F.col("per"))).otherwise(F.col("pieces") + F.floor(rest / F.col("small")))
+    rows = whole.unionByName(dealt.withColumn("part", part.cast("int")).select(*whole.columns)) if torn.count() else whole
     first = F.min(F.struct("doc_id", "size", "source", "lang")).alias("m")
     grouped = rows.groupBy("key", "part").agg(F.sum("size").alias("w"), first)
 
@@ -59,21 +66,46 @@ def _node(cuts: dict[int, tuple[int, float]]) -> Column:
     return under(1)
 
 
-def kd_cuts(tree: DataFrame, leaves: int) -> tuple[dict[int, tuple[int, float]], dict[int, int]]:
-    """The cuts of a tree with so many leaves over units, and the shard number of each leaf's node."""
-    share, cuts, whole = {1: leaves}, {}, None
+def _sides(large: list, k: int, goal: float, rest: float) -> tuple[list, list]:
+    """The large units of a node dealt to its sides, which have room for goal and rest: by x{k} about their own median
+    where that side has room, heavy ones first, else where there is more room."""
+    before, half, left = 0, sum(u["w"] for u in large) * goal / max(goal + rest, 1e-9), set()
+    for i in sorted(range(len(large)), key=lambda i: (large[i][f"x{k}"], large[i]["key"], large[i]["part"])):
+        if before + large[i]["w"] / 2 <= half:
+            left.add(i)
+        before += large[i]["w"]
+    room, sides = [goal, rest], ([], [])
+    for i in sorted(range(len(large)), key=lambda i: (-large[i]["w"], large[i]["key"], large[i]["part"])):
+        side = int(i not in left)
+        if large[i]["w"] > room[side]:
+            side = int(room[1] > room[0])
+        room[side] -= large[i]["w"]
+        sides[side].append(large[i])
+    return sides
+
+
+def kd_cuts(tree: DataFrame, large: list, leaves: int) -> tuple[dict[int, tuple[int, float]], dict[int, int], dict[int, list]]:
+    """The cuts of a tree with so many leaves over small units, the shard number of each leaf's node, and the large
+    units of each leaf's node."""
+    share, cuts, whole, held = {1: leaves}, {}, None, {1: large}
+    dims = range(len(DIMENSIONS))
     while any(k > 1 for n, k in share.items() if n not in cuts):
         open_ = {n: k for n, k in share.items() if n not in cuts and k > 1}
         at = tree.withColumn("node", _node(cuts)).where(F.col("node").isin(*open_))
-        dims = range(len(DIMENSIONS))
-        got = at.groupBy("node").agg(F.sum("w").alias("w"), *[f(f"x{k}").alias(f"{f.__name__}{k}") for k in dims for f in (F.min, F.max)]).collect()
-        whole = whole or {k: max(got[0][f"max{k}"] - got[0][f"min{k}"], 1e-9) for k in dims} if got else {}
+        got = {r["node"]: r for r in at.groupBy("node").agg(F.sum("w").alias("w"), *[f(f"x{k}").alias(f"{f.__name__}{k}") for k in dims for f in (F.min, F.max)]).collect()}
         state = {}
-        for r in got:
-            k = max(dims, key=lambda d: ((r[f"max{d}"] - r[f"min{d}"]) / whole[d], -d))
-            state[r["node"]] = {"k": k, "lo": r[f"min{k}"], "hi": r[f"max{k}"], "below": 0, "goal": r["w"] * (open_[r["node"]] // 2) / open_[r["node"]], "cut": r[f"min{k}"]}
-        for n in open_.keys() - state.keys():  # a node without units
-            state[n] = {"k": 0, "lo": 0.0, "hi": 0.0, "below": 0, "goal": 0, "cut": 0.0}
+        for n, leaves_ in open_.items():
+            r, own = got.get(n), held.get(n, [])
+            span = {k: [*([r[f"min{k}"], r[f"max{k}"]] if r else []), *(u[f"x{k}"] for u in own)] or [0.0] for k in dims}
+            whole = whole or {k: max(max(span[k]) - min(span[k]), 1e-9) for k in dims}
+            k = max(dims, key=lambda d: ((max(span[d]) - min(span[d])) / whole[d], -d))
+            w = (r["w"] if r else 0) + sum(u["w"] for u in own)
+            goal = w * (leaves_ // 2) / leaves_
+            held[2 * n], held[2 * n + 1] = _sides(own, k, goal, w - goal)
+            goal -= sum(u["w"] for u in held[2 * n])
+            lo, hi = (r[f"min{k}"], r[f"max{k}"]) if r else (0.0, 0.0)
+            # all at one place go where they come nearer; a goal below zero leaves them to the right
+            state[n] = {"k": k, "lo": lo, "hi": hi if goal > 0 else lo, "below": 0, "goal": goal, "cut": lo if lo == hi and r and r["w"] < 2 * goal else lo - 1}
         for _ in range(ROUNDS):
             live = {n: s for n, s in state.items() if s["hi"] > s["lo"]}
             if not live:
@@ -97,7 +129,7 @@ def kd_cuts(tree: DataFrame, leaves: int) -> tuple[dict[int, tuple[int, float]],
             cuts[n] = (s["k"], s["cut"])
             share[2 * n], share[2 * n + 1] = open_[n] // 2, open_[n] - open_[n] // 2
     ends = sorted((n for n in share if n not in cuts), key=lambda n: f"{n:b}".ljust(64, "0"))
-    return cuts, {n: i for i, n in enumerate(ends)}
+    return cuts, {n: i for i, n in enumerate(ends)}, {n: held.get(n, []) for n in ends}
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -109,13 +141,19 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     rows = written(sized(docs))
     total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     n = shards or max(1, math.ceil((total or 0) / (target_bytes or 1)))
-    rows, grouped = units(rows, (total or 0) / n)
+    target, buckets = (total or 0) / n, parts(docs.sparkSession, count)
+    rows, grouped = units(rows, target, buckets)
     tree = written(grouped)
-    cuts, number = kd_cuts(tree, n)
+    is_large = F.col("w") > target * UNIT_SHARE
+    cuts, number, held = kd_cuts(tree.where(~is_large), tree.where(is_large).collect(), n)  # at most n / UNIT_SHARE are large
     name = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("node"))
-    leaf = tree.withColumn("node", _node(cuts)).select("key", "part", name.cast("int").alias("shard"))
+    leaf = tree.where(~is_large).withColumn("node", _node(cuts)).select("key", "part", name.cast("int").alias("shard"))
+    if any(held.values()):
+        large = [(bytes(u["key"]), u["part"], number[node]) for node, own in held.items() for u in own]
+        columns = [pa.array(x, t) for x, t in zip(zip(*large, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)]
+        leaf = leaf.unionByName(docs.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["key", "part", "shard"])))
     placed = rows.join(leaf, ["key", "part"]).select("doc_id", "size", "text_crc32", "shard")
-    return ranked(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], parts(docs.sparkSession, count), "slot")
+    return ranked(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], buckets, "slot")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:

@@ -403,6 +403,23 @@ def test_shards_are_even(spark):
     assert len(sizes) == 5 and max(sizes) < 1.05 * min(sizes)
 
 
+def test_equal_texts_share_a_shard(spark):
+    def text(name, words):
+        return " ".join(f"{name}{i}" for i in range(words))
+
+    one = [(i, text(f"d{i}x", 20)) for i in range(3000)]
+    groups = {text("copy", 1000): 8, text("pair", 900): 2, text("many", 3): 1000, text("torn", 30): 1500}
+    more = [t for t, n in groups.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate([*one, *((0, t) for t in more)])], "doc_id long, text string")
+    got = sharding.shard(df, shards=8).join(df, "doc_id").toPandas()
+    even = got["size"].sum() / 8
+    held = got.groupby("text").agg(size=("size", "sum"), shards=("shard", "nunique"))
+    assert (held.shards[held["size"] <= even] == 1).all()
+    torn = held[held["size"] > even]
+    assert len(torn) == 1 and (torn.shards > 1).all()
+    assert got.groupby("shard")["size"].sum().max() < 1.03 * even and got.shard.nunique() == 8
+
+
 # pipeline
 
 
