@@ -50,11 +50,12 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
     return _per_page(pages, lambda i, _, p: [(i, p.markdown())], "page_id long, markdown string")
 
 
-def extract_pages(pages: DataFrame, now: Column | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, now: Column | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Pages as articles: title, text, author, language, canonical URL, times, paywall flag; ``error`` where that failed.
 
     A page's date is its update time; without one it counts as created now. Another canonical URL makes the page's own
-    one a moved link. No page ends the job.
+    one a moved link. No page ends the job. With profiles (see ``language_profiles``) the language of pages that give
+    none is detected from their text.
     """
 
     def read(i, url, p: markup.Page):
@@ -65,6 +66,10 @@ def extract_pages(pages: DataFrame, now: Column | None = None) -> DataFrame:
         yield (i, url, title, text or None, p.meta.get("author") or None, (p.lang or "")[:2].lower() or None, p.canonical or None, markup.date_of(p), paid, error)
 
     rows = _per_page(pages, read, "page_id long, url string, title string, text string, author string, language string, canonical string, dated string, paywalled boolean, error string")
+    if profiles is not None:
+        rows = rows.withColumn("__key", F.when(F.col("language").isNull() & F.col("text").isNotNull(), F.md5("text")))
+        found = detect_language(rows.where("__key is not null").select("__key", "text").dropDuplicates(["__key"]), profiles, "__key")
+        rows = rows.join(found, "__key", "left").withColumn("language", F.coalesce("language", "detected"))
     rows = rows.withColumn("updated_at", F.try_to_timestamp("dated"))
     rows = rows.withColumn("created_at", F.when(F.col("updated_at").isNull(), now if now is not None else F.current_timestamp()))
     moved = (F.col("canonical") != "") & (F.col("canonical") != F.col("url"))

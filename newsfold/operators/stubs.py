@@ -60,9 +60,14 @@ def sample_latest(stubs: DataFrame, n: int = 5) -> DataFrame:
     return stubs.orderBy(F.desc_nulls_last("created_at"), F.asc("pos")).limit(n)
 
 
-def valid_times(stubs: DataFrame, now: Column, on_error: str = "drop_row", feed: str = "feed") -> DataFrame:
-    """Stubs created by ``now`` and not updated before that; with drop_feed one bad row drops its whole feed."""
+def valid_times(stubs: DataFrame, now: Column, on_error: str = "drop_row", feed: str = "feed", max_age: Column | None = None) -> DataFrame:
+    """Stubs created by ``now`` and not updated before that; with drop_feed one bad row drops its whole feed.
+
+    With max_age (an interval; list feeds have two days) the last update must be younger than that.
+    """
     good = (F.col("created_at") <= now) & (F.coalesce("updated_at", "created_at") >= F.col("created_at"))
+    if max_age is not None:
+        good &= F.coalesce("updated_at", "created_at") > now - max_age
     if on_error == "drop_row":
         return stubs.where(good)
     bad = stubs.where(~F.coalesce(good, F.lit(False))).select(feed).distinct()

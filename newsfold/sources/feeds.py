@@ -63,10 +63,11 @@ def read_sitemap_xml(spark: SparkSession, path, now: Column, language: str | Non
     return require(out, "href")
 
 
-def read_json_list_feed(spark: SparkSession, path, services: dict[str, str], now: Column, language: str | None = None, outlet: str | None = None, lines: bool = False) -> DataFrame:
+def read_json_list_feed(spark: SparkSession, path, services: dict[str, str], now: Column, language: str | None = None, outlet: str | None = None, lines: bool = False, max_age: Column | None = None) -> DataFrame:
     """Stubs of JSON list feeds (a reply a file, or with ``lines`` a reply a line); services: URL templates by service name with {id} and {category}.
 
-    Sponsored, undated, unknown services' and untimely records go. A different canonical URL comes first.
+    Sponsored, undated, unknown services' and untimely records go, and with max_age (an interval, such as two days) those
+    last updated that long ago. A different canonical URL comes first.
     """
     rows = spark.read.schema(_LIST).option("multiLine", not lines).json(path).select(F.explode("response").alias("r")).select("r.*")
     rows = rows.where(~F.coalesce("metadata.sponsored_content", F.lit(False)))
@@ -74,7 +75,8 @@ def read_json_list_feed(spark: SparkSession, path, services: dict[str, str], now
     own = F.replace(F.replace(template, F.lit("{id}"), F.col("article_id")), F.lit("{category}"), F.coalesce("category.category_name", F.lit("")))
     made = F.try_to_timestamp("published_at")
     out = _stub(rows, href=F.coalesce(F.nullif(F.col("metadata.canonical_url"), F.lit("")), own), id=F.col("article_id"), title=F.col("title"), language=F.lit(language), outlet=F.lit(outlet), text=F.col("lead"), created_at=made, updated_at=F.coalesce(F.try_to_timestamp("updated_at"), made), labels=F.array())
-    return require(out.where("created_at is not null and updated_at >= created_at").where(F.col("created_at") <= now), "href", "id")
+    out = out.where("created_at is not null and updated_at >= created_at").where(F.col("created_at") <= now)
+    return require(out if max_age is None else out.where(F.col("updated_at") > now - max_age), "href", "id")
 
 
 def read_json_nested_feed(spark: SparkSession, path, publications: dict[str, tuple[str, str]], now: Column, language: str | None = None, lines: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from newsfold.operators import replies as R
 from newsfold.operators import revisions as V
 from newsfold.operators import sections as S
 from newsfold.operators import stubs as O
-from newsfold.sources.feeds import SourceRegistry
+from newsfold.sources.feeds import SourceRegistry, read_json_list_feed
 
 DAY = datetime(2024, 1, 10)
 URLS = "array<struct<href: string, labels: array<string>, signature: string>>"
@@ -74,6 +74,28 @@ def test_valid_times_drop_feed(spark):
     assert [r.pos for r in O.valid_times(df, now, "drop_feed").collect()] == [3]
 
 
+def test_list_feed_age(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("f", 1, DAY, datetime(2024, 1, 30)), ("f", 2, DAY, datetime(2024, 1, 29)), ("g", 3, DAY, None)], "feed string, pos long, created_at timestamp_ntz, updated_at timestamp_ntz")
+    now, age = F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("interval 2 days")
+    assert [r.pos for r in O.valid_times(df, now, max_age=age).collect()] == [1]
+    assert [r.pos for r in O.valid_times(df, now, "drop_feed", max_age=age).collect()] == []
+    news = [{"article_id": str(i), "title": "t", "service_name": "s", "published_at": f"2024-01-{d}T00:00:00Z"} for i, d in ((1, 28), (2, 29), (3, 30))]
+    (tmp_path / "f.json").write_text(json.dumps({"response": news}))
+    got = read_json_list_feed(spark, str(tmp_path / "f.json"), {"s": "https://s/{id}"}, F.lit("2024-01-31").cast("timestamp"), max_age=age)
+    assert [r.id for r in got.collect()] == ["3"]
+
+
+def test_language_of_pages_without_one(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog went to the house", "en"), (2, "der hund und die katze gehen in das haus", "de")], "doc_id long, text string, language string")
+    rows = [(1, "u", "<p>the dog and the cat"), (1, "v", "<p>the dog and the cat"), (2, "u", "<p>die katze und der hund"), (3, "u", "<html lang=fr><p>the dog and the cat"), (4, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = P.extract_pages(pages, profiles=P.language_profiles(docs))
+    assert sorted((r.page_id, r.language or "") for r in got.collect()) == [(1, "en"), (1, "en"), (2, "de"), (3, "fr"), (4, "")]
+    assert got.columns == P.extract_pages(pages).columns
+
+
 def entries(spark, rows):
     return spark.createDataFrame(rows, "idx long, updated timestamp_ntz, urls array<struct<sign: string, labels: array<string>>>, title string, clickbaitiness string, labels array<string>, outlet string")
 
