@@ -13,12 +13,15 @@ lengths up to the class and the last patterns leave.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +29,15 @@ from newsfold.functions.runtime import parts, ranked, written
 from newsfold.llm.text import documents
 
 LENGTH, END_ID, GRAIN = 2048, 1, 8
-#: Patterns that the knapsack prices at most; the plan stays valid when it stops there.
-MAX_COLUMNS = 1500
-#: Chunks, and pieces of them, that a worker remembers.
-REMEMBER = 300_000
-STOPS = ".,;:!?"
+#: The program ends when no pattern would save more than this share; needs are spread by; steps after which the
+#: inverse is corrected.
+GAP, SPREAD, REFRESH = 1e-6, 1e-5, 100
+#: Chunks, and pieces of them, that a worker remembers; bytes of texts encoded together; characters of a piece.
+REMEMBER, TOGETHER, LONGEST = 400_000, 16_000_000, 40
+#: Letters and signs (none that contractions or special tokens begin with) that need no look at their neighbours.
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x132, 0x149)]))
+SIGNS = ".,;:!?*$&%#+=-_/|\"()[]{}@~^"
+NONE = np.iinfo(np.int32).max
 
 
 @lru_cache(maxsize=2)
@@ -40,49 +47,110 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Merges:
+    """The vocabulary's merges as arrays: words of one length are merged side by side."""
+
+    def __init__(self, tok):
+        model = json.loads(tok.to_str())["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.key, self.rank = key[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        sign = {}
+        for text, _ in tok.pre_tokenizer.pre_tokenize_str("".join(map(chr, range(33, 127)))):  # these stand for themselves
+            sign |= {ord(c): c for c in text}
+        self.inner, self.last = (np.array([vocab.get(sign.get(b, "") + e, -1) for b in range(256)], np.int32) for e in ("", end))
+        for c in LETTERS:
+            mapped = "".join(t for t, _ in tok.pre_tokenizer.pre_tokenize_str(c))
+            for byte, m in zip(c.encode(), mapped, strict=True):
+                self.inner[byte], self.last[byte] = vocab[m], vocab[m + end]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: the pair of least rank is merged, the leftmost of equals first, until none has a rank."""
+        out: list[bytes] = [b""] * len(words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            raw = np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(-1, n)
+            ids = self.inner[raw]
+            ids[:, -1] = self.last[raw[:, -1]]
+            pairs = self._ranks(ids[:, :-1], ids[:, 1:])
+            while True:  # in each round every word left merges a pair, so all have equally many parts
+                j = pairs.argmin(axis=1) if pairs.shape[1] else np.zeros(len(at), np.int64)
+                least = pairs[np.arange(len(at)), j] if pairs.shape[1] else np.full(len(at), NONE)
+                done = least == NONE
+                width, data = 4 * ids.shape[1], ids[done].astype("<u4").tobytes()
+                for k, i in enumerate(at[done]):
+                    out[i] = data[k * width : (k + 1) * width]
+                if done.all():
+                    break
+                at, j, least = at[~done], j[~done, None], least[~done]
+                ids, pairs = ids[~done], pairs[~done]
+                ids = np.take_along_axis(ids, (c := np.arange(ids.shape[1] - 1)) + (c > j), axis=1)
+                np.put_along_axis(ids, j, self.made[least][:, None], axis=1)
+                pairs = np.take_along_axis(pairs, (c := np.arange(pairs.shape[1] - 1)) + (c >= j), axis=1)
+                for step in (-1, 0):  # the pairs that end and begin with the new part
+                    k = np.flatnonzero((j[:, 0] + step >= 0) & (j[:, 0] + step < pairs.shape[1]))
+                    col = j[k, 0] + step
+                    pairs[k, col] = self._ranks(ids[k, col], ids[k, col + 1])
+        return out
+
+
 class Encoder:
     """Ids of texts as the library gives them, without added special tokens.
 
     The pre-tokenizer splits at every space and line end, so the chunks between them encode by themselves, each as the
-    chain of its pieces. Chunks and pieces seen before are looked up; a new piece goes to the library's model. Letters
-    of ASCII, with or without a stop behind them, need no normaliser and splitter; chunks that may hold a special
-    token go to the library whole.
+    chain of its pieces. Arrow finds the distinct chunks of many texts; those seen before are looked up. Of the new ones
+    those that are letters (``LETTERS``, which normalise one by one; checked) with or without signs behind them give
+    their pieces by one expression, and new pieces are merged together; all others go to the library.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > REMEMBER:
-                self.pieces.clear()
-            got = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+        self.merges = Merges(self.tok)
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        letters = "".join(c for c in LETTERS if self.tok.normalizer.normalize_str(c) == c.lower() and len(c.lower()) == 1 and c.isalpha())
+        self.simple = re.compile(f"^([{letters}]{{0,{LONGEST}}})([{re.escape(SIGNS)}]{{0,{LONGEST}}})(.*)$", re.M).findall
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks (without line ends)."""
+        if len(self.pieces) > REMEMBER:
+            self.pieces = {"": b""}
+        cut, pieces = self.simple("\n".join(chunks).lower()), self.pieces
+        new = list({x for a, b, rest in cut if not rest for x in (a, b)}.difference(pieces))
+        pieces.update(zip(new, self.merges.encode([x.encode() for x in new]), strict=True))
+        return [array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes() if rest else pieces[a] + pieces[b] for c, (a, b, rest) in zip(chunks, cut, strict=True)]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        got = list(map(self.known.get, chunks))
+        if at := [i for i, x in enumerate(got) if x is None]:
+            if len(self.known) + len(at) > REMEMBER:
+                self.known = {}
+            new = [chunks[i] for i in at]
+            for i, c, x in zip(at, new, self._new(new), strict=True):
+                got[i] = self.known[c] = x
         return got
 
-    def _chunk(self, c: str) -> bytes:
-        if c.isascii():
-            if c.isalpha():
-                return self._piece(c.lower())
-            if c[-1] in STOPS and c[:-1].isalpha():
-                return self._piece(c[:-1].lower()) + self._piece(c[-1])
-        if "<" in c or ">" in c:
-            return array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes()
-        return b"".join(self._piece(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(c)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), 64):
-            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-            if len(self.known) > REMEMBER:
-                self.known = {"": b""}
-            for c in set().union(*cut).difference(self.known):
-                self.known[c] = self._chunk(c)
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        bounds = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        coded = self.chunks(words.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = words.indices.to_numpy()
+        length = size[at]
+        ends = np.append(0, length.cumsum())
+        ids = flat[np.repeat((size.cumsum() - size)[at] - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=1)
@@ -91,20 +159,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slices(batch: pa.RecordBatch):
+    """The batch in slices of ``TOGETHER`` bytes of text, about."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of the pieces of every row: full sequences and a rest."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(path).encode
-        for batch in batches:
-            ids, rows = batch.column("doc_id"), []
-            for k, b in enumerate(encode(batch.column("text").to_pylist())):
-                b += end
-                n = len(b) // 4
-                rows += [(k, s, min(length, n - s), zlib.crc32(b[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
-            k, *cols = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(k, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for part in (x for batch in batches for x in _slices(batch)):
+            ids, bounds = encode(part.column("text"))
+            data, tokens = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.diff(bounds) + 1  # with the end id
+            pieces = -(-tokens // length)
+            row = np.repeat(np.arange(len(tokens)), pieces)
+            start = length * (np.arange(len(row)) - np.repeat(pieces.cumsum() - pieces, pieces))
+            size = np.minimum(length, tokens[row] - start)
+            last = start + size == tokens[row]
+            crc = [zlib.crc32(end, c) if z else c for z, c in ((z, zlib.crc32(data[4 * a : 4 * b])) for a, b, z in zip((bounds[row] + start).tolist(), (bounds[row] + start + size - last).tolist(), last.tolist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(tokens[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -145,27 +225,30 @@ def _greedy_patterns(sizes: np.ndarray, room: int) -> np.ndarray:
 
 
 def column_generation(need: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a column each) and how often to use each, a basic optimum of the linear relaxation."""
+    """Patterns (a column each) and how often to use each, a basic optimum of the linear relaxation.
+
+    It goes on until the best of all patterns, priced by the knapsack, is worth at most ``1 + GAP`` sequences: the bound
+    then lies within that share. Needs are spread a little, so that steps aren't of length zero and no basis comes again.
+    Should rounding errors stop it all the same, it ends when as many steps as twice the classes gain less than ``GAP``.
+    """
     m = len(sizes)
+    need = need * (1 + SPREAD * np.modf(np.arange(1, m + 1) * 0.618034)[0])
     columns = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / columns.diagonal())
     x = inverse @ need
-    pool, priced = _greedy_patterns(sizes, room), 0
-    while priced < MAX_COLUMNS:
+    pool, steps, past = _greedy_patterns(sizes, room), 0, np.inf
+    while True:
         y = inverse.sum(axis=0)
         worths = y @ pool  # what lies at hand is cheaper to price than a new pattern
         a, worth = pool[:, worths.argmax()], worths.max()
-        if worth <= 1 + 1e-7:
+        if worth <= 1 + GAP:
             worth, a = _best_pattern(y, sizes, room)
-            priced += 1
-        if worth <= 1 + 1e-7:
-            break
+        if worth <= 1 + GAP:
+            return columns, x
         d = inverse @ a
         ratio = np.full(m, np.inf)
-        np.divide(x, d, out=ratio, where=d > 1e-9)
+        np.divide(x, d, out=ratio, where=d > 1e-6)
         r = int(ratio.argmin())
-        if not np.isfinite(ratio[r]):
-            break
         step = max(ratio[r], 0.0)
         x = np.maximum(x - step * d, 0)
         x[r] = step
@@ -173,7 +256,14 @@ def column_generation(need: np.ndarray, sizes: np.ndarray, room: int) -> tuple[n
         inverse[r] /= d[r]
         others = np.arange(m) != r
         inverse[others] -= np.outer(d[others], inverse[r])
-    return columns, x
+        steps += 1
+        if steps % REFRESH == 0:
+            inverse = 2 * inverse - inverse @ (columns @ inverse)  # a Newton step takes the rounding errors back
+            x = np.maximum(inverse @ need, 0)
+        if steps % (2 * m + REFRESH) == 0:
+            if x.sum() > (1 - GAP) * past:
+                return columns, x
+            past = x.sum()
 
 
 def patterns(counts: np.ndarray, room: int) -> list[tuple[dict[int, int], int]]:
@@ -253,9 +343,11 @@ def sequences(docs: DataFrame, placed: DataFrame, path: str, length: int = LENGT
 
     def run(batches):
         encode = encoder(path).encode
-        for batch in batches:
-            ids = [np.frombuffer(b, "<u4").astype(np.int32).tolist() + [end_id] for b in encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in (x for batch in batches for x in _slices(batch)):
+            ids, bounds = encode(part.column("text"))
+            whole = np.insert(ids, bounds[1:], end_id).astype(np.int32)
+            at = bounds + np.arange(len(bounds))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(whole))], ["doc_id", "ids"])
 
     coded = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
     cut = coded.join(placed, "doc_id").select("sequence_id", "offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids"))
