@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsfold.functions.runtime import parts, small, written
+from newsfold.functions.runtime import free_name, parts, small, written
 from newsfold.llm import fuse
 from newsfold.llm.text import ascii_lower, body, documents
 
@@ -134,8 +134,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     A row goes by its id and its text, so that another text under the same id stays; rows with a null id go if a row
     with an id has their text.
     """
-    gone = written(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (sha256(normalised()) == F.col("__digest")), "left_anti")
+    key, told = free_name(docs, "__id"), free_name(docs, "__digest")
+    gone = written(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("digest").alias(told)).distinct())
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(key)) & (sha256(normalised()) == F.col(told)), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at line ends and after . ! ? before white space). A span is the shortest run from a
-sentence on that has ``RUN`` sentences and ``MIN_WORDS`` words at least, and for a line's last sentence also the shortest
-such run that ends with it, so that a passage's end is covered too; a sentence of ``LONG_WORDS`` words is a span by itself.
-The word bound leaves common lines alone. Spans are hashed (128 bits, white space made single, A-Z lower-cased) and joined
-globally: the first holder of a hash, by (doc_id, place), keeps its sentences; sentences that any other holder covers are
-removed there.
+A text is cut into sentences: at line ends, after . ! ? before white space, after their full-width forms, and, where end
+marks are missing, at a capital letter after ``OPEN_WORDS`` words or more. A span is a run of consecutive sentences with
+``MIN_WORDS`` words or more. All spans that occur before, by (doc_id, place), lose their sentences here; the first one of
+each keeps them. The word bound leaves common lines alone.
 
-Repeats inside one text are seen while it is read. So the join needs one row per document and hash; the least doc_id of
-a hash is combined before the shuffle, and the join back is a plain equi-join that Spark can split where one passage
-is everywhere.
+Not every span has to be hashed for that: the shortest span from each sentence on and the shortest one up to each sentence
+do. Whatever longer span comes again, those of its own sentences come again with it, and together they cover it: from a
+sentence whose shortest span would reach beyond, fewer words than ``MIN_WORDS`` are left, and the one up to the last
+sentence covers these. So there are two hashes a sentence at most (128 bits; white space made single, A-Z lower-cased).
+
+The spans are joined globally. Repeats inside one text are seen while it is read; the least doc_id of a hash is combined
+before the shuffle and written, and the join back is a plain equi-join that Spark can split where one passage is
+everywhere. It gives every span once, marked or not, and what is marked is gathered by document as (first sentence, number):
+overlapping spans are united while the text is cut.
 
 Null text is empty. Rows with a null doc_id neither give nor lose spans. Rows that repeat a doc_id are the same
 document: they don't take spans from one another, and sentences that go go in all of them. Empty tables give empty
-results.
+results. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,11 +31,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsfold.functions.runtime import written
+from newsfold.functions.runtime import free_name, written
 from newsfold.llm.text import documents
 
-RUN, MIN_WORDS, LONG_WORDS = 2, 18, 40
-_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
+#: So that passages of some 50 words are seen though their ends lie inside sentences of the text around them.
+MIN_WORDS, OPEN_WORDS = 36, 6
+_END = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])\s*")
+#: Where a sentence may begin without an end mark before it; whether the letter is a capital is looked up.
+_OPEN = re.compile(r"\s+(?=[^\Wa-z\d_])")
+#: Scripts without spaces between words: two letters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+
+
+def _parts(text: str, start: int, end: int):
+    """(start, end) of the parts of a sentence that begin with a capital after ``OPEN_WORDS`` words."""
+    at = start
+    for m in _OPEN.finditer(text, start, end):
+        if text[m.end()].isupper() and len(text[at : m.start()].split()) >= OPEN_WORDS:
+            yield at, m.start()
+            at = m.end()
+    yield at, end
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -39,46 +58,47 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for m in _END.finditer(text):
         if text[at : m.start()].strip():
-            out.append((at, m.start()))
+            out += _parts(text, at, m.start())
             at = m.end()
         elif not out:
             at = m.end()
     if text[at:].strip():
-        out.append((at, len(text)))
+        out += _parts(text, at, len(text))
     return out
 
 
 def spans(text: str) -> list[tuple[bytes, int, int]]:
-    """(hash, first sentence, sentences) of the spans of a text."""
-    where = sentences(text)
-    parts = [text[a:b].encode().lower().split() for a, b in where]
-    size, line = [len(p) for p in parts], [b" ".join(p) for p in parts]
-    runs, words, end = [], 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (words < MIN_WORDS or end - i < RUN):
-            words += size[end]
+    """(hash, first sentence, sentences) of the shortest spans from and up to each sentence of a text."""
+    words = [text[a:b].encode().lower().split() for a, b in sentences(text)]
+    size, line = [len(w) for w in words], [b" ".join(w) for w in words]
+    if not text.isascii() and _UNSPACED.search(text):
+        size = [n + len(_UNSPACED.findall(x.decode())) // 2 for n, x in zip(size, line, strict=True)]
+    count, runs = len(size), []
+    held = end = 0
+    for i in range(count):
+        while end < count and held < MIN_WORDS:
+            held += size[end]
             end += 1
-        if words >= MIN_WORDS and end - i >= RUN:
-            runs.append((i, end - i))
-        words -= size[i]
-        if size[i] >= LONG_WORDS:
-            runs.append((i, 1))
-    forward = set(runs)
-    for k in range(len(parts)):
-        if k + 1 < len(parts) and "\n" not in text[where[k][1] : where[k + 1][0]]:
-            continue
-        i, words = k + 1, 0
-        while i > 0 and (words < MIN_WORDS or k + 1 - i < RUN):
-            i -= 1
-            words += size[i]
-        if words >= MIN_WORDS and k + 1 - i >= RUN and (i, k + 1 - i) not in forward:
-            runs.append((i, k + 1 - i))
-    return [(xxhash.xxh3_128_digest(b"\n".join(line[i : i + n])), i, n) for i, n in sorted(runs)]
+        if held < MIN_WORDS:
+            break
+        runs.append((i, end))
+        held -= size[i]
+    held, start, known = 0, count, set(runs)
+    for k in range(count, 0, -1):
+        while start > 0 and held < MIN_WORDS:
+            start -= 1
+            held += size[start]
+        if held < MIN_WORDS:
+            break
+        if (start, k) not in known:
+            runs.append((start, k))
+        held -= size[k - 1]
+    return [(xxhash.xxh3_128_digest(b"\n".join(line[i:k])), i, k - i) for i, k in sorted(runs)]
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
     """(h1, h2, doc_id, at, n, again) of all spans; again: the text has had the span before."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int8()), ("again", pa.bool_())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -93,29 +113,28 @@ def span_rows(docs: DataFrame) -> DataFrame:
                     again.append(d in seen)
                     seen.add(d)
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int8()), pa.array(again, pa.bool_())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(again, pa.bool_())], schema=schema)
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(run, "h1 long, h2 long, doc_id long, at int, n byte, again boolean")
+    return known.mapInArrow(run, "h1 long, h2 long, doc_id long, at int, n int, again boolean")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, at) of the sentences that a non-first span covers, written."""
+    """(doc_id, gone) of the documents that have a non-first span, written; gone: these spans as (at, n)."""
     rows = span_rows(docs)
     own = rows.where(~F.col("again"))
     shared = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    shared = shared.where("first_id < last_id").select("h1", "h2", "first_id")
-    later = own.join(shared, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_id"))
+    shared = written(shared.where("first_id < last_id").select("h1", "h2", "first_id"))
+    later = own.join(shared.hint("shuffle_merge"), ["h1", "h2"], "left").where(F.col("doc_id") > F.coalesce("first_id", "doc_id"))
     gone = later.select("doc_id", "at", "n").unionByName(rows.where("again").select("doc_id", "at", "n"))
-    each = gone.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
-    return written(each.distinct())
+    return written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("gone")))
 
 
 def cut(text: str, gone: list[int]) -> str:
     """The text without these sentences and the white space after each."""
     drop, where = set(gone), sentences(text)
     keep, at = [], 0
-    for k, (start, end) in enumerate(where):
+    for k, (start, _) in enumerate(where):
         if k in drop:
             keep.append(text[at:start])
             at = where[k + 1][0] if k + 1 < len(where) else len(text)
@@ -123,22 +142,34 @@ def cut(text: str, gone: list[int]) -> str:
     return "".join(keep).strip()
 
 
-def _cut_all(text: pd.Series, gone: pd.Series) -> pd.Series:
-    return pd.Series([t if g is None else cut(t or "", g) for t, g in zip(text, gone, strict=True)], dtype=object)
+def _cut_all(text: pd.Series, spans_: pd.Series) -> pd.DataFrame:
+    """The text left and the sentences that went, of the rows that have spans."""
+    left, gone = [], []
+    for t, own in zip(text, spans_, strict=True):
+        if own is None:
+            left.append(None)
+            gone.append(None)
+        else:
+            gone.append(sorted({k for x in own for k in range(x["at"], x["at"] + x["n"])}))
+            left.append(cut(t or "", gone[-1]))
+    return pd.DataFrame({"text": pd.Series(left, dtype=object), "gone": pd.Series(gone, dtype=object)})
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated sentences cut out of ``text``, and ``__gone``: the numbers of the sentences that went (or null).
+def remove_repeats(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """docs with the repeated sentences cut out of ``text``; removed: a column to add, the numbers of the sentences that went.
 
-    Texts that lose nothing stay as they are. Texts and removed sentences meet by id, at any size in the same way; Spark
-    sends the sentences to the texts only where it knows them to be few.
+    Texts that lose nothing stay as they are, and ``removed`` is null there. Texts and spans meet by id in a merge join at any
+    size, as the spans grow with the corpus. Only texts that lose something go through Python.
     """
-    lists = covered(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list("at")).alias("__gone"))
-    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    left = F.pandas_udf(_cut_all, "string")("text", "__gone")
-    return joined.select(*[left.alias("text") if c == "text" else F.col(c) for c in docs.columns], "__gone")
+    key, spans_, out = (free_name(docs, n) for n in ("__id", "__spans", "__out"))
+    joined = docs.join(covered(docs).select(F.col("doc_id").alias(key), F.col("gone").alias(spans_)).hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(key), "left")
+    own = F.pandas_udf(_cut_all, "text string, gone array<int>")(F.when(F.col(spans_).isNotNull(), F.col("text")), F.col(spans_))
+    left = F.when(F.col(spans_).isNotNull(), F.col(f"{out}.text")).otherwise(F.col("text")).alias("text")
+    more = [F.when(F.col(spans_).isNotNull(), F.col(f"{out}.gone")).alias(removed)] if removed else []
+    kept = [left if c == "text" else F.col(f"`{c}`") for c in docs.columns if not removed or c.lower() != removed.lower()]
+    return joined.withColumn(out, own).select(*kept, *more)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    rows = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_sentences"), "text")
+    rows = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), "gone")
+    return rows.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_sentences"), "text")

@@ -27,6 +27,7 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     The ids go to the documents where they are few (their number is checked); else both sides shuffle by id.
     Rows with a null id stay.
     """
-    from newsfold.functions.runtime import small
+    from newsfold.functions.runtime import free_name, small
 
-    return docs.join(small(dropped.select(F.col(dropped.columns[0]).alias("__id"))), F.col(id_col) == F.col("__id"), "left_anti")
+    key = free_name(docs, "__id")
+    return docs.join(small(dropped.select(F.col(dropped.columns[0]).alias(key))), F.col(id_col) == F.col(key), "left_anti")
