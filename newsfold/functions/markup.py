@@ -13,6 +13,10 @@ NOT_FREE = frozenset(["false", "no", "0"])
 PAID_TYPES = ("NewsArticle", "Article", "BlogPosting", "WebPage", "CreativeWork")
 
 
+class Mark(str):
+    """A sign of the markdown, not of the page's text."""
+
+
 class Page(HTMLParser):
     """What one pass over a page finds: meta data, structured data, markdown blocks, links and free-access marks."""
 
@@ -64,11 +68,11 @@ class Page(HTMLParser):
         elif tag == "a":
             self._link = "" if "redlink" in a.get("href", "") or "new" in classes else a.get("href", "")
             if self._link:
-                self._say("[")
+                self._say(Mark("["))
         elif tag in ("b", "strong"):
-            self._say("**")
+            self._say(Mark("**"))
         elif tag in ("i", "em"):
-            self._say("*")
+            self._say(Mark("*"))
 
     def _block(self, tag):
         level = {"li": "- ", "blockquote": "> "} | {f"h{i}": "#" * i + " " for i in range(1, 7)}
@@ -80,6 +84,17 @@ class Page(HTMLParser):
                 self._block("p")
             self.blocks[-1][1].append(text)
 
+    def _end(self, begun: str, mark: str):
+        """The end of a mark; a mark around nothing goes."""
+        parts = self.blocks[-1][1] if self.blocks else []
+        k = len(parts)
+        while k and not isinstance(parts[k - 1], Mark) and not parts[k - 1].strip():
+            k -= 1
+        if k and isinstance(parts[k - 1], Mark) and parts[k - 1] == begun:
+            del parts[k - 1]
+        else:
+            self._say(Mark(mark))
+
     def handle_endtag(self, tag):
         if tag not in [t for t, _ in self._open]:
             return
@@ -92,12 +107,12 @@ class Page(HTMLParser):
                 self.ld.append("".join(self._into))
                 self._into = None
             elif t == "a" and self._link:
-                self._say(f"]({self._link})")
+                self._end("[", f"]({self._link})")
                 self._link = ""
             elif t in ("b", "strong"):
-                self._say("**")
+                self._end("**", "**")
             elif t in ("i", "em"):
-                self._say("*")
+                self._end("*", "*")
             self._open.pop()
             if t == tag:
                 break
@@ -115,17 +130,16 @@ class Page(HTMLParser):
 
     def markdown(self) -> str:
         """The visible text with # headings, - items and links."""
-        lines = []
-        for lead, parts in self.blocks:
-            text = re.sub(r"\*\*\s*\*\*|\[\s*\]\([^)]*\)", "", " ".join("".join(parts).split())).strip()
-            if text.strip("* "):
-                lines.append(lead + text)
+        lines = (lead + " ".join("".join(parts).split()) for lead, parts in self.blocks if self._plain(parts))
         return "\n\n".join(lines)
 
+    @staticmethod
+    def _plain(parts: list[str]) -> str:
+        return " ".join("".join(p for p in parts if not isinstance(p, Mark)).split())
+
     def text(self) -> str:
         """The visible text without marks."""
-        lines = (" ".join(re.sub(r"\*\*|\[|\]\([^)]*\)", "", "".join(p)).split()) for _, p in self.blocks)
-        return "\n".join(x for x in lines if x)
+        return "\n".join(filter(None, (self._plain(p) for _, p in self.blocks)))
 
 
 def _false(v) -> bool:
