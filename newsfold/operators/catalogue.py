@@ -7,11 +7,11 @@ labels, outlet. Articles have a key, ``created_at``, ``updated_at`` and ``urls``
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsfold.functions.runtime import written
-from newsfold.operators.stubs import attribute_sources
+from newsfold.operators.stubs import attribute_sources, largest_limit, newest_per_outlet
 
 #: The five answers of the scale, from the mildest.
 CLICKBAIT = ("Not Clickbait at all", "Slightly Clickbaity", "Moderately Clickbaity", "Very Clickbaity", "Extremely Clickbaity")
@@ -102,7 +102,7 @@ def upsert_catalogue(catalogue: DataFrame, batch: DataFrame, keep_old_urls: bool
 
     folded = rows.groupBy("idx", "__new").agg(
         F.max("updated").alias("__updated"), F.min("pos").alias("__pos"), last("title"), last("clickbaitiness"), last("outlet"),
-        F.max_by("urls", "pos").alias("__urls"), F.array_distinct(F.flatten(F.collect_list("labels"))).alias("__labels"),
+        F.max_by("urls", "pos").alias("__urls"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("__labels"),
     )
     most = F.coalesce(F.max("idx"), F.lit(-1))
     base = catalogue.agg(most.alias("__base"))
@@ -128,9 +128,7 @@ def prune_catalogue(catalogue: DataFrame, sources: DataFrame, now: Column) -> Da
     """Entries of enabled sources, not older than allowed, the newest max_num_articles of each; the order stays idx."""
     rows = attribute_sources(catalogue, sources)
     rows = rows.where(F.col("max_age_days").isNull() | (F.col("updated") >= now - F.make_dt_interval(F.col("max_age_days"))))
-    w = Window.partitionBy("outlet").orderBy(F.desc("updated"), F.asc("idx"))
-    rows = rows.withColumn("__rn", F.row_number().over(w))
-    return rows.where(F.col("max_num_articles").isNull() | (F.col("__rn") <= F.col("max_num_articles"))).select(*catalogue.columns)
+    return newest_per_outlet(rows, largest_limit(sources), [F.desc("updated"), F.asc("idx")], "idx").select(*catalogue.columns)
 
 
 def removed_entries(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def following_revisions(revisions: DataFrame, n: int) -> DataFrame:
     beyond them but revisions of the same second.
     """
     w = Window.partitionBy("pageid").orderBy("ts", "revid")
-    later = F.min("__rn").over(Window.partitionBy("pageid").orderBy(F.unix_micros("__t")).rangeBetween(1_000_000, Window.unboundedFollowing))
+    # backwards in time the frame only grows, so that its minimum is kept and not computed anew for each row
+    later = F.min("__rn").over(Window.partitionBy("pageid").orderBy(-F.unix_micros("__t")).rangeBetween(Window.unboundedPreceding, -1_000_000))
     r = revisions.select("pageid", "revid", "ts", F.col("ts").cast("timestamp").alias("__t")).withColumn("__rn", F.row_number().over(w)).withColumn("__from", later)
     steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
     wanted = r.where("__from is not null").select("pageid", "revid", "__from", steps).select("pageid", "revid", (F.col("k") + 1).alias("nth"), (F.col("__from") + F.col("k")).alias("__rn"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsfold.functions.runtime import small, written
+from newsfold.functions.runtime import parts, small, written
 
 
 def recency(df: DataFrame) -> Column:
@@ -40,15 +40,32 @@ def filter_max_age(stubs: DataFrame, sources: DataFrame, now: Column) -> DataFra
     return rows.where(F.col("max_age_days").isNull() | (F.coalesce(recency(stubs), now) >= cut)).select(*stubs.columns)
 
 
+def newest_per_outlet(rows: DataFrame, most: int | None, order: Sequence[Column], at: str) -> DataFrame:
+    """rows (with outlet and max_num_articles) that are among the first max_num_articles of their outlet; no limit keeps all.
+
+    most: the largest limit, a literal, so that Spark ranks no further than that. Ranks are taken in buckets of an outlet
+    first and then among what is left, so no task sorts a whole outlet; rows without a limit are in no group with others
+    (``at`` is a unique column) and pass.
+    """
+    if most is None:
+        return rows
+    alone = F.when(F.col("max_num_articles").isNull(), F.col(at))
+    for bucket in (F.pmod(F.xxhash64(at), F.lit(parts(rows.sparkSession, 1))), F.lit(0)):
+        w = Window.partitionBy("outlet", F.coalesce(alone, F.lit(-1)), bucket).orderBy(*order)
+        rows = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most)
+    return rows.where(alone.isNotNull() | (F.col("__rn") <= F.col("max_num_articles"))).drop("__rn")
+
+
+def largest_limit(sources: DataFrame) -> int | None:
+    """The largest max_num_articles of enabled sources; null if none has a limit."""
+    return source_settings(sources).agg(F.max("max_num_articles")).first()[0]
+
+
 def latest_per_source(stubs: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """The newest max_num_articles stubs of each enabled source, after the age limit; ties in order of discovery."""
     rows = attribute_sources(filter_max_age(stubs, sources, now), sources)
-    most = source_settings(sources).agg(F.max("max_num_articles"), F.count_if(F.col("max_num_articles").isNull())).first()
-    w = Window.partitionBy("outlet").orderBy(F.desc_nulls_last(recency(stubs)), F.asc("pos"))
-    rows = rows.withColumn("__rn", F.row_number().over(w))
-    if most[0] is not None and not most[1]:
-        rows = rows.where(F.col("__rn") <= most[0])  # a literal, so that Spark ranks no further in each task
-    return rows.where(F.col("max_num_articles").isNull() | (F.col("__rn") <= F.col("max_num_articles"))).select(*stubs.columns)
+    order = [F.desc_nulls_last(recency(stubs)), F.asc("pos")]
+    return newest_per_outlet(rows, largest_limit(sources), order, "pos").select(*stubs.columns)
 
 
 def newest_first(stubs: DataFrame) -> DataFrame:

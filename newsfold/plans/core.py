@@ -60,19 +60,21 @@ MATCH = f"{ctes(STUBS, CATALOGUE, INCOMING)} select i.pos, c.idx from incoming i
 
 
 def needs_update(spark, d):
-    """The flagship: handled stubs, first of their URL and id, young enough, newest per source, that the catalogue needs."""
-    s = S.dedup_first_wins(V.stubs(spark, d).where(U.has_handled_url(F.col("urls"))), None)
-    late = V.stubs(spark, d).join(s.select("href").distinct(), "href", "left_semi")
-    return C.needs_update(S.latest_per_source(late, V.sources(spark, d), V.now()), V.catalogue(spark, d)).select(COLS)
+    """The flagship: handled stubs, first of their URL and id, young enough, newest per source, that the catalogue needs.
+
+    Feeds list what is new first, so the places run against the events' numbers.
+    """
+    found = V.stubs(spark, d).where(U.has_handled_url(F.col("urls"))).withColumn("pos", -F.col("pos"))
+    s = S.dedup_first_wins(found, None)
+    return C.needs_update(S.latest_per_source(s, V.sources(spark, d), V.now()), V.catalogue(spark, d)).select((-F.col("pos")).alias("pos"), *COLS[1:])
 
 
 NEEDS = f"""
 {ctes(STUBS, SOURCES, CATALOGUE, ENABLED)},
-u as (select *, row_number() over (partition by href order by pos) as rn from stubs),
-i as (select *, row_number() over (partition by id order by pos) as ri from u where rn = 1),
-late as (select * from stubs where href in (select href from i where ri = 1)),
-aged as (select late.*, max_num_articles from late join enabled using (outlet) where max_age_days is null or updated_at >= timestamp '{NOW}' - max_age_days * interval 1 day),
-r as (select *, row_number() over (partition by outlet order by updated_at desc, pos) as rk from aged),
+u as (select *, row_number() over (partition by href order by pos desc) as rn from stubs),
+i as (select *, row_number() over (partition by id order by pos desc) as ri from u where rn = 1),
+aged as (select i.* exclude (rn, ri), max_num_articles from i join enabled using (outlet) where ri = 1 and (max_age_days is null or updated_at >= timestamp '{NOW}' - max_age_days * interval 1 day)),
+r as (select *, row_number() over (partition by outlet order by updated_at desc, pos desc) as rk from aged),
 l as (select * from r where max_num_articles is null or rk <= max_num_articles)
 select l.pos, l.outlet, l.href, l.id, l.updated_at from l left join catalogue c on c.sign = l.signature where c.idx is null or l.updated_at > c.updated"""
 

@@ -57,7 +57,8 @@ def _users(spark, d):
     """A user's event types stand for groups; every seventh user is an address."""
     e = V.table(spark, d, "events")
     group = F.element_at(F.create_map(*[F.lit(x) for kv in {"click": "Sysop", "view": "autoconfirmed", "purchase": "bot", "signup": "rollback", "error": "reader"}.items() for x in kv]), F.col("event_type"))
-    u = e.where("value > 60").groupBy("user_id").agg(F.collect_list(group).alias("groups"), F.max("value").alias("m"))
+    has = (F.col("user_id") + F.length("event_type")) % 3 != 0
+    u = e.groupBy("user_id").agg(F.collect_set(F.when(has, group)).alias("groups"), F.max("value").alias("m"))
     name = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
     users = u.select(name.alias("name"), "groups", F.when(F.col("m") > 250, F.lit(1)).alias("blockid"), (F.col("user_id") % 11 == 0).alias("invalid"))
     return users, users.where(F.col("name").rlike(R.IS_IP) & F.col("blockid").isNotNull()).select(F.col("name").alias("ip"))
@@ -68,10 +69,10 @@ def power_levels(spark, d):
 
 
 POWERS = """
-g as (select distinct user_id, case event_type when 'click' then 100 when 'view' then 1 when 'purchase' then 10 when 'signup' then 50 else 0 end as t from events where value > 60),
-u as (select user_id, sum(t) as t from g group by user_id), b as (select user_id, max(value) > 250 as blocked from events where value > 60 group by user_id),
+g as (select distinct user_id, case event_type when 'click' then 100 when 'view' then 1 when 'purchase' then 10 when 'signup' then 50 else 0 end as t from events where (user_id + length(event_type)) % 3 <> 0),
+u as (select user_id, sum(t) as t from g group by user_id), b as (select user_id, max(value) > 250 as blocked from events group by user_id),
 w as (select case when user_id % 7 = 0 then '10.0.0.' || user_id else 'u' || user_id end as name,
-  (case when user_id % 7 = 0 then case when blocked then -10000 else 0 end when user_id % 11 = 0 then 0 else t + case when blocked then -10000 else 0 end end)::int as power from u join b using (user_id))"""
+  (case when user_id % 7 = 0 then case when blocked then -10000 else 0 end when user_id % 11 = 0 then 0 else coalesce(t, 0) + case when blocked then -10000 else 0 end end)::int as power from b left join u using (user_id))"""
 
 
 def trust_rank(spark, d):
