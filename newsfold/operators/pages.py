@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,17 +101,32 @@ def paywall_evidence(pages: DataFrame) -> DataFrame:
     return _per_page(pages, read, "page_id long, type string, tag string, value string, path string, text string")
 
 
-def trigrams(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs' (keep..., gram) of every three characters of the lower-cased words."""
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " ")), F.lit(" "))
-    # characters as an array: to find the i-th character of a string takes i steps
-    rows = docs.select(*keep, F.filter(F.split(t, ""), lambda c: c != "").alias("__c")).where(F.size("__c") >= 3)
-    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(F.get("__c", i), F.get("__c", i + 1), F.get("__c", i + 2)))).alias("gram"))
+def letters(text: Column) -> Column:
+    """The lower-cased words between single spaces, with one before and one behind."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")), F.lit(" "))
+
+
+def _trigrams(text: str | None) -> Counter:
+    t = text or ""
+    return Counter(map("".join, zip(t, t[1:], t[2:], strict=False)))
 
 
 def language_profiles(docs: DataFrame) -> DataFrame:
-    """(language, gram, logp): the commonest trigrams of each language and their chances, over all labelled docs."""
-    counts = trigrams(docs.where("language is not null"), "language").groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """(language, gram, logp): the commonest trigrams of each language and their chances, over all labelled docs.
+
+    Trigrams are counted by batch before the shuffle: a batch sends each of a language's grams once.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for language, texts in pdf.groupby("language")["t"]:
+                counts: Counter = Counter()
+                for t in texts:
+                    counts.update(_trigrams(t))
+                yield pd.DataFrame({"language": language, "gram": list(counts.keys()), "k": list(counts.values())})
+
+    known = docs.where("language is not null").select("language", letters(F.col("text")).alias("t"))
+    counts = known.mapInPandas(run, "language string, gram string, k long").groupBy("language", "gram").agg(F.sum("k").alias("n"))
     w = Window.partitionBy("language")
     counts = counts.withColumn("p", F.col("n") / F.sum("n").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), "gram")))
     return counts.where(F.col("rn") <= PROFILE).select("language", "gram", F.ln("p").alias("logp"))
@@ -116,13 +135,22 @@ def language_profiles(docs: DataFrame) -> DataFrame:
 def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, detected): the language whose profile makes the text's trigrams likeliest; null if none is known.
 
-    A gram of any profile gets a column for each language. That table has a few hundred rows a language, so it goes to
-    the texts, whose grams aren't shuffled.
+    A gram of any profile has a chance in each language. That table has ``PROFILE`` rows a language, so it goes to the
+    texts; these are scored batch by batch, without a shuffle.
     """
-    langs = sorted(r.language for r in profiles.select("language").distinct().collect())  # a row a language
+    known = profiles.toPandas()  # PROFILE rows a language
+    langs = sorted(known["language"].unique())
     if not langs:
         return docs.select(key, F.lit(None).cast("string").alias("detected"))
-    wide = profiles.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("language") == x, F.col("logp"))), F.ln(F.lit(UNSEEN))).alias(f"__{k}") for k, x in enumerate(langs)])
-    sums = trigrams(docs, key).join(F.broadcast(wide), "gram").groupBy(key).agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in range(len(langs))])
-    best = sums.select(key, F.array_max(F.array(*[F.struct(F.round(f"__{k}", 6).alias("s"), F.lit(x).alias("l")) for k, x in enumerate(langs)]))["l"].alias("detected"))
-    return docs.select(key).join(best, key, "left")
+    table = known.pivot(index="gram", columns="language", values="logp").reindex(columns=langs).fillna(math.log(UNSEEN))
+    at, logp = {g: i for i, g in enumerate(table.index)}, table.to_numpy()
+
+    def best(text: str | None) -> str | None:
+        own = [(at[g], k) for g, k in _trigrams(text).items() if g in at]
+        if not own:
+            return None
+        rows, counts = zip(*own, strict=True)
+        return max(zip((np.array(counts) @ logp[list(rows)]).round(6), langs, strict=True))[1]
+
+    detected = F.pandas_udf(lambda texts: texts.map(best).astype(object), "string")
+    return docs.select(key, detected(letters(F.col("text"))).alias("detected"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsfold.functions.graph import connected_components
+from newsfold.functions.runtime import written
 from newsfold.functions.vectors import cosine, dot, norm
 
 #: Shares of a group's titles that make a supermajority and a consensus; 1 is unanimous.
@@ -110,11 +111,12 @@ def tfidf_top_terms(docs: DataFrame, key: str = "doc_id", n: int = 10) -> DataFr
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     rows = docs.select(key, words.alias("w")).where(F.size("w") > 0)
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read for the terms' frequencies and for the join, so counted once
+    tf = written(rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = df.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    w = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
     by = Window.partitionBy(key)
     w = w.withColumn("weight", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(by)), 9))
     return w.withColumn("rank", F.row_number().over(by.orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= n).select(key, "term", "weight", "rank")
