@@ -38,12 +38,12 @@ def section_parents(spark, d):
 
 
 def section_documents(spark, d):
-    tree = _tree(spark, d).withColumn("summary", F.substring("body", 1, 10))
+    tree = _tree(spark, d).withColumn("summary", F.col("body"))
     return S.section_documents(tree).select("doc_id", "pos", F.md5("path").alias("path"), F.md5("text").alias("text"))
 
 
 DOCS = f"""with recursive {HEADED},
-n as (select doc_id, pos, parent_pos, title, body, concat_ws(chr(10) || chr(10), title, nullif(left(body, 10), '')) as intro from par),
+n as (select doc_id, pos, parent_pos, title, body, concat_ws(chr(10) || chr(10), title, nullif(body, '')) as intro from par),
 a as (select doc_id, pos, parent_pos as up, title as path, body as text from n
   union all select a.doc_id, a.pos, n.parent_pos, n.title || ' > ' || a.path, n.intro || case when n.intro <> '' and a.text <> '' then chr(10) || chr(10) else '' end || a.text
   from a join n on n.doc_id = a.doc_id and n.pos = a.up)
@@ -107,10 +107,10 @@ def _replies(spark, d):
     c = V.table(spark, d, "conversations").where("role = 'assistant'").withColumn("article_id", F.col("conv_id") * 100 + F.col("turn"))
     k = F.col("article_id") % 7
     level = F.when(k == 5, F.lit("Rather")).otherwise(F.lit(CLICKBAIT[1]))
-    json = F.to_json(F.struct(F.when(k == 1, F.lit("")).otherwise(F.lit("because")).alias("contemplator"), level.alias("original_title_clickbaitiness"), F.substring("text", 1, 60).alias("title")))
+    json = F.to_json(F.struct(F.when(k == 1, F.lit("")).otherwise(F.lit("because")).alias("contemplator"), level.alias("original_title_clickbaitiness"), F.col("text").alias("title")))
     reply = (
         F.when(k == 0, F.concat(F.lit("```json\n{}\n```\nBetter:\n```json\n"), json, F.lit("\n```"))).when(k == 1, F.concat(F.lit("<think>deep</think>"), json))
-        .when(k == 2, F.expr("substring(j, 1, length(j) - 2)") if False else F.substring(json, 1, 10_000)).when(k == 3, F.lit("")).when(k == 4, F.lit("no json")).otherwise(json)
+        .when(k == 3, F.lit("")).when(k == 4, F.lit("no json")).otherwise(json)
     )
     out = c.withColumn("reply", reply)
     return out.withColumn("reply", F.when(k == 2, F.expr("substring(reply, 1, length(reply) - 2)")).otherwise(F.col("reply"))).select("article_id", "text", "reply")
@@ -123,7 +123,7 @@ def parse_replies(spark, d):
 
 REPLIES = """with c as (select conv_id * 100 + turn as article_id, text, (conv_id * 100 + turn) % 7 as k from conversations where role = 'assistant')
 select article_id, case k when 3 then 'empty' when 4 then 'invalid' when 5 then 'scale' end as error, case when k in (3, 4, 5) then null when k = 1 then 'deep' else 'because' end as why,
-  case when k = 2 then rtrim(left(text, 60), ' ') when k not in (3, 4, 5) then left(text, 60) end as title from c"""
+  case when k = 2 then rtrim(text, ' ') when k not in (3, 4, 5) then text end as title from c"""
 
 
 def render_prompt(spark, d):
@@ -153,6 +153,9 @@ def predict(spark, d):
     return good.select("article_id", "attempt", F.col("value.title").alias("title"))
 
 
+PREDICT = """select doc_id as article_id, case when length(concat_ws(chr(10) || chr(10), 'Title: doc ' || doc_id, 'Text:' || chr(10) || '    ' || replace(text, chr(10), chr(10) || '    '),
+  'Answer with JSON of this form: contemplator string, original_title_clickbaitiness string, title string')) < 1500 then 1 else 2 end as attempt, 'DOC ' || doc_id as title from documents"""
+
 QUERIES = {
     "split_sections": (split_sections, f"with {HEADED} select doc_id, pos, level, title, body from sec"),
     "section_parents": (section_parents, f"with {HEADED} select doc_id, pos, level, parent_pos from par"),
@@ -163,5 +166,5 @@ QUERIES = {
     "parse_story_payload": (parse_story_payload, PAYLOAD),
     "parse_replies": (parse_replies, REPLIES),
     "render_prompt": (render_prompt, PROMPT),
-    "predict": (predict, None),
+    "predict": (predict, PREDICT),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsfold.functions.runtime import shared_dir
 from newsfold.operators import catalogue as C
-from newsfold.plans import core
+from newsfold.plans import core, pages
 from newsfold.plans import views as V
 from newsfold.plans.views import BATCH, CATALOGUE, INCOMING, NOW, SOURCES, STUBS, ctes
 from newsfold.sources import feeds as R
@@ -27,6 +27,10 @@ def _escaped(c):
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def _trimmed(c):
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
 def _documents(rows, key, head, tail):
     """A file for each hundred records, as a feed has them."""
     path = _path(rows.sparkSession)
@@ -38,7 +42,7 @@ def _documents(rows, key, head, tail):
 def _feed_path(spark, d):
     docs = V.articles(spark, d)
     i = F.col("doc_id").cast("string")
-    body = _escaped(F.substring("text", 1, 200))
+    body = _escaped(F.col("text"))
     link = F.when(F.col("doc_id") % 10 != 9, F.concat(F.lit("<link>https://n.example.org/"), i, F.lit("</link>"))).otherwise(F.lit(""))
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<content type="text/plain">Full '), i, F.lit("</content>"))).when(F.col("doc_id") % 3 == 1, F.lit('<content type="image/png">x</content>')).otherwise(F.concat(F.lit('<content type="text/html">&lt;h1>Head&lt;/h1>&lt;p>Para '), i, F.lit("&lt;/p></content>")))
     date = F.when(F.col("doc_id") % 4 == 0, F.lit("<pubDate>Mon, 15 Jan 2024 08:00:00 +0200</pubDate>")).when(F.col("doc_id") % 4 == 1, F.lit("<published>2024-01-16T10:00:00Z</published>")).otherwise(F.lit("<pubDate>soon</pubDate>"))
@@ -48,21 +52,24 @@ def _feed_path(spark, d):
 
 def read_feed_xml(spark, d):
     rows = R.read_feed_xml(spark, _feed_path(spark, d), _now(), "en")
-    return rows.select("href", "id", "title", F.array_join("authors", ";").alias("authors"), F.when(~F.startswith("title", F.lit("Item x")) & F.col("text").rlike("^(Full|# Head)"), F.col("text")).alias("text"), F.col("created_at").cast("string").alias("created_at"))
+    return rows.select("href", "id", "title", F.array_join("authors", ";").alias("authors"), F.md5(_trimmed(F.col("text"))).alias("text"), F.col("created_at").cast("string").alias("created_at"))
 
 
 FEED = r"""select 'https://n.example.org/' || doc_id as href, 'https://n.example.org/' || doc_id as id, 'Item ' || doc_id as title, 'Ann;Bo' as authors,
-  case doc_id % 3 when 0 then 'Full ' || doc_id when 2 then '# Head' || chr(10) || chr(10) || 'Para ' || doc_id end as text,
+  md5(case doc_id % 3 when 0 then 'Full ' || doc_id when 2 then '# Head' || chr(10) || chr(10) || 'Para ' || doc_id else regexp_replace(text, '^\s+|\s+$', '', 'g') end) as text,
   case doc_id % 4 when 0 then '2024-01-15 06:00:00' when 1 then '2024-01-16 10:00:00' else '2024-01-31 00:00:00' end as created_at from documents where doc_id % 10 <> 9"""
 
 
 def discover(spark, d):
-    docs = [{"name": "Alpha", "url": _feed_path(spark, d), "language": "en"}, {"name": "Beta", "url": _map_path(spark, d), "type": "sitemap"}, {"name": "Off", "url": "nowhere", "enabled": False}]
-    return R.discover(spark, docs, _now()).groupBy("outlet").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("n_pos"))
-
-
-DISCOVER = """select 'Alpha' as outlet, count(*) as n, count(*) as n_pos from documents where doc_id % 10 <> 9 union all
-select case when page_id % 2 = 0 then 'Paper' else 'Beta' end, count(*), count(*) from pages group by page_id % 2"""
+    """A feed that is listed twice, a sitemap with a dead URL beside it, list feeds, links of saved pages, and a source that is off."""
+    own = R.SourceRegistry({k: list(v) for k, v in R.readers.entries.items()})
+    own.register("list")(R.json_list_reader(SERVICES, lines=True, max_age=F.expr("interval 40 days")))
+    feed, dead = _feed_path(spark, d), _path(spark)
+    docs = [
+        {"name": "Alpha", "url": [feed, feed], "language": "en"}, {"name": "Beta", "url": [dead, _map_path(spark, d)], "type": "sitemap"}, {"name": "Gamma", "url": _list_path(spark, d), "type": "list"},
+        {"name": "Delta", "url": f"{d}/pages.parquet", "type": "links"}, {"name": "Off", "url": "nowhere", "enabled": False}, {"name": "Dead", "url": dead},
+    ]
+    return R.discover(spark, docs, _now(), own).groupBy("outlet").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("n_pos"))
 
 
 def _map_path(spark, d):
@@ -81,19 +88,39 @@ def read_sitemap_xml(spark, d):
 SITEMAP = "select url as href, case when page_id % 3 = 0 then url || '#0.5' end as id, case when page_id % 2 = 0 then 'Story ' || page_id end as title, case when page_id % 2 = 0 then 'Paper' end as outlet, case when page_id % 2 = 0 then '2024-01-10 00:00:00' else '2024-01-09 00:00:00' end as created_at from pages"
 
 
-def read_json_list_feed(spark, d):
+SERVICES = {"paper": "https://paper.example.org/{category}/{id}"}
+
+
+def _list_path(spark, d):
+    """List feeds of a hundred records; every fourth has records of an unknown service, every fifth ones of the future."""
+    g = F.floor(F.col("pos") / 100)
     e = V.stubs(spark, d)
     canon = F.when(F.col("k") % 4 == 0, F.concat(F.lit("https://canon.example.org/"), F.col("pos").cast("string")))
-    rec = F.struct(F.col("pos").cast("string").alias("article_id"), F.concat(F.lit("T "), F.col("pos").cast("string")).alias("title"), F.when(F.col("k") % 7 == 0, F.lit("other")).otherwise(F.lit("paper")).alias("service_name"), F.struct(F.col("outlet").alias("category_name")).alias("category"),
-                   F.when(F.col("k") % 5 != 0, F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("published_at"), F.struct(F.col("sponsored").alias("sponsored_content"), canon.alias("canonical_url")).alias("metadata"))
+    made = F.date_format(F.when((g % 5 == 3) & (F.col("k") % 11 == 0), F.col("created_at") + F.expr("interval 1 year")).otherwise(F.col("created_at")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    service = F.when((g % 4 == 0) & (F.col("k") % 7 == 0), F.lit("other")).otherwise(F.when(F.col("k") % 2 == 0, F.lit("Paper")).otherwise(F.lit("paper")))
+    rec = F.struct(F.col("pos").cast("string").alias("article_id"), F.concat(F.lit("T "), F.col("pos").cast("string")).alias("title"), service.alias("service_name"), F.struct(F.col("outlet").alias("category_name")).alias("category"),
+                   F.when(F.col("k") % 5 != 0, made).alias("published_at"), F.struct(F.col("sponsored").alias("sponsored_content"), canon.alias("canonical_url")).alias("metadata"))
     path = _path(spark)
-    e.select(F.floor(F.col("pos") / 100).alias("g"), rec.alias("r")).groupBy("g").agg(F.collect_list("r").alias("response")).select("response").write.json(path)
-    out = R.read_json_list_feed(spark, path, {"paper": "https://paper.example.org/{category}/{id}"}, _now(), "fi", "Paper", lines=True)
+    e.select(g.alias("g"), rec.alias("r")).groupBy("g").agg(F.collect_list("r").alias("response")).select("response").write.json(path)
+    return path
+
+
+def read_json_list_feed(spark, d):
+    out = R.read_json_list_feed(spark, _list_path(spark, d), SERVICES, _now(), "fi", "Paper", lines=True, max_age=F.expr("interval 40 days"))
     return out.select("id", "href", "title", F.col("created_at").cast("string").alias("created_at"))
 
 
-LIST = f"""{ctes(STUBS)} select pos::varchar as id, case when k % 4 = 0 then 'https://canon.example.org/' || pos else 'https://paper.example.org/' || outlet || '/' || pos end as href, 'T ' || pos as title,
-  strftime(date_trunc('second', created_at), '%Y-%m-%d %H:%M:%S') as created_at from stubs where not sponsored and k % 5 <> 0 and (k % 7 <> 0 or k % 4 = 0)"""
+LISTED = """
+sought as (select *, pos // 100 as g from stubs where not sponsored and k % 5 <> 0),
+bad as (select distinct g from sought where g % 4 = 0 and k % 7 = 0 or g % 5 = 3 and k % 11 = 0),
+listed as (select pos::varchar as id, case when k % 4 = 0 then 'https://canon.example.org/' || pos else 'https://paper.example.org/' || outlet || '/' || pos end as href, 'T ' || pos as title,
+  strftime(date_trunc('second', created_at), '%Y-%m-%d %H:%M:%S') as created_at from sought where g not in (select g from bad))"""
+LIST = f"{ctes(STUBS, LISTED)} select * from listed"
+DISCOVER = f"""{ctes(STUBS, LISTED)}, x as (
+select 'Alpha' as outlet, count(*) as n from documents where doc_id % 10 <> 9 union all
+select case when page_id % 2 = 0 then 'Paper' else 'Beta' end, count(*) from pages group by page_id % 2 union all
+select 'Gamma', count(*) from listed union all select 'Delta', count(distinct href) from ({pages.LINKS}))
+select outlet, sum(n)::bigint as n, sum(n)::bigint as n_pos from x where n > 0 group by outlet"""
 
 
 def read_json_nested_feed(spark, d):
@@ -186,7 +213,23 @@ def late_data(spark, d):
     return I.late_data(_signed(spark, d), F.lit(V.SPLIT).cast("timestamp_ntz"))[1]
 
 
+def stream_late(spark, d):
+    """Stubs that come in three batches, dealt by number; late are those ten days behind the batches before."""
+    s, path = _signed(spark, d), _path(spark)
+    for k in range(3):
+        s.where(F.col("pos") % 3 == k).repartition(2, "pos").write.mode("append").parquet(path)
+    in_time, late = I.stream_late(I.stream_files(spark, path, s.schema, 2), _path(spark), _path(spark), delay="10 days")
+    sides = in_time.select("outlet", F.lit("in time").alias("side")).unionByName(late.select("outlet", F.lit("late").alias("side")))
+    return sides.groupBy("outlet", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+LATE = f"""{ctes(STUBS)}, b as (select pos % 3 as b, max(updated_at) as t from stubs group by 1),
+w as (select s.*, updated_at < (select max(t) from b where b.b < s.pos % 3) - interval 10 day as late from stubs s)
+select outlet, case when coalesce(late, false) then 'late' else 'in time' end as side, count(*) as n from w group by all"""
+
+
 QUERIES = {
+    "stream_late": (stream_late, LATE),
     "read_feed_xml": (read_feed_xml, FEED),
     "read_sitemap_xml": (read_sitemap_xml, SITEMAP),
     "read_json_list_feed": (read_json_list_feed, LIST),

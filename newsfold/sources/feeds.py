@@ -10,11 +10,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsfold.functions.markup import Page
-from newsfold.operators.stubs import require
+from newsfold.functions.runtime import written
+from newsfold.operators.pages import page_links
+from newsfold.operators.stubs import dedup_first_wins, require
 
 STUB = ["href", "id", "title", "authors", "language", "outlet", "text", "created_at", "updated_at", "labels"]
 _FEED = "title string, link string, description string, id string, guid string, author string, published string, pubDate string, content array<struct<_VALUE: string, _type: string, _language: string>>"
@@ -23,6 +27,7 @@ _LIST = "response array<struct<article_id: string, title: string, lead: string,
 _STORY = "struct<id: string, headline: string, section: string, publication: string, published_at: string, updated_at: string, authors: array<struct<full_name: string>>, advertiser: struct<name: string>>"
 _NESTED = f"ok boolean, data struct<groups: array<struct<children: array<struct<type: string, data: struct<stories: array<struct<data: struct<story: struct<data: {_STORY}>>>>>>>>>>"
 _NONE = "array<string>"
+EMPTY = "href string, id string, title string, authors array<string>, language string, outlet string, text string, created_at timestamp, updated_at timestamp, labels array<string>, pos long"
 
 
 def parse_time(c: Column) -> Column:
@@ -63,20 +68,32 @@ def read_sitemap_xml(spark: SparkSession, path, now: Column, language: str | Non
     return require(out, "href")
 
 
-def read_json_list_feed(spark: SparkSession, path, services: dict[str, str], now: Column, language: str | None = None, outlet: str | None = None, lines: bool = False, max_age: Column | None = None) -> DataFrame:
+def read_json_list_feed(spark: SparkSession, path, services: dict[str, str], now: Column, language: str | None = None, outlet: str | None = None, lines: bool = False, max_age: Column | None = None, on_error: str = "drop_feed") -> DataFrame:
     """Stubs of JSON list feeds (a reply a file, or with ``lines`` a reply a line); services: URL templates by service name with {id} and {category}.
 
-    Sponsored, undated, unknown services' and untimely records go, and with max_age (an interval, such as two days) those
-    last updated that long ago. A different canonical URL comes first.
+    Sponsored and undated records go. A record of an unknown service, of the future, updated before it was made, or last
+    updated ``max_age`` (an interval; two days where none is given) ago or earlier is an error: its whole reply gives
+    nothing, or with on_error drop_row the record alone. A different canonical URL comes first.
     """
-    rows = spark.read.schema(_LIST).option("multiLine", not lines).json(path).select(F.explode("response").alias("r")).select("r.*")
-    rows = rows.where(~F.coalesce("metadata.sponsored_content", F.lit(False)))
-    template = F.try_element_at(F.create_map(*[F.lit(x) for kv in services.items() for x in kv]), F.col("service_name"))
+    age = F.expr("interval 2 days") if max_age is None else max_age
+
+    def sought(r: Column) -> Column:
+        return ~F.coalesce(r["metadata"]["sponsored_content"], F.lit(False)) & (F.coalesce(r["published_at"], F.lit("")) != "")
+
+    def sound(r: Column) -> Column:
+        made = F.try_to_timestamp(r["published_at"])
+        last = F.when(F.coalesce(r["updated_at"], F.lit("")) == "", made).otherwise(F.try_to_timestamp(r["updated_at"]))
+        return F.coalesce(F.lower(r["service_name"]).isin(*[x.lower() for x in services]) & (made <= now) & (last >= made) & (last > now - age), F.lit(False))
+
+    replies = spark.read.schema(_LIST).option("multiLine", not lines).json(path).select(F.filter("response", sought).alias("response"))
+    if on_error == "drop_feed":
+        replies = replies.where(F.forall("response", sound))
+    rows = replies.select(F.explode("response").alias("r")).where(sound(F.col("r"))).select("r.*")
+    template = F.try_element_at(F.create_map(*[F.lit(x) for k, v in services.items() for x in (k.lower(), v)]), F.lower("service_name"))
     own = F.replace(F.replace(template, F.lit("{id}"), F.col("article_id")), F.lit("{category}"), F.coalesce("category.category_name", F.lit("")))
     made = F.try_to_timestamp("published_at")
     out = _stub(rows, href=F.coalesce(F.nullif(F.col("metadata.canonical_url"), F.lit("")), own), id=F.col("article_id"), title=F.col("title"), language=F.lit(language), outlet=F.lit(outlet), text=F.col("lead"), created_at=made, updated_at=F.coalesce(F.try_to_timestamp("updated_at"), made), labels=F.array())
-    out = out.where("created_at is not null and updated_at >= created_at").where(F.col("created_at") <= now)
-    return require(out if max_age is None else out.where(F.col("updated_at") > now - max_age), "href", "id")
+    return require(out, "href", "id")
 
 
 def read_json_nested_feed(spark: SparkSession, path, publications: dict[str, tuple[str, str]], now: Column, language: str | None = None, lines: bool = False) -> DataFrame:
@@ -160,16 +177,50 @@ readers.register("rss", "atom")(read_feed_xml)
 readers.register("sitemap")(read_sitemap_xml)
 
 
-def discover(spark: SparkSession, sources: Sequence[dict], now: Column, registry: SourceRegistry = readers) -> DataFrame:
-    """The stubs of all URLs of enabled sources ({name, url, type, language}), in order, with ``pos`` unique and rising by source.
+@readers.register("links")
+def read_page_links(spark: SparkSession, path, now: Column, language: str | None = None) -> DataFrame:
+    """Stubs of the links on saved pages (Parquet: page_id, url, html), as of ``now``."""
+    links = page_links(spark.read.parquet(path))
+    return _stub(links, href=F.col("href"), language=F.lit(language), created_at=now, labels=F.array())
+
+
+def json_list_reader(services: dict[str, str], **options) -> Callable:
+    """A reader to register: read_json_list_feed for a service's URL templates."""
+    return lambda spark, path, now, language=None: read_json_list_feed(spark, path, services, now, language, **options)
+
+
+def json_nested_reader(publications: dict[str, tuple[str, str]], **options) -> Callable:
+    """A reader to register: read_json_nested_feed for known publications."""
+    return lambda spark, path, now, language=None: read_json_nested_feed(spark, path, publications, now, language, **options)
+
+
+#: Partitions of one URL's stubs, at most, and the bits of ``pos`` below the URL's number that they and their rows take.
+URL_PARTS, URL_BITS = 8192, 46
+
+
+def discover(spark: SparkSession, sources: Sequence[dict], now: Column, registry: SourceRegistry = readers, failed: list | None = None) -> DataFrame:
+    """The stubs of all URLs (one or a list) of enabled sources ({name, url, type, language}), in order, with ``pos`` unique and rising.
 
-    A stub without an outlet gets the source's name. The list of sources is a configuration, so it is walked on the driver.
+    A URL that can't be read gives nothing; with ``failed`` a list, (source, url, message) is added to it. Within a source
+    a URL or id that comes again goes (see ``dedup_first_wins``). A stub without an outlet gets the source's name. The list
+    of sources is a configuration, so it is walked on the driver; each URL's stubs are written as they are read.
     """
-    out = None
-    for k, s in enumerate(x for x in sources if x.get("enabled", True)):
-        rows = registry(s.get("type", "rss"), spark, s["url"], now, s.get("language"))
-        rows = rows.withColumn("outlet", F.coalesce(F.nullif(F.col("outlet"), F.lit("")), F.lit(s["name"]))).withColumn("pos", F.lit(k << 48) + F.monotonically_increasing_id())
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no source is enabled")
-    return out
+    out, number = None, 0
+    for s in (x for x in sources if x.get("enabled", True)):
+        reader, own = registry.get(s.get("type", "rss")), None
+        for url in [s["url"]] if isinstance(s["url"], str) else s["url"]:
+            try:
+                rows = reader(spark, url, now, s.get("language")).coalesce(URL_PARTS)
+                rows = rows.withColumn("outlet", F.coalesce(F.nullif(F.col("outlet"), F.lit("")), F.lit(s["name"])))
+                rows = written(rows.withColumn("pos", F.lit(number << URL_BITS) + F.monotonically_increasing_id()))
+            except (PySparkException, Py4JJavaError) as e:
+                if failed is not None:
+                    failed.append((s["name"], url, str(e)[:300]))
+                continue
+            finally:
+                number += 1
+            own = rows if own is None else own.unionByName(rows)
+        if own is not None:
+            own = dedup_first_wins(own, None)
+            out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], EMPTY) if out is None else out

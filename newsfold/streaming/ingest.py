@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +22,56 @@ def stream_files(spark: SparkSession, path: str, schema, per_trigger: int = 100)
 
 
 class Catalogue:
-    """Snapshots of a catalogue in a folder: each batch writes the next, so that a repeated batch changes nothing."""
+    """Snapshots of a catalogue in a folder: each batch writes the next, so that a repeated batch changes nothing.
 
-    def __init__(self, spark: SparkSession, folder: str, first: DataFrame):
-        self.spark, self.folder, self.schema = spark, folder, first.schema
-        self._write(first, -1)
+    The last ``keep`` snapshots stay (two at least, as a batch that is repeated starts from the one before). A folder that
+    has snapshots goes on from them, and ``first`` isn't used.
+    """
 
-    def _write(self, df: DataFrame, batch: int) -> None:
-        df.select(self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/{batch:012d}")
+    def __init__(self, spark: SparkSession, folder: str, first: DataFrame, keep: int = 2):
+        self.spark, self.folder, self.schema, self.keep = spark, folder, first.schema, max(2, keep)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if self.last() is None:
+            self.write(first, -1)
+
+    def _name(self, batch: int) -> str:
+        return f"{self.folder}/{batch + 1:012d}"
+
+    def _batches(self) -> list[int]:
+        """The batches that have a finished snapshot."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(n) - 1 for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def last(self) -> int | None:
+        """The number of the last batch, -1 before the first."""
+        return max(self._batches(), default=None)
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.select(self.schema.names).write.mode("overwrite").parquet(self._name(batch))
+        for old in self._batches():
+            if old <= batch - self.keep:
+                self._fs.delete(self._path(self._name(old)), True)
 
     def at(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch:012d}" if batch >= 0 else f"{self.folder}/{-1:012d}")
+        return self.spark.read.schema(self.schema).parquet(self._name(batch))
 
 
 def stream_ingest(stubs: DataFrame, store: Catalogue, sources: DataFrame, now, checkpoint: str) -> int:
     """Upsert and prune the catalogue with every batch of catalogue rows that a stream brings; the number of the last batch.
 
-    The stream takes what is there and ends. Rows older than their source allows are dropped by the prune.
+    The stream takes what is there and ends; with nothing new the catalogue stays at the last batch of an earlier run.
+    Rows older than their source allows are dropped by the prune.
     """
-    last = [-1]
 
     def step(batch: DataFrame, number: int) -> None:
         merged = C.upsert_catalogue(store.at(number - 1), batch)
-        store._write(C.prune_catalogue(merged, sources, now), number)
-        last[0] = number
+        store.write(C.prune_catalogue(merged, sources, now), number)
 
     stubs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last[0]
+    return store.last()
 
 
 def stream_dedup(stubs: DataFrame, key: str = "signature", time: str = "ts", delay: str = MAX_AGE) -> DataFrame:
@@ -58,20 +82,19 @@ def stream_dedup(stubs: DataFrame, key: str = "signature", time: str = "ts", del
 def stream_needs_update(stubs: DataFrame, key: str = "signature", time: str = "ts", delay: str = MAX_AGE) -> DataFrame:
     """(key, ts) of stubs that are later than all before them with their key, up to ``delay`` of silence."""
 
+    silence = int(pd.Timedelta(delay).total_seconds() * 1000)
+
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         seen = state.get[0] if state.exists else None
-        out = []
-        for pdf in batches:
-            for t in pdf["t"].sort_values():
-                if seen is None or t > seen:
-                    out.append((k[0], int(t)))
-                    seen = int(t)
+        t = np.unique(np.concatenate([pdf["t"].to_numpy() for pdf in batches]))  # each is later than all before it
+        t = t if seen is None else t[t > seen]
+        seen = int(t[-1]) if t.size else seen
         state.update((seen,))
-        state.setTimeoutTimestamp(max(seen // 1000 + 21 * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "t"])
+        state.setTimeoutTimestamp(max(seen // 1000 + silence, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": k[0], "t": t})
 
     rows = stubs.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("t", F.unix_micros("at"))
     return rows.groupBy("key").applyInPandasWithState(step, "key string, t long", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -89,3 +112,36 @@ def late_data(stubs: DataFrame, cut, time: str = "ts") -> tuple[DataFrame, DataF
     """(rows in time, counts of late rows by outlet): rows before the cut are late."""
     late = F.col(time) < cut
     return stubs.where(~late), stubs.where(late).groupBy("outlet").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_late(stubs: DataFrame, folder: str, checkpoint: str, time: str = "ts", delay: str = MAX_AGE) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of a stream, as tables in a folder: late is what lies more than ``delay`` before the latest
+    time of the batches before its own.
+
+    Spark's watermark drops late rows without a word; here they are a side output. The latest time is kept with each batch
+    and a batch's folders are overwritten, so that a repeated batch changes nothing. The stream takes what is there and ends.
+    """
+    spark, schema = stubs.sparkSession, stubs.schema
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def mark(number: int) -> DataFrame | None:
+        name = f"{folder}/latest/batch={number}"
+        return spark.read.parquet(name) if number >= 0 and fs.exists(path(name)) else None
+
+    def step(batch: DataFrame, number: int) -> None:
+        old = mark(number - 1)
+        latest = old.first()[0] if old is not None else None
+        late = F.lit(False) if latest is None else F.coalesce(F.col(time) < F.lit(latest) - F.expr(f"interval {delay}"), F.lit(False))
+        for side, test in (("in_time", ~late), ("late", late)):
+            batch.where(test).write.mode("overwrite").parquet(f"{folder}/{side}/batch={number}")
+        top = batch.agg(F.max(time).alias("latest"))
+        (top if old is None else top.unionByName(old).agg(F.max("latest").alias("latest"))).write.mode("overwrite").parquet(f"{folder}/latest/batch={number}")
+
+    stubs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def side(name: str) -> DataFrame:
+        where = f"{folder}/{name}"
+        return spark.read.schema(schema).parquet(where) if fs.exists(path(where)) else spark.createDataFrame([], schema)
+
+    return side("in_time").select(*schema.names), side("late").select(*schema.names)

@@ -1,7 +1,8 @@
 """Cases that the tables don't hold: ties, nulls, chains, and a sequential model of the order-bound operators."""
 
 import random
-from datetime import datetime
+import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from newsfold.functions import text as T
 from newsfold.functions import urls as U
 from newsfold.functions.graph import connected_components
 from newsfold.functions.runtime import ranked
+from newsfold.functions.vectors import hashed_vector
+from newsfold.operators import cadence as D
 from newsfold.operators import catalogue as C
 from newsfold.operators import pages as P
 from newsfold.operators import quorum as Q
@@ -18,7 +21,8 @@ from newsfold.operators import replies as R
 from newsfold.operators import revisions as V
 from newsfold.operators import sections as S
 from newsfold.operators import stubs as O
-from newsfold.sources.feeds import SourceRegistry, read_json_list_feed
+from newsfold.sources.feeds import SourceRegistry, discover, json_list_reader, read_json_list_feed
+from newsfold.streaming import ingest as I
 
 DAY = datetime(2024, 1, 10)
 URLS = "array<struct<href: string, labels: array<string>, signature: string>>"
@@ -83,7 +87,7 @@ def test_list_feed_age(spark, tmp_path):
     assert [r.pos for r in O.valid_times(df, now, "drop_feed", max_age=age).collect()] == []
     news = [{"article_id": str(i), "title": "t", "service_name": "s", "published_at": f"2024-01-{d}T00:00:00Z"} for i, d in ((1, 28), (2, 29), (3, 30))]
     (tmp_path / "f.json").write_text(json.dumps({"response": news}))
-    got = read_json_list_feed(spark, str(tmp_path / "f.json"), {"s": "https://s/{id}"}, F.lit("2024-01-31").cast("timestamp"), max_age=age)
+    got = read_json_list_feed(spark, str(tmp_path / "f.json"), {"s": "https://s/{id}"}, F.lit("2024-01-31").cast("timestamp"), max_age=age, on_error="drop_row")
     assert [r.id for r in got.collect()] == ["3"]
 
 
@@ -276,3 +280,179 @@ def test_registry():
         reg.get("z")
     reg.clear()
     assert not len(reg)
+
+
+def test_following_revisions_are_the_next_ones(spark):
+    rnd = random.Random(4)
+    rows = [(p, i, DAY + timedelta(seconds=rnd.choice([0, 0.4, 1, 1.2, 5, 900]) * rnd.randrange(20))) for i, p in enumerate(rnd.randrange(3) for _ in range(120))]
+    want = set()
+    for p, i, t in rows:
+        later = sorted((t2, j) for q, j, t2 in rows if q == p and t2 >= t + timedelta(seconds=1))
+        want |= {(p, i, n + 1, j, t2) for n, (t2, j) in enumerate(later[:3])}
+    df = spark.createDataFrame(rows, "pageid long, revid long, ts timestamp_ntz")
+    assert {tuple(r) for r in V.following_revisions(df, 3).collect()} == want
+
+
+@pytest.mark.parametrize("limits", [{"a": 3, "b": None}, {"a": 0, "b": 2}, {"a": None, "b": None}])
+def test_newest_per_outlet_is_the_sorted_head(spark, limits):
+    rnd = random.Random(1)
+    rows = [(p, rnd.choice("aab"), rnd.choice([None, DAY, DAY + timedelta(days=rnd.randrange(4))])) for p in range(80)]
+    df = spark.createDataFrame(rows, "pos long, outlet string, updated_at timestamp_ntz").withColumn("created_at", F.col("updated_at"))
+    src = spark.createDataFrame([(k, i, True, None, n) for i, (k, n) in enumerate(limits.items())], "name string, pos long, enabled boolean, max_age_days int, max_num_articles int")
+    want = {r[0] for k, n in limits.items() for r in sorted((r for r in rows if r[1] == k), key=lambda r: (-(r[2] or datetime.min).timestamp() if r[2] else 1e18, r[0]))[:n]}
+    assert {r.pos for r in O.latest_per_source(df, src, F.lit("2024-01-31").cast("timestamp_ntz")).collect()} == want
+
+
+def list_feed(tmp_path, name, *records):
+    import json
+
+    news = [{"article_id": i, "title": "t", "service_name": "S", "published_at": "2024-01-30T00:00:00Z"} | r for i, r in records]
+    (tmp_path / name).write_text(json.dumps({"response": news}))
+    return str(tmp_path / name)
+
+
+def test_a_bad_record_ends_its_list_feed(spark, tmp_path):
+    now = F.lit("2024-01-31").cast("timestamp")
+    bad = [{"service_name": "other"}, {"service_name": None}, {"published_at": "2025-01-01T00:00:00Z"}, {"published_at": "soon"}, {"updated_at": "2024-01-29T12:00:00Z"}, {"published_at": "2024-01-01T00:00:00Z"}]
+    for k, r in enumerate(bad):
+        path = list_feed(tmp_path, f"{k}.json", ("1", {}), ("2", r), ("3", {"metadata": {"sponsored_content": True}, "service_name": "other"}), ("4", {"published_at": None}))
+        assert [x.id for x in read_json_list_feed(spark, path, {"s": "https://s/{id}"}, now).collect()] == [], r
+        assert [x.id for x in read_json_list_feed(spark, path, {"s": "https://s/{id}"}, now, on_error="drop_row").collect()] == ["1"], r
+    good = list_feed(tmp_path, "good.json", ("1", {"service_name": "s"}), ("2", {"metadata": {"sponsored_content": True}}))
+    assert [(x.id, x.href) for x in read_json_list_feed(spark, [good, path], {"s": "https://s/{id}"}, now).collect()] == [("1", "https://s/1")]
+
+
+def test_discover_goes_on_past_a_dead_url(spark, tmp_path):
+    own = SourceRegistry()
+    own.register("list")(json_list_reader({"s": "https://s/{id}"}))
+    a, b = list_feed(tmp_path, "a.json", ("1", {}), ("2", {})), list_feed(tmp_path, "b.json", ("2", {}), ("3", {}))
+    failed, now = [], F.lit("2024-01-31").cast("timestamp")
+    dead = str(tmp_path / "dead.json")
+    sources = [{"name": "A", "type": "list", "url": [a, dead, b]}, {"name": "B", "type": "list", "url": b}, {"name": "C", "type": "list", "url": dead}, {"name": "D", "type": "none", "url": a, "enabled": False}]
+    rows = discover(spark, sources, now, own, failed).orderBy("pos").collect()
+    assert [(r.outlet, r.id) for r in rows] == [("A", "1"), ("A", "2"), ("A", "3"), ("B", "2"), ("B", "3")] and len({r.pos for r in rows}) == 5
+    assert [f[:2] for f in failed] == [("A", dead), ("C", dead)]
+    assert discover(spark, sources[2:], now, own).count() == 0
+    with pytest.raises(KeyError):
+        discover(spark, [{"name": "E", "type": "none", "url": a}], now, own)
+
+
+def test_a_restart_without_news_keeps_the_last_catalogue(spark, tmp_path):
+    first = entries(spark, [(0, DAY, [("a", [])], "old", "", [], "x")])
+    batch = spark.createDataFrame([(k, DAY + timedelta(days=k), [("a", [])], f"t{k}", "", [], "x") for k in range(1, 5)], "pos long, updated timestamp_ntz, urls array<struct<sign: string, labels: array<string>>>, title string, clickbaitiness string, labels array<string>, outlet string")
+    sources = spark.createDataFrame([("x", 0, True, None, None)], "name string, pos long, enabled boolean, max_age_days int, max_num_articles int")
+    for k in range(1, 5):
+        batch.where(F.col("pos") == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    now, last = F.lit("2024-01-31").cast("timestamp_ntz"), []
+    for _ in range(2):
+        store = I.Catalogue(spark, f"{tmp_path}/store", first)
+        last.append(I.stream_ingest(I.stream_files(spark, f"{tmp_path}/in", batch.schema, 1), store, sources, now, f"{tmp_path}/check"))
+        assert [r.title for r in store.at(last[-1]).collect()] == ["t4"]
+    assert last == [3, 3] and len(store._batches()) == 2
+    assert I.Catalogue(spark, f"{tmp_path}/new", first).last() == -1
+
+
+def test_late_rows_are_a_side_output(spark, tmp_path):
+    rows = [[(1, 10), (2, 20)], [(3, 9), (4, 14), (5, 30), (6, None)], [(7, 19), (8, 26)]]
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame([(p, DAY + timedelta(days=d) if d else None) for p, d in part], "pos long, ts timestamp_ntz")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        in_time, late = I.stream_late(I.stream_files(spark, f"{tmp_path}/in", df.schema, 1), f"{tmp_path}/out", f"{tmp_path}/check", delay="5 days")
+        assert sorted(r.pos for r in late.collect()) == [3, 4, 7] and sorted(r.pos for r in in_time.collect()) == [1, 2, 5, 6, 8]
+
+
+def test_a_key_is_forgotten_after_its_delay(spark, tmp_path):
+    hours = [[("a", 0), ("a", 5), ("a", 3), ("b", 4)], [("a", 5), ("a", 6), ("b", 1)], [("c", 900)], [("a", 899)]]
+    for part in hours:
+        df = spark.createDataFrame([(k, DAY + timedelta(hours=h)) for k, h in part], "signature string, ts timestamp_ntz")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = I.drain(I.stream_needs_update(I.stream_files(spark, f"{tmp_path}/in", df.schema, 1), delay="2 days"))
+    base = int((DAY - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert sorted((r.key, (r.t - base) // 3_600_000_000) for r in out.collect()) == [("a", 0), ("a", 3), ("a", 5), ("a", 6), ("a", 899), ("b", 4), ("c", 900)]
+
+
+def test_kmeans_scan_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, (30, 2)) for c in ((0, 1), (5, 0), (0, 9))])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {r.k: r for r in Q.kmeans_scan(df, range(2, 7)).collect()}
+    cost = sum(((x[i : i + 30] - x[i : i + 30].mean(0)) ** 2).sum() for i in (0, 30, 60))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)  # silhouettes of squared distances
+    own = np.repeat([0, 1, 2], 30)
+    a = np.array([d[i, own == own[i]].sum() / 29 for i in range(90)])
+    b = np.array([min(d[i, own == c].mean() for c in range(3) if c != own[i]) for i in range(90)])
+    assert got[3].cost == pytest.approx(cost) and got[3].silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-3)
+    assert [k for k, r in got.items() if r.elbow] == [3] == [k for k, r in got.items() if r.best_silhouette]
+
+
+def test_fit_cadence_is_the_least_squares_polynomial(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 1440, 400)
+    y = 30 + 0.1 * m - 1e-4 * m**2 + rng.normal(0, 2, 400)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(m, y, strict=True)], "minutes_since_midnight int, time_diff double")
+    start, coefficients = D.fit_cadence(df, 3)
+    want = np.polynomial.polynomial.polyfit(m, y, 3)
+    at = np.arange(0, 1440, 60.0)
+    assert np.polynomial.polynomial.polyval(at, [start, *coefficients]) == pytest.approx(np.polynomial.polynomial.polyval(at, want), abs=1e-4)
+
+
+def test_hashed_vector_counts_trigrams(spark):
+    import xxhash
+
+    for text in ("", "ab", "Abcabc d", "éàü éàü", None):
+        c, want = list((text or "").lower()), [0.0] * 16
+        for i in range(len(c) - 2):
+            h = 42
+            for x in c[i : i + 3]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            want[h % 16 if h < 2**63 else (h - 2**64) % 16] += 1
+        assert one(spark, hashed_vector(F.lit(text).cast("string"), 16)) == want, text
+
+
+def test_roll_up_is_the_recursion(spark):
+    rows = [(1, 0, 1, "A", "One. Two.", None), (1, 1, 2, "B", "Three. Four.", 0), (1, 2, 3, "C", "<skip> all. Of it.", 1), (1, 3, 2, "D", "", 0), (2, 0, 2, "E", "Six. Seven.", None)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, level int, title string, body string, parent_pos int")
+
+    def said(doc, pos):
+        r = next(x for x in rows if x[:2] == (doc, pos))
+        kids = [s for s in (said(x[0], x[1]) for x in rows if x[0] == doc and x[5] == pos) if s]
+        text = "\n\n".join([r[3], *([r[4]] if r[4] else []), *(f"<summary>{k}</summary>" for k in kids)])
+        s = " ".join(re.split(r"(?<=[.!?])\s+", text.strip())[:2])
+        return "" if "<skip>" in s else s
+
+    got = S.roll_up(df, lambda t: S.first_sentences(t, 2))
+    assert {(r.doc_id, r.pos, r.summary) for r in got.collect()} == {(x[0], x[1], said(x[0], x[1])) for x in rows}
+
+
+def test_token_classifier_learns_and_reports(spark):
+    rnd = random.Random(5)
+    rows = [(p, 0, i, w, "V" if w.isupper() else "N") for p in range(40) for i, w in enumerate(rnd.choice(["a", "bee", "XX", "YYY", "c1"]) for _ in range(8))]
+    f = V.token_features(spark.createDataFrame(rows, "pair_id long, sent int, pos int, token string, label string"))
+    out = V.predict_tokens(V.fit_token_classifier(f), f)
+    assert out.where("label <> predicted").count() == 0
+    report = {r.label: r for r in V.classification_report(out).collect()}
+    assert report["weighted"].f1 == 1.0 and report["V"].support == sum(r[4] == "V" for r in rows)
+
+
+def test_pages_against_their_parts(spark, sf_dir):
+    import html
+
+    src = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    now = F.lit("2024-01-31").cast("timestamp")
+    marked = {r.page_id: r.markdown for r in P.html_to_markdown(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    rows = P.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), now).collect()
+    assert len(rows) == len(src)
+    for r in rows:
+        page = src[r.page_id]
+        article = re.search("<article>(.*?)</article>", page, re.S)[1]
+        words = html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split()
+        assert r.text.split() == words and r.title.split() == html.unescape(re.search("<title>(.*?)</title>", page, re.S)[1]).split()
+        assert r.language == re.search('lang="(..)', page)[1] and not r.paywalled and r.error is None
+        head = html.unescape(re.sub("<[^>]*>", "", re.search("<h1>(.*?)</h1>", article, re.S)[1])).split()
+        assert marked[r.page_id].split("\n\n")[0].split() == ["#", *head]
+        assert marked[r.page_id].replace("*", "").split()[1:] == " ".join(words).replace("*", "").split()
