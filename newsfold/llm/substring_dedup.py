@@ -10,7 +10,7 @@ do. Whatever longer span comes again, those of its own sentences come again with
 sentence whose shortest span would reach beyond, fewer words than ``MIN_WORDS`` are left, and the one up to the last
 sentence covers these. So there are two hashes a sentence at most (128 bits; white space made single, A-Z lower-cased).
 
-The spans are joined globally. Repeats inside one text are seen while it is read; the least doc_id of a hash is combined
+The spans are written once and joined globally. Repeats inside one text are seen while it is read; the least doc_id of a hash is combined
 before the shuffle and written, and the join back is a plain equi-join that Spark can split where one passage is
 everywhere. It gives every span once, marked or not, and what is marked is gathered by document as (first sentence, number):
 overlapping spans are united while the text is cut.
@@ -121,7 +121,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, gone) of the documents that have a non-first span, written; gone: these spans as (at, n)."""
-    rows = span_rows(docs)
+    rows = written(span_rows(docs))  # read three times
     own = rows.where(~F.col("again"))
     shared = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     shared = written(shared.where("first_id < last_id").select("h1", "h2", "first_id"))
