@@ -1,10 +1,12 @@
 """Main text of pages by tag-path ratios.
 
-A page is read once into text nodes, each with its path of block tags from the root. For every path the text length per
-node and the punctuation per node are summed up, smoothed over neighbouring paths in page order and multiplied. Paths
-that name themselves furniture (nav, footer, aside, form, an advert's class, ...) get ratio zero. The ratios are summed
-over every ancestor; the main container is the deepest one that still holds most of the whole, and within it the paths
-above a small threshold, with headings and other short blocks beside them, are the content.
+A page is read once into text blocks, each with its path of block tags from the root. For every path the text length per
+block and the punctuation per block are summed up, smoothed over neighbouring paths in page order and multiplied. A block
+that is links and nothing else, or lies in an element that names itself furniture (an advert's class, ...), has a path of
+its own with a ratio near zero; navigation, footers, asides and what stands below a heading such as Comments have ratio
+zero. Paths above a threshold over the page are content. The main container is the deepest element that holds most of
+the ratios' sum; headings and other short plain blocks in it, or in a branch beside it that is content for the most
+part, are content too. All sums over elements are made in one pass, so that depth costs nothing.
 
 Null html is empty; a page without content has the empty text; broken markup never fails a page. Repeated rows give
 equal rows; empty tables give none; other columns are ignored.
@@ -13,7 +15,7 @@ equal rows; empty tables give none; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -34,7 +36,7 @@ NAMED = re.compile(
     re.I,
 )
 #: A name that tells of the furniture beside or of its absence.
-EXEMPT = re.compile(r"(^|[_-])(has|no|with|without)[_-]", re.I)
+EXEMPT = re.compile(r"(^|[_-])(has|no|with|without)[_-]|^(entry|article|post|story|content|page|section)[_-]*header$", re.I)
 #: An opening tag ends these open ones.
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"])}
 #: An open tag that such an end doesn't reach through.
@@ -42,6 +44,16 @@ WALLS = frozenset("table ul ol dl div article section main body td th blockquote
 STOPS = re.compile(r"[.,;:!?…。，、]")
 #: Character references of more digits than the parser's numbers may have.
 HUGE = re.compile(r"&#([0-9]{20,});?")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are no containers.
+LEAVES = HEADINGS | frozenset("p li td pre blockquote".split())
+#: A heading that says that what comes below isn't the article's.
+FURNITURE = re.compile(
+    r"(\d+ )?(reader )?(comments?|replies|leave a (reply|comment)|add a comment|related( (articles?|posts|stories|news|links|content))?|read (more|next)|more (stories|news)|you (may|might) also like|recommended( for you)?|advertisement|sponsored|share this( (article|post|story))?|newsletter|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?",
+    re.I,
+)
+#: The share of a block's letters in links above which it is links alone.
+LINKED = 0.9
 #: The share of the whole that the main container keeps, and of the largest ratio that a path needs.
 HOLDS, LEAST = 0.6, 0.02
 #: The share of the whole that shows a named element to be a wrapper; factors of a path's ratio by its mark.
@@ -118,22 +130,42 @@ def _ended(tokens: list[tuple]) -> set[int]:
     return ended
 
 
+def _closed_links(tokens: list[tuple]) -> set[int]:
+    """The numbers of the start tags of links that end before the next one begins."""
+    closed, last = set(), None
+    for at, (tag, attrs) in enumerate(tokens):
+        if tag == "a":
+            if attrs is None and last is not None:
+                closed.add(last)
+            last = None if attrs is None else at
+    return closed
+
+
 class _Reader:
-    """Collects blocks: (path, kept text). A path is a tuple of (tag, number of the element, mark)."""
+    """Collects elements, numbered in page order, and blocks of text in them.
+
+    ``tag``, ``parent`` and ``mark`` are of each element (0 is the page); ``blocks`` has (element, parts of text) and
+    ``linked`` the characters of each block that lie in links.
+    """
 
     def __init__(self, tokens: list[tuple]):
-        self.open: list[tuple[str, int, int]] = []
-        self.blocks: list[tuple[tuple, list[str]]] = []
+        self.tag, self.parent, self.mark = [""], [-1], [0]
+        self.open = [0]
+        self.count: Counter[str] = Counter()  # of open elements by tag
+        self.blocks: list[tuple[int, list[str]]] = []
+        self.linked: list[int] = []
         #: Places of the silent elements in ``open``, and whether their own end tag comes.
         self.silent: list[tuple[int, bool]] = []
-        self.count, self.fresh = 0, True
-        ended = _ended(tokens)
+        self.fresh, self.link = True, False
+        ended, links = _ended(tokens), _closed_links(tokens)
         for at, (tag, what) in enumerate(tokens):
             if tag is None:
                 self._data(what)
             elif what is None:
+                self.link &= tag != "a"
                 self._end(tag)
             else:
+                self.link = at in links if tag == "a" else self.link
                 self._start(tag, what, at in ended)
 
     def _start(self, tag, attrs, ended):
@@ -143,53 +175,59 @@ class _Reader:
                 self._data("\n")
             return
         if tag in INLINE:
-            if not self.silent and (mark := self._mark(attrs)):
+            if not self.silent and (mark := self._named(attrs)):
                 self._push(tag, mark)
             return
         while self.silent and not self.silent[-1][1]:  # one that is never ended hides what comes up to the next block
             self._cut(self.silent[-1][0])
-        floor = self.silent[-1][0] if self.silent else -1
+        floor = self.silent[-1][0] if self.silent else 0
         for k in range(len(self.open) - 1, floor, -1):
-            if self.open[k][0] in ENDS.get(tag, ()):
+            t = self.tag[self.open[k]]
+            if t in ENDS.get(tag, ()):
                 self._cut(k)
                 break
-            if self.open[k][0] in WALLS:
+            if t in WALLS:
                 break
         if self.silent:
             self._push(tag, 0)
+        elif tag in BESIDE or tag == "header" and not (self.count["article"] or self.count["main"]):
+            self._push(tag, 2)
         else:
-            inside = any(t in ("article", "main") for t, _, _ in self.open)
-            if tag in BESIDE or tag == "header" and not inside:
-                self._push(tag, 2)
-            else:
-                self._push(tag, 0 if tag in ("html", "body", "article", "main") else max(self._mark(attrs), tag == "form"))
+            self._push(tag, 0 if tag in ("html", "body", "article", "main") else max(self._named(attrs), tag == "form"))
         if tag in SILENT and tag != "head":  # what a head leaves open doesn't hide the body
             self.silent.append((len(self.open) - 1, ended))
 
     def _cut(self, k):
+        self.count.subtract(self.tag[n] for n in self.open[k:])
         del self.open[k:]
         while self.silent and self.silent[-1][0] >= k:
             self.silent.pop()
         self.fresh = True
 
     def _push(self, tag, mark):
-        self.count += 1
-        self.open.append((tag, self.count, int(mark)))
+        self.parent.append(self.open[-1])
+        self.open.append(len(self.tag))
+        self.tag.append(tag)
+        self.mark.append(int(mark))
+        self.count[tag] += 1
         self.fresh = True
 
     @staticmethod
-    def _mark(attrs) -> int:
+    def _named(attrs) -> int:
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             return 2
         return int(any(k in ("class", "id", "role") and v and _names_furniture(v) for k, v in attrs))
 
     def _end(self, tag):
-        floor = max((k for k, ended in self.silent if ended), default=0)  # an end tag in a silent element ends nothing outside
+        if not self.count[tag]:
+            return
+        floor = max((k for k, ended in self.silent if ended), default=1)  # an end tag in a silent element ends nothing outside
         for k in range(len(self.open) - 1, floor - 1, -1):
-            if self.open[k][0] == tag:
+            t = self.tag[self.open[k]]
+            if t == tag:
                 self._cut(k)
                 return
-            if self.open[k][0] in WALLS and tag in ENDS and tag not in WALLS:
+            if t in WALLS and tag in ENDS and tag not in WALLS:
                 return
 
     def _data(self, data):
@@ -198,93 +236,145 @@ class _Reader:
         if self.fresh or not self.blocks:
             if not data.strip():
                 return
-            self.blocks.append((tuple(self.open), []))
+            self.blocks.append((self.open[-1], []))
+            self.linked.append(0)
             self.fresh = False
         self.blocks[-1][1].append(data)
-
-
-def blocks(html: str) -> list[tuple[tuple, str]]:
-    """The page's text blocks (path, text), white space made single."""
-    r = _Reader(_Tokens().read(html))
-    return [(p, t) for p, t in ((p, " ".join("".join(x).split())) for p, x in r.blocks) if t]
-
-
-def _ratios(found: list[tuple[tuple, str]], marks: list[int]) -> list[float]:
-    """The smoothed, fused ratio of every block's path, lowered by its mark."""
-    keys = [(tuple(t for t, _, _ in path), m) for (path, _), m in zip(found, marks, strict=True)]
-    by_path: dict[tuple, list[tuple[float, float]]] = defaultdict(list)
-    for key, (_, text) in zip(keys, found, strict=True):
-        by_path[key].append((len(text), len(STOPS.findall(text)) + 0.1))
-    order = list(by_path)
-    mean = {p: (sum(a for a, _ in v) / len(v), sum(b for _, b in v) / len(v)) for p, v in by_path.items()}
-
-    def smooth(k: int, part: int) -> float:
-        near = [(w, mean[order[j]][part]) for j, w in ((k - 1, 0.25), (k, 1.0), (k + 1, 0.25)) if 0 <= j < len(order) and (j == k or not order[j][1])]
-        return sum(w * x for w, x in near) / sum(w for w, _ in near)
-
-    ratio = {p: LOWERED[p[1]] * smooth(k, 0) * smooth(k, 1) if LOWERED[p[1]] else 0.0 for k, p in enumerate(order)}
-    return [ratio[key] for key in keys]
-
-
-def _marks(found: list[tuple[tuple, str]]) -> list[int]:
-    """The mark of every block: 0 plain, 1 in an element named furniture, 2 furniture.
-
-    A name doesn't count on an element that holds almost the whole page, and makes furniture of what lies beside an
-    article or main element that has text of its own.
-    """
-    marks = [max((m for _, _, m in path), default=0) for path, _ in found]
-    if 1 not in marks:
-        return marks
-    held: dict[int, float] = defaultdict(float)
-    above: dict[int, set[int]] = {}
-    whole = 0.0
-    for (path, text), r in zip(found, _ratios(found, [m & 2 for m in marks]), strict=True):
-        whole += len(text) * r
-        for k, (_, n, m) in enumerate(path):
-            if m == 1:
-                held[n] += len(text) * r
-                if n not in above:
-                    above[n] = {e for _, e, _ in path[:k]}
-    articles = {n for (path, _), m in zip(found, marks, strict=True) if not m for t, n, _ in path if t in ("article", "main")}
-    mark = {n: 0 if w >= WRAPS * whole and articles <= above[n] else 2 if articles and articles.isdisjoint(above[n]) else 1 for n, w in held.items()}
-    return [max((mark[n] if m == 1 else m for _, n, m in path), default=0) for path, _ in found]
+        if self.link:
+            self.linked[-1] += len("".join(data.split()))
+
+
+class _Page:
+    """The elements and blocks of a page. Sums over elements go from the last to the first, states from the first on."""
+
+    def __init__(self, html: str):
+        r = _Reader(_Tokens().read(html))
+        self.tag, self.parent, self.named = r.tag, r.parent, r.mark
+        found = [(n, " ".join("".join(x).split()), linked) for (n, x), linked in zip(r.blocks, r.linked, strict=True)]
+        found = [x for x in found if x[1]]
+        self.at, self.text = [n for n, _, _ in found], [t for _, t, _ in found]
+        self.last, paths = list(range(len(self.tag))), {}
+        self.path = [0] * len(self.tag)
+        for n in range(1, len(self.tag)):  # equal tag paths have one number
+            self.path[n] = paths.setdefault((self.path[self.parent[n]], self.tag[n]), len(paths) + 1)
+        for n in range(len(self.tag) - 1, 0, -1):
+            self.last[self.parent[n]] = max(self.last[self.parent[n]], self.last[n])
+        #: Blocks that are furniture whatever they lie in: below a heading that says so, or links and nothing else.
+        self.own = [0] * len(found)
+        for i, (n, t, linked) in enumerate(found):
+            level = self.level(n)
+            if level and FURNITURE.fullmatch(t):
+                self._below(i, level)
+            elif not level and linked and linked >= LINKED * len(t.replace(" ", "")):
+                self.own[i] = max(self.own[i], 1)
+
+    def level(self, n: int) -> int:
+        """The level of a heading, else 0."""
+        return int(self.tag[n][1]) if self.tag[n] in HEADINGS else 0
+
+    def _below(self, i: int, level: int) -> None:
+        """Mark a heading's block and those up to the next heading of its rank in the same element."""
+        up = self.parent[self.at[i]]
+        for j in range(i, len(self.at)):
+            n = self.at[j]
+            if n > self.last[up] or n < up or j > i and self.parent[n] == up and 0 < self.level(n) <= level:
+                return
+            self.own[j] = 2
+
+    def summed(self, values) -> list[float]:
+        """For each element the sum of the values of the blocks in it."""
+        out = [0.0] * len(self.tag)
+        for n, v in zip(self.at, values, strict=True):
+            out[n] += v
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def ratios(self, marks: list[int]) -> list[float]:
+        """The smoothed, fused ratio of every block's path, lowered by its mark."""
+        keys = [(self.path[n], m) for n, m in zip(self.at, marks, strict=True)]
+        by_path: dict[tuple, list[tuple[float, float]]] = defaultdict(list)
+        for key, text in zip(keys, self.text, strict=True):
+            by_path[key].append((len(text), len(STOPS.findall(text)) + 0.1))
+        order = list(by_path)
+        mean = {p: (sum(a for a, _ in v) / len(v), sum(b for _, b in v) / len(v)) for p, v in by_path.items()}
+
+        def smooth(k: int, part: int) -> float:
+            near = [(w, mean[order[j]][part]) for j, w in ((k - 1, 0.25), (k, 1.0), (k + 1, 0.25)) if 0 <= j < len(order) and (j == k or not order[j][1])]
+            return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+        ratio = {p: LOWERED[p[1]] * smooth(k, 0) * smooth(k, 1) if LOWERED[p[1]] else 0.0 for k, p in enumerate(order)}
+        return [ratio[key] for key in keys]
+
+    def marked(self, mark: list[int]) -> list[int]:
+        """The mark of every block, by the marks of the elements that it lies in and its own."""
+        worst = [0] * len(mark)
+        for n in range(1, len(mark)):
+            worst[n] = max(worst[self.parent[n]], mark[n])
+        return [max(worst[n], own) for n, own in zip(self.at, self.own, strict=True)]
+
+    def marks(self) -> list[int]:
+        """The mark of every block: 0 plain, 1 in an element named furniture or links alone, 2 furniture.
+
+        A name doesn't count on an element that holds almost the whole page, and makes furniture of what lies beside an
+        article or main element that has text of its own.
+        """
+        marks = self.marked(self.named)
+        if 1 not in self.named:
+            return marks
+        held = self.summed([len(t) * r for t, r in zip(self.text, self.ratios([m & 2 for m in marks]), strict=True)])
+        plain = self.summed([not m for m in marks])
+        article = [int(t in ("article", "main") and p > 0) for t, p in zip(self.tag, plain, strict=True)]
+        around, mark = [0] * len(self.tag), list(self.named)
+        for n in range(1, len(self.tag)):
+            up = self.parent[n]
+            around[n] = around[up] + article[up]
+            if mark[n] == 1 and held[n] >= WRAPS * held[0] and around[n] == sum(article):
+                mark[n] = 0
+            elif mark[n] == 1 and sum(article) and not around[n]:
+                mark[n] = 2
+        return self.marked(mark)
+
+    def main(self, weight: list[float]) -> int:
+        """The main container: the deepest element that holds most of the whole, articles first; 0 if only the page does."""
+        depth = [0] * len(self.tag)
+        for n in range(1, len(depth)):
+            depth[n] = depth[self.parent[n]] + 1
+        most = [n for n in range(1, len(depth)) if weight[n] >= HOLDS * weight[0] and self.tag[n] not in LEAVES]
+        articles = [n for n in most if self.tag[n] in ("article", "main")]
+        found = max(articles, key=lambda n: (self.tag[n] == "article", depth[n])) if articles else max(most, key=depth.__getitem__, default=0)
+        return 0 if self.tag[found] in ("html", "body") else found
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    found = blocks(html or "")
-    marks = _marks(found)
-    ratio = _ratios(found, marks)
+    page = _Page(html or "")
+    marks = page.marks()
+    ratio = page.ratios(marks)
     least = LEAST * max(ratio, default=0.0)
     if not least:
         return ""
-    held: dict[tuple, float] = defaultdict(float)
-    whole = 0.0
-    for (path, text), r in zip(found, ratio, strict=True):
-        weight = len(text) * r
-        whole += weight
-        for k in range(len(path)):
-            held[path[: k + 1]] += weight
-    body_like = [p for p, w in held.items() if w >= HOLDS * whole and p[-1][0] not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote")]
-    main = max(body_like, key=len, default=())
-    articles = [p for p in body_like if p[-1][0] in ("article", "main")]
-    if articles:
-        main = max(articles, key=lambda p: (p[-1][0] == "article", len(p)))
-    if main and main[-1][0] in ("html", "body"):
-        main = ()
-    # a block's branch: the main container, or the element that leaves the way from the root to the container
-    branch, depth = [], []
-    for path, _ in found:
-        k = next((k for k, (a, b) in enumerate(zip(path, main)) if a != b), min(len(path), len(main)))  # noqa: B905
-        depth.append(k)
-        branch.append(main if main and k == len(main) else path[: k + 1])
-    length: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-    for (_, text), r, m, b in zip(found, ratio, marks, branch, strict=True):
-        length[b][0] += len(text) * (not m)
-        length[b][1] += len(text) * (r >= least)
-    full = {b for b, (n, passing) in length.items() if 2 * passing >= n} | {main} - {()}
-    climbed = min((d for d, r in zip(depth, ratio, strict=True) if r >= least), default=0)
-    return " ".join(t for (p, t), r, m, b, d in zip(found, ratio, marks, branch, depth, strict=True) if r >= least or r > 0 and not m and (b in full or d >= climbed and p[-1:] and p[-1][0] in ("h1", "h2", "h3")))
+    main = page.main(page.summed([len(t) * r for t, r in zip(page.text, ratio, strict=True)]))
+    on_way, n = {0}, main
+    while n > 0:
+        on_way.add(n)
+        n = page.parent[n]
+    # an element's branch: the main container, or the element that leaves the way from the page to the container; and the
+    # depth at which it leaves
+    branch, leaves = [0] * len(page.tag), [0] * len(page.tag)
+    for n in range(1, len(branch)):
+        up = page.parent[n]
+        inside = main and (n == main or branch[up] == main)
+        branch[n] = main if inside else n if n in on_way or up in on_way else branch[up]
+        leaves[n] = leaves[up] + (n in on_way)
+    length: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for n, text, r, m in zip(page.at, page.text, ratio, marks, strict=True):
+        length[branch[n]][0] += len(text) * (not m)
+        length[branch[n]][1] += len(text) * (r >= least)
+    full = {b for b, (n, passing) in length.items() if 2 * passing >= n} | {main}
+    full.discard(0)
+    climbed = min((leaves[n] for n, r in zip(page.at, ratio, strict=True) if r >= least), default=0)
+    return " ".join(t for n, t, r, m in zip(page.at, page.text, ratio, marks, strict=True) if r >= least or r > 0 and not m and (branch[n] in full or leaves[n] >= climbed and page.tag[n] in ("h1", "h2", "h3")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
