@@ -6,23 +6,26 @@ of its widest dimension (its range against the whole range) until a leaf is smal
 are few, are placed first: each on its side of their own median, or where there is room. The cut then shares out the small
 units so that both sides come even. The median is exact: bytes are summed by bins of the dimension and the bin where half
 is reached is cut into bins again, until it holds one value. All nodes of a level go through one job, and the driver sees
-bins and large units, never rows. Shards are uneven only where units that aren't torn leave no even way.
+bins and large units (a bounded number, however many shards), never rows. Shards are uneven only where units that aren't
+torn leave no even way.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsfold.functions.runtime import parts, ranked, written
+from newsfold.functions.runtime import parts, ranked, small, written
 from newsfold.llm.text import body, documents
 
 DIMENSIONS = ("doc_id", "size", "source", "lang")
-#: Bins of a node in one round; rounds; the share of a shard above which a unit is large.
-BINS, ROUNDS, UNIT_SHARE = 512, 8, 1 / 64
+#: Bins of a node in one round, at most; the share of a shard above which a unit is large, at least; bins and large units
+#: that the driver sees at once, about.
+BINS, UNIT_SHARE, LARGE_ROWS = 512, 1 / 64, 200_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -35,10 +38,10 @@ def sized(docs: DataFrame) -> DataFrame:
 def units(rows: DataFrame, target: float, buckets: int) -> tuple[DataFrame, DataFrame]:
     """rows with their unit's number in the group (``part``), and the units (key, part, w, the dimensions x0...)."""
     groups = rows.groupBy("key").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("each"))
-    per, small = (F.greatest(F.lit(1), F.floor(F.lit(float(share)) / F.col("each"))) for share in (target, target * UNIT_SHARE))
-    torn = written(groups.where((F.col("w") > target) & (F.col("copies") > 1)).select("key", per.alias("per"), small.alias("small"), F.floor(F.col("copies") / per).alias("pieces")))
-    whole = rows.join(F.broadcast(torn), "key", "left_anti").withColumn("part", F.lit(0))  # fewer are torn than there are shards
-    dealt = ranked(rows.join(F.broadcast(torn), "key"), ["key"], [F.col(c) for c in ("doc_id", "source", "lang")], buckets, "at")
+    per, little = (F.greatest(F.lit(1), F.floor(F.lit(float(share)) / F.col("each"))) for share in (target, target * UNIT_SHARE))
+    torn = written(groups.where((F.col("w") > target) & (F.col("copies") > 1)).select("key", per.alias("per"), little.alias("small"), F.floor(F.col("copies") / per).alias("pieces")))
+    whole = rows.join(small(torn), "key", "left_anti").withColumn("part", F.lit(0))  # fewer are torn than there are shards
+    dealt = ranked(rows.join(small(torn), "key"), ["key"], [F.col(c) for c in ("doc_id", "source", "lang")], buckets, "at")
     rest = F.col("at") - F.col("pieces") * F.col("per")
     part = F.when(rest < 0, F.floor(F.col("at") / F.col("per"))).otherwise(F.col("pieces") + F.floor(rest / F.col("small")))
     rows = whole.unionByName(dealt.withColumn("part", part.cast("int")).select(*whole.columns)) if torn.count() else whole
@@ -54,16 +57,22 @@ def units(rows: DataFrame, target: float, buckets: int) -> tuple[DataFrame, Data
     return rows, grouped.select("key", "part", "w", *[coordinate(k, d) for k, d in enumerate(DIMENSIONS)])
 
 
+def _by_node(values: dict[int, float | int], kind: str, node: Column) -> Column:
+    """values[node], or null, from one literal array over the nodes."""
+    held = F.array(*[F.lit(values.get(n)).cast(kind) for n in range(1, max(values, default=1) + 1)])
+    return F.try_element_at(held, node)
+
+
 def _node(cuts: dict[int, tuple[int, float]]) -> Column:
     """The node of a unit: from the root, left (2n) if the coordinate is at most the cut, else right (2n + 1)."""
+    x = F.array(*[F.col(f"x{k}") for k in range(len(DIMENSIONS))])
 
-    def under(n: int) -> Column:
-        if n not in cuts:
-            return F.lit(n)
-        k, at = cuts[n]
-        return F.when(F.col(f"x{k}") <= at, under(2 * n)).otherwise(under(2 * n + 1))
+    def down(n: Column, _) -> Column:
+        k = _by_node({n_: k + 1 for n_, (k, _) in cuts.items()}, "int", n)
+        right = F.element_at(x, k) > _by_node({n_: at for n_, (_, at) in cuts.items()}, "double", n)
+        return F.when(k.isNull(), n).otherwise(2 * n + right.cast("int"))
 
-    return under(1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(cuts).bit_length())), F.lit(1), down) if cuts else F.lit(1)
 
 
 def _sides(large: list, k: int, goal: float, rest: float) -> tuple[list, list]:
@@ -91,7 +100,8 @@ def kd_cuts(tree: DataFrame, large: list, leaves: int) -> tuple[dict[int, tuple[
     dims = range(len(DIMENSIONS))
     while any(k > 1 for n, k in share.items() if n not in cuts):
         open_ = {n: k for n, k in share.items() if n not in cuts and k > 1}
-        at = tree.withColumn("node", _node(cuts)).where(F.col("node").isin(*open_))
+        bins_ = max(8, min(BINS, LARGE_ROWS // len(open_)))
+        at = tree.withColumn("node", _node(cuts)).where(_by_node(open_, "int", F.col("node")).isNotNull())
         got = {r["node"]: r for r in at.groupBy("node").agg(F.sum("w").alias("w"), *[f(f"x{k}").alias(f"{f.__name__}{k}") for k in dims for f in (F.min, F.max)]).collect()}
         state = {}
         for n, leaves_ in open_.items():
@@ -106,18 +116,18 @@ def kd_cuts(tree: DataFrame, large: list, leaves: int) -> tuple[dict[int, tuple[
             lo, hi = (r[f"min{k}"], r[f"max{k}"]) if r else (0.0, 0.0)
             # all at one place go where they come nearer; a goal below zero leaves them to the right
             state[n] = {"k": k, "lo": lo, "hi": hi if goal > 0 else lo, "below": 0, "goal": goal, "cut": lo if lo == hi and r and r["w"] < 2 * goal else lo - 1}
-        for _ in range(ROUNDS):
-            live = {n: s for n, s in state.items() if s["hi"] > s["lo"]}
-            if not live:
-                break
-            x = F.coalesce(*[F.when(F.col("node") == n, F.col(f"x{s['k']}")) for n, s in live.items()])
-            lo, hi = (F.coalesce(*[F.when(F.col("node") == n, F.lit(float(s[e]))) for n, s in live.items()]) for e in ("lo", "hi"))
-            bins = at.where(F.col("node").isin(*live)).select("node", "w", x.alias("x"), lo.alias("lo"), hi.alias("hi")).where("x between lo and hi")
-            bins = bins.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int"))
-            sums = bins.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # BINS rows a node
+        while live := {n: s for n, s in state.items() if s["hi"] > s["lo"]}:
+            k = _by_node({n: s["k"] + 1 for n, s in live.items()}, "int", F.col("node"))
+            lo, hi = (_by_node({n: float(s[e]) for n, s in live.items()}, "double", F.col("node")) for e in ("lo", "hi"))
+            x = F.try_element_at(F.array(*[F.col(f"x{d}") for d in dims]), k)
+            bins = at.select("node", "w", x.alias("x"), lo.alias("lo"), hi.alias("hi")).where("x between lo and hi")
+            bins = bins.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins_), F.lit(bins_ - 1)).cast("int"))
+            sums = defaultdict(list)
+            for r in bins.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # LARGE_ROWS or 8 a node
+                sums[r["node"]].append(r)
             for n, s in live.items():
                 s["hi"] = s["lo"]
-                for r in sorted((r for r in sums if r["node"] == n), key=lambda r: r["bin"]):
+                for r in sorted(sums[n], key=lambda r: r["bin"]):
                     if s["below"] + r["w"] > s["goal"]:
                         s["lo"], s["hi"] = r["lo"], r["hi"]
                         if r["lo"] == r["hi"] and s["below"] + r["w"] - s["goal"] < s["goal"] - s["below"]:
@@ -144,9 +154,9 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     target, buckets = (total or 0) / n, parts(docs.sparkSession, count)
     rows, grouped = units(rows, target, buckets)
     tree = written(grouped)
-    is_large = F.col("w") > target * UNIT_SHARE
-    cuts, number, held = kd_cuts(tree.where(~is_large), tree.where(is_large).collect(), n)  # at most n / UNIT_SHARE are large
-    name = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("node"))
+    is_large = F.col("w") > target * max(UNIT_SHARE, n / LARGE_ROWS)
+    cuts, number, held = kd_cuts(tree.where(~is_large), tree.where(is_large).collect(), n)  # at most LARGE_ROWS are large
+    name = _by_node(number, "int", F.col("node"))
     leaf = tree.where(~is_large).withColumn("node", _node(cuts)).select("key", "part", name.cast("int").alias("shard"))
     if any(held.values()):
         large = [(bytes(u["key"]), u["part"], number[node]) for node, own in held.items() for u in own]
