@@ -111,8 +111,9 @@ def tfidf_top_terms(docs: DataFrame, key: str = "doc_id", n: int = 10) -> DataFr
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     rows = docs.select(key, words.alias("w")).where(F.size("w") > 0)
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    # read for the terms' frequencies and for the join, so counted once
-    tf = written(rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # texts are dealt by document, which is less to send than their terms; the counts are read for the terms' frequencies
+    # and for the join, so they are written
+    tf = written(rows.repartition(key).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = df.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
