@@ -74,6 +74,22 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets:
     return numbered.join(counts, on).withColumn(name, F.col(at) + F.col("__at") - 1).select(*df.columns, name)
 
 
+def lagged(df: DataFrame, key: str, order: str, bucket: Column, name: str, value: str) -> DataFrame:
+    """df with ``name``: the value of the row before, within a key and by order, though no task sees all rows of a key.
+
+    bucket rises with the order, as a time's hour does. A bucket's first row takes the last value of the bucket before, of
+    which there is one row a bucket.
+    """
+    b, k, at, end = (free_name(df, f"__{x}") for x in ("bucket", "key", "at", "end"))
+    rows = df.withColumn(b, bucket)
+    last = rows.groupBy(F.col(key).alias(k), F.col(b).alias(at)).agg(F.max_by(value, order).alias(end))
+    last = last.withColumn(end, F.lag(end).over(Window.partitionBy(k).orderBy(at)))
+    own = Window.partitionBy(key, b).orderBy(order)
+    rows = rows.withColumn(name, F.lag(value).over(own)).withColumn(f"{b}_first", F.row_number().over(own) == 1)
+    joined = rows.join(last, F.col(key).eqNullSafe(F.col(k)) & F.col(b).eqNullSafe(F.col(at)), "left")
+    return joined.select(*df.columns, F.when(F.col(f"{b}_first"), F.col(end)).otherwise(F.col(name)).alias(name))
+
+
 def names_apart(df: DataFrame, taken: Sequence[str]) -> list[str]:
     """The columns of df whose names differ from those in taken, without regard to case."""
     low = {x.lower() for x in taken}

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsfold.functions.runtime import lagged
+
 DAY, DEFAULT_MINUTES = 1440.0, 30.0
+#: Places of a log that are looked through together.
+RUN = 10_000
 
 
 def minute_of_day(ts: Column) -> Column:
@@ -19,17 +23,20 @@ def minute_of_day(ts: Column) -> Column:
 
 def inter_arrival(log: DataFrame) -> DataFrame:
     """(outlet, published_at, time_diff, minutes_since_midnight): minutes since the outlet's previous article; updated ones are left out, the first of an outlet goes."""
-    w = Window.partitionBy("outlet").orderBy("published_at")
-    before = F.lag("published_at").over(w)
-    rows = log.where("updated_at is null").withColumn("__b", before).where("__b is not null")
+    new = log.where("updated_at is null")
+    rows = lagged(new, "outlet", "published_at", F.date_trunc("hour", "published_at"), "__b", "published_at").where("__b is not null")
     diff = F.timestamp_diff("MICROSECOND", F.col("__b"), F.col("published_at")) / 60e6
     return rows.select("outlet", "published_at", diff.alias("time_diff"), minute_of_day(F.col("published_at")).alias("minutes_since_midnight"))
 
 
-def check_publish_log(log: DataFrame, order: str = "pos") -> DataFrame:
-    """Rows of a newest-first log (outlet, pos, published_at, updated_at) that are later than the row before; updated rows are skipped."""
-    w = Window.partitionBy("outlet").orderBy(order)
-    return log.where("updated_at is null").withColumn("previous", F.lag("published_at").over(w)).where(F.col("published_at") > F.col("previous"))
+def check_publish_log(log: DataFrame, order: str = "pos", bucket: Column | None = None) -> DataFrame:
+    """Rows of a newest-first log (outlet, pos, published_at, updated_at) that are later than the row before; updated rows are skipped.
+
+    bucket: what rises with the order and says which rows a task takes together; if order is a number, ``RUN`` places.
+    """
+    new = log.where("updated_at is null")
+    rows = lagged(new, "outlet", order, F.floor(F.col(order) / RUN) if bucket is None else bucket, "previous", "published_at")
+    return rows.where(F.col("published_at") > F.col("previous"))
 
 
 def fit_cadence(arrivals: DataFrame, degree: int = 5) -> tuple[float, list[float]]:

@@ -11,7 +11,7 @@ from newsfold.functions import markup
 from newsfold.functions import text as T
 from newsfold.functions import urls as U
 from newsfold.functions.graph import connected_components
-from newsfold.functions.runtime import ranked
+from newsfold.functions.runtime import lagged, ranked
 from newsfold.functions.vectors import hashed_vector
 from newsfold.operators import cadence as D
 from newsfold.operators import catalogue as C
@@ -456,3 +456,15 @@ def test_pages_against_their_parts(spark, sf_dir):
         head = html.unescape(re.sub("<[^>]*>", "", re.search("<h1>(.*?)</h1>", article, re.S)[1])).split()
         assert marked[r.page_id].split("\n\n")[0].split() == ["#", *head]
         assert marked[r.page_id].replace("*", "").split()[1:] == " ".join(words).replace("*", "").split()
+
+
+def test_lagged_is_the_row_before(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), p, rnd.choice([None, 1, 2, 3])) for p in rnd.sample(range(300), 120)]
+    want = {}
+    for k in ("a", "b", None):
+        own = sorted(r[1:] for r in rows if r[0] == k)
+        want |= {p: before for (p, _), (_, before) in zip(own, [(None, None), *own], strict=False)}
+    df = spark.createDataFrame(rows, "k string, pos long, v int").withColumn("__key", F.lit(1))
+    got = lagged(df, "k", "pos", F.floor(F.col("pos") / 7), "before", "v")
+    assert {r.pos: r.before for r in got.collect()} == want and got.columns == [*df.columns, "before"]
