@@ -51,8 +51,14 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(w: Column) -> Column:
-    """Words in three-word windows that occur twice or more. The windows of a text are sorted and equal ones stand side by side."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))
+    """Words in three-word windows that occur twice or more.
+
+    Equal windows have equal hashes, so a text whose windows' hashes all differ has none. The windows of the others are
+    sorted, so that equal ones stand side by side.
+    """
+    places = F.sequence(F.lit(0), F.size(w) - 3)
+    hashes = F.transform(places, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+    windows = F.transform(places, lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))
 
     def same(x: Column, y: Column) -> Column:
         return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
@@ -62,7 +68,7 @@ def repeated_words(w: Column) -> Column:
         again = F.filter(s, lambda x, i: F.when(i > 0, same(x, s[i - 1])).otherwise(False) | F.when(i < last, same(x, s[i + 1])).otherwise(False))
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    return F.when(F.size(w) < 3, 0).otherwise(let(F.array_sort(windows), covered))
+    return F.when(F.size(w) < 3, 0).when(F.size(F.array_distinct(hashes)) == F.size(w) - 2, 0).otherwise(let(F.sort_array(windows), covered))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
