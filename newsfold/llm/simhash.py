@@ -32,6 +32,8 @@ BITS, SEED = 64, 42
 WORDS, TAU = 4, 4
 #: Rows of one bucket that one task compares.
 BLOCK = 8_192
+#: The share of all fingerprints, and the least number, above which a component's rows aren't dealt by their root.
+HOT_SHARE, HOT_LEAST = 1e-4, 1000
 #: Words that are hashed at a time, so that a very long text needs no more memory.
 CHUNK = 50_000
 
@@ -248,9 +250,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> Data
     rows = written(fingerprints(docs, words))
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = written(connected_components(links(groups.select("fp"), tau)))
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = written(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    names = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    total = rooted.count()
+    # components of so many fingerprints are at most 1 / HOT_SHARE, and their names go to all tasks; the others shuffle
+    hot = F.broadcast(names.where(F.col("n") > max(HOT_LEAST, total * HOT_SHARE)).drop("n"))
+    named = rooted.join(hot, "root").unionByName(rooted.join(hot, "root", "left_anti").join(names.drop("n"), "root"))
+    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
