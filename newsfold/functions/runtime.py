@@ -90,12 +90,6 @@ def lagged(df: DataFrame, key: str, order: str, bucket: Column, name: str, value
     return joined.select(*df.columns, F.when(F.col(f"{b}_first"), F.col(end)).otherwise(F.col(name)).alias(name))
 
 
-def names_apart(df: DataFrame, taken: Sequence[str]) -> list[str]:
-    """The columns of df whose names differ from those in taken, without regard to case."""
-    low = {x.lower() for x in taken}
-    return [c for c in df.columns if c.lower() not in low]
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as make it differ from all columns of df (without regard to case)."""
     taken = {c.lower() for c in df.columns}
