@@ -43,27 +43,30 @@ _OPEN = re.compile(r"\s+(?=[^\Wa-z\d_])")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 
 
-def _parts(text: str, start: int, end: int):
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """(start, end) of the parts of a sentence that begin with a capital after ``OPEN_WORDS`` words."""
-    at = start
+    out, at = [], start
     for m in _OPEN.finditer(text, start, end):
         if text[m.end()].isupper() and len(text[at : m.start()].split()) >= OPEN_WORDS:
-            yield at, m.start()
+            out.append((at, m.start()))
             at = m.end()
-    yield at, end
+    return [*out, (at, end)]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences; what lies between two of them is white space."""
     out, at = [], 0
-    for m in _END.finditer(text):
-        if text[at : m.start()].strip():
-            out += _parts(text, at, m.start())
-            at = m.end()
+    for m in [*_END.finditer(text), None]:
+        end, to = m.span() if m else (len(text), len(text))
+        own = text[at:end]
+        if own and not own.isspace():
+            if own[1:].islower():  # no capital but the first letter
+                out.append((at, end))
+            else:
+                out += _parts(text, at, end)
+            at = to
         elif not out:
-            at = m.end()
-    if text[at:].strip():
-        out += _parts(text, at, len(text))
+            at = to
     return out
 
 
