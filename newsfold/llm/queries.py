@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsfold.llm import byte_bpe, exact_dedup, html_text, packing, quality_model, quality_rules, sharding, simhash, substring_dedup, token_counts
+from newsfold.llm import byte_bpe, exact_dedup, filter_audit, html_text, license_scan, packing, quality_model, quality_rules, sharding, simhash, spelling, substring_dedup, token_counts
 
 
 def queries():
@@ -19,9 +19,18 @@ def queries():
         "op8_substring_dedup": substring_dedup.op8,
         "op9_packing": packing.op9,
         "op10_sharding": sharding.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op12_license_scan": license_scan.op12,
+        "op13_filter_audit": filter_audit.op13,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_quality_rules": quality_rules.OP6_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op6_quality_rules": quality_rules.OP6_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
+        "op12_license_scan": license_scan.OP12_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
+    }
