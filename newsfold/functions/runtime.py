@@ -74,6 +74,39 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets:
     return numbered.join(counts, on).withColumn(name, F.col(at) + F.col("__at") - 1).select(*df.columns, name)
 
 
+def in_order(df: DataFrame, columns: Sequence[str], bucket: str, rank: str, per_part: int = RANK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """df, written, with a gapless ``rank`` from 0 in the order of columns over all rows, and the ``bucket`` that holds a row.
+
+    Buckets are ranges of the order of about per_part rows, whatever the keys: a hot key lies in many. Rows that agree in all
+    columns are dealt by their place in df. Second: (bucket, start, size) of the buckets that have rows; start is their first rank.
+    """
+    spark = df.sparkSession
+    tie, at = free_name(df, "__tie"), free_name(df, "__at")
+    n = parts(spark, df.count(), per_part)
+    # the id that is given last is the sorted partition's number and the row's place in it
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *columns, tie).sortWithinPartitions(*columns, tie)
+    dealt = written(dealt.drop(tie).withColumn(at, F.monotonically_increasing_id()))
+    own = F.shiftright(at, 33).cast("int").alias(bucket)
+    sizes = dealt.groupBy(own).agg(F.count(F.lit(1)).alias("size"))
+    # a row for each bucket, n at most
+    starts = written(sizes.select(bucket, (F.sum("size").over(Window.orderBy(bucket)) - F.col("size")).alias("start"), "size"))
+    found = dealt.select("*", own).join(small(starts.select(bucket, "start")), bucket)
+    return found.select(*df.columns, bucket, (F.col("start") + F.col(at).bitwiseAND((1 << 33) - 1)).alias(rank)), starts
+
+
+def with_halo(rows: DataFrame, starts: DataFrame, bucket: str, rank: str, n: int) -> DataFrame:
+    """rows of ``in_order`` with ``halo``: false of a bucket's own rows; true of the n rows before its first one, put into it again.
+
+    The rows before may lie in several buckets if these have fewer than n.
+    """
+    ends = starts.select(F.col(bucket).alias("__b"), (F.col("start") + F.col("size")).alias("__end"))
+    tails = rows.join(small(ends), F.col(bucket) == F.col("__b")).where(F.col(rank) >= F.col("__end") - n)
+    tails = tails.withColumn("__start", F.explode(F.sequence(F.col(rank) + 1, F.col(rank) + n)))
+    tails = tails.join(small(starts.select(F.col("start").alias("__start"), F.col(bucket).alias("__to"))), "__start")
+    again = tails.select(*[F.col("__to").alias(c) if c == bucket else F.col(c) for c in rows.columns], F.lit(True).alias("halo"))
+    return rows.withColumn("halo", F.lit(False)).unionByName(again)
+
+
 def lagged(df: DataFrame, key: str, order: str, bucket: Column, name: str, value: str) -> DataFrame:
     """df with ``name``: the value of the row before, within a key and by order, though no task sees all rows of a key.
 

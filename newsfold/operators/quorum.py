@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsfold.functions.graph import connected_components
-from newsfold.functions.runtime import written
+from newsfold.functions.runtime import small, written
 from newsfold.functions.vectors import cosine, dot, norm
 
 #: Shares of a group's titles that make a supermajority and a consensus; 1 is unanimous.
@@ -26,12 +29,25 @@ STOP_WORDS = tuple(
 )
 
 
-def pairwise_similarity(titles: DataFrame) -> DataFrame:
+#: Titles of a group that are paired at most; an article has some ten.
+PAIRED = 5_000
+
+
+def unit_vectors(titles: DataFrame) -> DataFrame:
+    """(grp, id, u): the titles with vectors of unit length; null and zero vectors have none."""
+    rows = titles.select("grp", "id", "embedding", norm(F.col("embedding")).alias("__n")).where("__n > 0")
+    return rows.select("grp", "id", F.transform("embedding", lambda x: x / F.col("__n")).alias("u"))
+
+
+def pairwise_similarity(titles: DataFrame, most: int = PAIRED) -> DataFrame:
     """(grp, a, b, sim) of the pairs of each group of titles (grp, id, embedding), a < b.
 
-    Vectors are made unit length once. A group is meant to hold an article's titles: its pairs are all made.
+    Vectors are made unit length once. A group is meant to hold an article's titles, as its pairs are all made: one with more than
+    ``most`` is an error. ``eps_components`` links groups of any size.
     """
-    unit = titles.select("grp", "id", F.transform("embedding", lambda x: x / norm(F.col("embedding"))).alias("u"))
+    n, told = F.count(F.lit(1)), F.concat(F.lit("too many titles to pair in group "), F.coalesce(F.col("grp").cast("string"), F.lit("null")))
+    fits = titles.groupBy("grp").agg(n.alias("__n")).where(F.when(F.col("__n") > most, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).select("grp")
+    unit = unit_vectors(titles).join(fits, "grp")
     a, b = unit.select("grp", F.col("id").alias("a"), F.col("u").alias("ua")), unit.select(F.col("grp").alias("g"), F.col("id").alias("b"), F.col("u").alias("ub"))
     return a.join(b, (F.col("grp") == F.col("g")) & (F.col("a") < F.col("b"))).select("grp", "a", "b", dot(F.col("ua"), F.col("ub")).alias("sim"))
 
@@ -85,13 +101,86 @@ def kmeans_scan(titles: DataFrame, ks: Sequence[int], seed: int = 7) -> DataFram
     return out.withColumn("best_silhouette", F.col("k") == best).withColumn("elbow", F.col("k") == elbow)
 
 
-def eps_components(titles: DataFrame, eps: float = 0.2) -> DataFrame:
-    """(grp, id, cluster): groups' titles linked at a cosine distance of eps or less; alone: -1.
-
-    With two as the least size of a neighbourhood this is density clustering. A cluster is named by its least id.
+#: Titles of a group that is linked by all of its pairs; pivots of a larger one, about; vectors of a block's side, about.
+FEW, PIVOTS, CHUNK = 200, 16, 2_000
+#: What an angle may be off by rounding.
+SLIP = 1e-6
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) links that hold together what a matrix of links holds together: a tree for each part of it."""
+    left, out = set(range(near.shape[0])), []
+    free = np.ones(near.shape[1], bool)
+    while left:
+        open_ = [left.pop()]
+        while open_:
+            i = open_.pop()
+            found = np.flatnonzero(near[i] & free)
+            free[found] = False
+            out += [(i, int(j)) for j in found]
+            if found.size:
+                ways = near[:, found].any(axis=1)
+                for k in [k for k in np.flatnonzero(ways) if k in left]:
+                    left.discard(k)
+                    open_.append(int(k))
+                    out.append((int(k), int(found[near[k, found].argmax()])))
+    return out
+
+
+def _links_of_large(rows: DataFrame, eps: float, pivots: int, chunk: int) -> DataFrame:
+    """(a, b): links of large groups' vectors (grp, n, id, u), enough to hold every component together.
+
+    About ``pivots`` vectors of each group, by a hash of the id, are its pivots. A vector is at home in the cell of its nearest pivot, and
+    lies in the cell of every pivot that is at most its least angle and twice theta away: by the triangle inequality that is where its
+    partners, theta away at most, are at home. Vectors within half of theta of a pivot are its core and all linked, by links to the
+    pivot alone; what else lies in a cell is compared with what is at home there, in blocks of chunks, and a block gives a forest of
+    its links. So a tight crowd costs a link a vector, and the rows made never grow with the square of a group.
+    """
+    theta, h = math.acos(max(-1.0, 1 - eps)), F.xxhash64("id")
+    chosen = rows.where(F.pmod(h, F.col("n")) < pivots).groupBy("grp").agg(F.collect_list(F.struct("id", "u")).alias("p"))
+    angles = F.transform(F.coalesce("p", F.array().cast("array<struct<id:bigint,u:array<double>>>")), lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), p["u"])))))
+    d = rows.join(small(written(chosen)), "grp", "left").select("grp", "id", "u", F.transform("p", lambda p: p["id"]).alias("p"), angles.alias("ang"))
+    d = d.withColumn("least", F.coalesce(F.array_min("ang"), F.lit(math.pi)))
+    cell = F.when(F.size("ang") == 0, F.array(F.struct(F.lit(0).alias("cell"), F.lit(math.pi).alias("ang"), F.col("id").alias("pivot")))).otherwise(
+        F.filter(F.transform("ang", lambda x, i: F.struct(i.alias("cell"), x.alias("ang"), F.get("p", i).alias("pivot"))), lambda c: c["ang"] <= F.col("least") + 2 * theta + SLIP)
+    )
+    home = F.when(F.size("ang") == 0, 0).otherwise(F.array_position("ang", F.col("least")) - 1)
+    placed = written(d.select("grp", "id", "u", home.alias("home"), F.explode(cell).alias("c")).select("grp", "id", "u", (F.col("home") == F.col("c.cell")).alias("own"), "c.*").withColumn("core", F.col("ang") <= theta / 2 - SLIP))
+    to_pivot = placed.where((F.col("ang") <= theta - SLIP) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+    def chunks(test: Column) -> Column:
+        return F.ceil(F.count_if(test) / chunk).cast("int")
+
+    counts = placed.groupBy("grp", "cell").agg(chunks(~F.col("core")).alias("ls"), chunks(F.col("own")).alias("rs")).where("ls > 0 and rs > 0")
+    rows = placed.join(small(written(counts)), ["grp", "cell"])
+    left = rows.where("not core").select("grp", "cell", F.pmod(h, "ls").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("j"), F.lit(True).alias("is_left"), "id", "u")
+    right = rows.where("own").select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("ls") - 1)).alias("i"), F.pmod(h, "rs").cast("int").alias("j"), F.lit(False).alias("is_left"), "id", "u")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["is_left"] == side] for side in (True, False))
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        a, b = x["id"].to_numpy(), y["id"].to_numpy()
+        near = 1 - np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T <= eps
+        found = [(a[i], b[j]) for i, j in _forest(near) if a[i] != b[j]]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return to_pivot.unionByName(left.unionByName(right).groupBy("grp", "cell", "i", "j").applyInPandas(link, "a long, b long"))
+
+
+def eps_components(titles: DataFrame, eps: float = 0.2, few: int = FEW, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+    """(grp, id, cluster): groups' titles linked at a cosine distance of eps or less; alone: -1. Ids are whole numbers, unique over all groups.
+
+    With two as the least size of a neighbourhood this is density clustering. A cluster is named by its least id. Groups of up to
+    ``few`` titles are linked by their pairs, larger ones cell by cell around pivots (``_links_of_large``).
     """
-    near = pairwise_similarity(titles).where(1 - F.col("sim") <= eps)
-    roots = connected_components(near.select("a", "b"))
+    sizes = written(titles.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.where(F.col("n") > few)
+    links = pairwise_similarity(titles.join(sizes.where(F.col("n") <= few).select("grp"), "grp")).where(1 - F.col("sim") <= eps).select("a", "b")
+    if not large.isEmpty():
+        rows = written(unit_vectors(titles).join(large, "grp").select("grp", "n", F.col("id").cast("long").alias("id"), "u"))
+        links = links.unionByName(_links_of_large(rows, eps, pivots, chunk))
+    roots = connected_components(links)
     named = roots.groupBy("root").agg(F.min("node").alias("cluster"))
     found = roots.join(named, "root").select(F.col("node").alias("id"), "cluster")
     return titles.select("grp", "id").join(found, "id", "left").select("grp", "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -8,6 +8,7 @@ from pyspark.ml.feature import FeatureHasher, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsfold.functions.runtime import in_order, small, with_halo, written
 from newsfold.functions.text import sentences
 
 BLOCKED, REVERT_TAG = "blocked", "mw-reverted"
@@ -21,25 +22,34 @@ SIMILAR, ALIGNED, CANDIDATES = 0.75, 0.6, 20
 def following_revisions(revisions: DataFrame, n: int) -> DataFrame:
     """(pageid, revid, nth, next_revid, next_ts): the first n revisions of the page a second or more later.
 
-    Rows of a page are ranked once in time; a revision's followers are among the ranks behind it, so nothing is paired
-    beyond them but revisions of the same second.
+    Revisions and the times from which their followers count are put into one order by page and time, in buckets that no page
+    fills alone: the revisions before a time say how the followers are numbered, and they are looked up by these numbers. Rows with a null
+    pageid or time follow nothing and have no followers.
     """
-    w = Window.partitionBy("pageid").orderBy("ts", "revid")
-    # backwards in time the frame only grows, so that its minimum is kept and not computed anew for each row
-    later = F.min("__rn").over(Window.partitionBy("pageid").orderBy(-F.unix_micros("__t")).rangeBetween(Window.unboundedPreceding, -1_000_000))
-    r = revisions.select("pageid", "revid", "ts", F.col("ts").cast("timestamp").alias("__t")).withColumn("__rn", F.row_number().over(w)).withColumn("__from", later)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
-    wanted = r.where("__from is not null").select("pageid", "revid", "__from", steps).select("pageid", "revid", (F.col("k") + 1).alias("nth"), (F.col("__from") + F.col("k")).alias("__rn"))
-    nxt = r.select("pageid", "__rn", F.col("revid").alias("next_revid"), F.col("ts").alias("next_ts"))
-    return wanted.join(nxt, ["pageid", "__rn"]).select("pageid", "revid", "nth", "next_revid", "next_ts")
+    r = revisions.where("pageid is not null").select("pageid", "revid", "ts", F.col("ts").cast("timestamp").alias("t"))
+    asked = r.where("t is not null").withColumns({"t": F.col("t") + F.expr("interval 1 second"), "is_row": F.lit(0)})
+    both, starts = in_order(asked.unionByName(r.withColumn("is_row", F.lit(1))), ["pageid", "t", "is_row", "revid"], "bucket", "rank")
+    both = written(both)
+    held = both.groupBy("bucket").agg(F.sum("is_row").alias("held"))
+    held = held.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("held"))  # a row for each bucket
+    here = F.sum("is_row").over(Window.partitionBy("bucket").orderBy("rank"))
+    rows = written(both.withColumn("here", here).join(small(written(held)), "bucket").select("pageid", "revid", "ts", "is_row", (F.col("held") + F.col("here")).alias("no")))
+    nth = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("nth")
+    wanted = rows.where("is_row = 0").select("pageid", "revid", "no", nth).select("pageid", "revid", "nth", (F.col("no") + F.col("nth")).alias("no"))
+    nxt = rows.where("is_row = 1 and ts is not null").select("pageid", "no", F.col("revid").alias("next_revid"), F.col("ts").alias("next_ts"))
+    return wanted.join(nxt, ["pageid", "no"]).select("pageid", "revid", "nth", "next_revid", "next_ts")
 
 
 def previous_notable(revisions: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
-    """(pageid, revid, previous_revid): the latest of the page's ``candidates`` revisions before this one that is by another user or a day older."""
-    w = Window.partitionBy("pageid").orderBy("ts", "revid").rowsBetween(-candidates, -1)
+    """(pageid, revid, previous_revid): the latest of the page's ``candidates`` revisions before this one that is by another user or a day older.
+
+    Pages are looked through in buckets of one order by page and time, each with the ``candidates`` rows before it.
+    """
+    rows, starts = in_order(revisions.select("pageid", "revid", "user", "ts"), ["pageid", "ts", "revid"], "bucket", "rank")
+    w = Window.partitionBy("bucket", "pageid").orderBy("rank").rowsBetween(-candidates, -1)
     back = F.collect_list(F.struct("ts", "revid", "user")).over(w)
     old = F.filter("__b", lambda x: (x["user"] != F.col("user")) | (x["ts"] <= F.col("ts") - F.expr("interval 1 day")))
-    rows = revisions.withColumn("__b", back)
+    rows = with_halo(rows, starts, "bucket", "rank", candidates).withColumn("__b", back).where("not halo")
     return rows.select("pageid", "revid", F.try_element_at(old, F.lit(-1))["revid"].alias("previous_revid"))
 
 

@@ -8,10 +8,13 @@ max_num_articles, pos.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsfold.functions.graph import connected_components
 from newsfold.functions.runtime import parts, small, written
 
 
@@ -113,10 +116,18 @@ def spread_by_host(stubs: DataFrame, n: int) -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """urls (href) with ``allowed``: the first rule (host, agent, prefix, allow, pos) of the host that fits; none: allowed."""
+    """urls (href) with ``allowed``: the first rule (host, agent, prefix, allow, pos) of the host that fits; none: allowed.
+
+    Of rules with one prefix only the first counts. A path is expanded into its prefixes of the lengths that the host's rules have, and these
+    meet the rules by equality, so a path never meets the rules that don't fit it. Rules without a prefix fit nothing.
+    """
     u = urls.withColumn("__h", F.lower(F.parse_url("href", F.lit("HOST")))).withColumn("__p", F.coalesce(F.parse_url("href", F.lit("PATH")), F.lit("")))
-    r = rules.where((F.col("agent") == "*") | (F.lower("agent") == agent.lower())).select(F.col("host").alias("__h"), "prefix", "allow", F.col("pos").alias("__rule"))
-    first = u.select("__h", "__p").distinct().join(r, "__h").where(F.startswith("__p", F.col("prefix"))).groupBy("__h", "__p").agg(F.min_by("allow", "__rule").alias("allow"))
+    fit = rules.where(((F.col("agent") == "*") | (F.lower("agent") == agent.lower())) & F.col("prefix").isNotNull())
+    r = fit.groupBy(F.col("host").alias("__h"), F.col("prefix").alias("__start")).agg(F.min_by("allow", "pos").alias("allow"), F.min("pos").alias("__rule"))
+    lengths = r.groupBy("__h").agg(F.sort_array(F.collect_set(F.length("__start"))).alias("__lengths"))  # as many as a prefix has characters at most
+    starts = F.transform(F.filter("__lengths", lambda n: n <= F.length("__p")), lambda n: F.substring(F.col("__p"), F.lit(1), n))
+    paths = u.select("__h", "__p").distinct().join(lengths, "__h").select("__h", "__p", F.explode(starts).alias("__start"))
+    first = paths.join(r, ["__h", "__start"]).groupBy("__h", "__p").agg(F.min_by("allow", "__rule").alias("allow"))
     return u.join(first, ["__h", "__p"], "left").select(*urls.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
@@ -131,28 +142,71 @@ def route_urls(urls: DataFrame, rules: Sequence[tuple[str, str, int]]) -> DataFr
     return urls.withColumn("route", route)
 
 
-def dedup_first_wins(stubs: DataFrame, urls: str | None = "urls") -> DataFrame:
+#: (stub, URL) rows of a component that one task walks through at most.
+WALK_ROWS = 50_000
+
+
+def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over undecided pairs (pos, href): the stubs that go (pos), and the pairs that stay undecided; both written.
+
+    A stub that is first for all of its URLs is taken; those that share a URL with it go. Minima are combined before the shuffle.
+    """
+    first = pairs.groupBy("href").agg(F.min("pos").alias("first"))
+    judged = written(pairs.join(first, "href").groupBy("pos").agg(F.min(F.col("pos") == F.col("first")).alias("taken")))
+    taken = judged.where("taken").select("pos")
+    held = pairs.join(taken, "pos", "left_semi").select("href").distinct()
+    rest = pairs.join(taken, "pos", "left_anti")
+    gone = written(rest.join(held, "href", "left_semi").select("pos").distinct())
+    return gone, written(rest.join(gone, "pos", "left_anti"))
+
+
+def _walked(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The stubs that go (pos) of all components of stubs with common URLs of at most ``most`` pairs, and the pairs of the others; both written.
+
+    A component is walked through in order of ``pos`` in one group, so a chain of any length is one pass.
+    """
+    first = pairs.groupBy("href").agg(F.min("pos").alias("first"))
+    roots = connected_components(pairs.join(first, "href").select(F.col("pos").alias("a"), F.col("first").alias("b")))
+    rows = written(pairs.join(roots.withColumnRenamed("node", "pos"), "pos", "left").withColumn("root", F.coalesce("root", "pos")))
+    large = written(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: set[str] = set()
+        gone = []
+        for pos, own in pdf.groupby("pos", sort=True)["href"]:
+            if held.isdisjoint(own):
+                held.update(own)
+            else:
+                gone.append(pos)
+        return pd.DataFrame({"pos": pd.Series(gone, dtype="int64")})
+
+    gone = rows.join(large, "root", "left_anti").groupBy("root").applyInPandas(walk, "pos long")
+    return written(gone), written(rows.join(large, "root", "left_semi").select("pos", "href"))
+
+
+def dedup_first_wins(stubs: DataFrame, urls: str | None = "urls", walk_rows: int = WALK_ROWS) -> DataFrame:
     """stubs without later holders of a URL or an id, in order of ``pos``.
 
     A stub goes if one of its URLs belongs to an earlier stub that was taken over; of the rest, which hold their URLs even
     so, all but the first of each id go. Null ids and stubs without URLs never collide. urls: an array column of hrefs;
     None: the single column ``href``.
 
-    URLs are decided in rounds: a stub that is first for all of its URLs is taken, those that share a URL with it go, and
-    the rest is looked at again. Rows with one URL each need one round. Minima are combined before the shuffle.
+    A first round over all rows decides what has one URL each and most of the rest. What is left is split into components of stubs
+    with common URLs: those of at most ``walk_rows`` pairs are walked through in one grouped pass; larger ones go on in rounds, each of which decides at
+    least the first stub of every component.
     """
     href = F.explode(F.array_distinct(F.col(urls))) if urls else F.col("href")
-    pairs = written(stubs.select("pos", href.alias("href")).where("href is not null"))
-    lost = None
+    pairs = written(stubs.select(F.col("pos").cast("long").alias("pos"), href.alias("href")).where("href is not null"))
+    lost = []
+    if not pairs.isEmpty():
+        gone, pairs = _round(pairs)
+        lost.append(gone)
+    if not pairs.isEmpty():
+        gone, pairs = _walked(pairs, walk_rows)
+        lost.append(gone)
     while not pairs.isEmpty():
-        first = pairs.groupBy("href").agg(F.min("pos").alias("first"))
-        judged = written(pairs.join(first, "href").groupBy("pos").agg(F.min(F.col("pos") == F.col("first")).alias("taken")))
-        taken = judged.where("taken").select("pos")
-        held = pairs.join(taken, "pos", "left_semi").select("href").distinct()
-        rest = pairs.join(taken, "pos", "left_anti")
-        gone = written(rest.join(held, "href", "left_semi").select("pos").distinct())
-        lost = gone if lost is None else lost.unionByName(gone)
-        pairs = written(rest.join(gone, "pos", "left_anti"))
-    kept = stubs if lost is None else stubs.join(lost, "pos", "left_anti")
+        gone, pairs = _round(pairs)
+        lost.append(gone)
+    kept = stubs.join(reduce(DataFrame.unionByName, lost), "pos", "left_anti") if lost else stubs
     firsts = kept.where("id is not null").groupBy("id").agg(F.min("pos").alias("pos"))
     return kept.join(firsts.select("pos"), "pos", "left_semi").unionByName(kept.where("id is null"))
