@@ -117,35 +117,104 @@ def review_rank(reviews: DataFrame) -> DataFrame:
     return reviews.where("level_text is not null").withColumn("score", score).orderBy(F.desc("score"), "pos")
 
 
+#: Sentences more alike than this are found by their rarest grams, of so many characters.
+ALIKE, GRAM = 0.9, 3
+
+
+def ratio(clean: Column, changed: Column) -> Column:
+    return 1 - F.levenshtein(clean, changed) / F.greatest(F.length(clean), F.length(changed))
+
+
+def alike_by_grams(left: DataFrame, right: DataFrame, least: float = ALIKE, q: int = GRAM) -> DataFrame:
+    """(pair_id, a, b): candidates among sentences (pair_id, a, clean) and (pair_id, b, changed), with all whose ratio is above ``least``.
+
+    One edit changes q grams at most, so that sentences of up to M characters and a ratio above ``least`` have more than
+    M (1 - q (1 - least)) - q + 1 grams in common, counted with repeats. Of each sentence only as many of its grams, the rarest of its pair of
+    texts, are looked up as it can't lose all of. Sentences below q characters have no such partner.
+    """
+    share = 1 - q * (1 - least)
+
+    def grams(df: DataFrame, at: str, s: str) -> DataFrame:
+        n = F.length(s)
+        rows = df.where(n >= q).select("pair_id", F.col(at).alias("at"), n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col(s), i, F.lit(q)))).alias("gram"))
+        rows = rows.groupBy("pair_id", "at", "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+        return rows.select("pair_id", "at", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+
+    both = written(grams(left, "a", "clean").withColumn("side", F.lit(0)).unionByName(grams(right, "b", "changed").withColumn("side", F.lit(1))))
+    held = both.groupBy("pair_id", "gram").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("pair_id", "side", "at").orderBy("held", "gram", "nth"))
+    common = F.floor(F.col("n") * share - q + 1 - 1e-9) + 1
+    rare = written(both.join(held, ["pair_id", "gram"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - q + 2 - F.greatest(common, F.lit(1))))
+    a, b = (rare.where(f"side = {k}").select("pair_id", "gram", "nth", F.col("at").alias(name)) for k, name in enumerate("ab"))
+    return a.join(b, ["pair_id", "gram", "nth"]).select("pair_id", "a", "b").distinct()
+
+
+def _best(near: DataFrame, least: float) -> DataFrame:
+    """(pair_id, b, a, clean, changed, ratio): of candidates (pair_id, a, clean, b, changed) each b with the most alike a, if above least; the first of equals."""
+    # a ratio above the threshold bounds the lengths, which is cheap to see first
+    fit = near.where(F.least(F.length("clean"), F.length("changed")) > least * F.greatest(F.length("clean"), F.length("changed")))
+    close = fit.withColumn("ratio", ratio(F.col("clean"), F.col("changed"))).where(F.col("ratio") > least)
+    return close.groupBy("pair_id", "b").agg(F.max_by(F.struct("a", "clean", "changed", "ratio"), F.struct("ratio", (-F.col("a")).alias("n"))).alias("m")).select("pair_id", "b", "m.*")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows (pair_id, kind, a, b, clean, changed, ratio) with each island that reads better as one sentence put together.
+
+    Rows go by their changed sentence; a deleted one stands behind the last matched clean sentence before it. An island is all unmatched rows
+    between two matched ones. It becomes one row of kind ``merged`` if its clean and its changed sentences, each joined by a blank, are more alike
+    than the matched row behind it. Windows lie within a pair of texts.
+    """
+    by_clean = Window.partitionBy("pair_id").orderBy("a", F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    anchored = rows.withColumn("x", F.coalesce("b", F.when(F.col("a").isNotNull(), F.last(F.when(F.col("ratio").isNotNull(), F.col("b")), ignorenulls=True).over(by_clean)), F.lit(-1)))
+    in_order = Window.partitionBy("pair_id").orderBy("x", F.col("b").isNull(), "a")
+    placed = anchored.withColumn("island", F.count("ratio").over(in_order) + F.when(F.col("ratio").isNull(), 1).otherwise(0))
+    place = F.struct("x", F.col("b").isNull().alias("y"), "a")
+
+    def joined(c: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(F.col("ratio").isNull() & F.col(c).isNotNull(), F.struct(place.alias("at"), F.col(c).alias("s")))))
+        return F.array_join(F.transform(parts, lambda x: x["s"]), " ")
+
+    # behind an equal row nothing can be more alike
+    found = placed.groupBy("pair_id", "island").agg(joined("clean").alias("clean"), joined("changed").alias("changed"), F.max("ratio").alias("next"))
+    longest = F.greatest(F.length("clean"), F.length("changed"))
+    found = found.where((F.col("next") < 1) & (F.length("clean") > 0) & (F.length("changed") > 0)).where(F.least(F.length("clean"), F.length("changed")) > F.col("next") * longest)
+    # beyond this distance the ratio can't be larger, and Spark stops counting
+    found = found.withColumn("most", F.ceil((1 - F.col("next")) * longest).cast("int")).withColumn("d", F.expr("levenshtein(clean, changed, most)"))
+    better = written(found.where("d >= 0").withColumn("ratio", 1 - F.col("d") / longest).where(F.col("ratio") > F.col("next")).select("pair_id", "island", "clean", "changed", "ratio"))
+    gone = better.select("pair_id", "island", F.lit(True).alias("gone"))
+    kept = placed.join(gone, ["pair_id", "island"], "left").where(F.col("gone").isNull() | F.col("ratio").isNotNull()).select("pair_id", "kind", "clean", "changed", "ratio")
+    return kept.unionByName(better.select("pair_id", F.lit("merged").alias("kind"), "clean", "changed", "ratio"))
+
+
 def align_revisions(pairs: DataFrame) -> DataFrame:
     """(pair_id, kind, clean, changed, ratio) of the sentences of pairs (pair_id, clean_text, changed_text).
 
     equal: the same sentence, by occurrence; replaced: each other changed sentence with its most alike clean one, if their
-    ratio (1 - edit distance / length) is above ``ALIGNED``; inserted and deleted: the rest. Only sentences of one pair meet.
+    ratio (1 - edit distance / length) is above ``ALIGNED``; inserted and deleted: the rest, of which adjacent ones are put together as
+    merged where that reads better (``_merged``). Only sentences of one pair meet: those with a partner above ``ALIKE`` find it by rare grams, and
+    only those that have none are compared with all other sentences of a fitting length.
     """
 
     def side(c: str, name: str) -> DataFrame:
         rows = pairs.select("pair_id", F.posexplode(sentences(F.col(c))).alias("pos", "s"))
         return rows.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "s").orderBy("pos"))).select("pair_id", "s", "nth", F.col("pos").alias(name))
 
-    a, b = side("clean_text", "a"), side("changed_text", "b")
+    a, b = written(side("clean_text", "a")), written(side("changed_text", "b"))
     equal = a.join(b, ["pair_id", "s", "nth"])
     left, right = a.join(b, ["pair_id", "s", "nth"], "left_anti"), b.join(a, ["pair_id", "s", "nth"], "left_anti")
-    l, r = left.select("pair_id", "a", F.col("s").alias("clean")), right.select("pair_id", "b", F.col("s").alias("changed"))
-    ratio = 1 - F.levenshtein("clean", "changed") / F.greatest(F.length("clean"), F.length("changed"))
-    # a ratio above the threshold bounds the lengths, which is cheap to see first
-    near = l.join(r, "pair_id").where(F.least(F.length("clean"), F.length("changed")) > ALIGNED * F.greatest(F.length("clean"), F.length("changed")))
-    close = near.withColumn("ratio", ratio).where(F.col("ratio") > ALIGNED)
-    best = close.groupBy("pair_id", "b").agg(F.max_by(F.struct("a", "clean", "changed", "ratio"), F.struct("ratio", (-F.col("a")).alias("n"))).alias("m")).select("pair_id", "b", "m.*")
+    l, r = written(left.select("pair_id", "a", F.col("s").alias("clean"))), written(right.select("pair_id", "b", F.col("s").alias("changed")))
+    alike = written(_best(alike_by_grams(l, r).join(l, ["pair_id", "a"]).join(r, ["pair_id", "b"]), ALIKE))
+    rest = r.join(alike.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
+    best = alike.unionByName(written(_best(l.join(rest, "pair_id"), ALIGNED)))
     deleted = l.join(best.select("pair_id", "a").distinct(), ["pair_id", "a"], "left_anti")
     inserted = r.join(best.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
-    none = F.lit(None).cast("string")
 
-    def out(df: DataFrame, kind: str, clean: Column, changed: Column, ratio: Column) -> DataFrame:
-        return df.select("pair_id", F.lit(kind).alias("kind"), clean.alias("clean"), changed.alias("changed"), ratio.cast("double").alias("ratio"))
+    def out(df: DataFrame, kind: str, **given: Column) -> DataFrame:
+        kinds = {"a": "int", "b": "int", "clean": "string", "changed": "string", "ratio": "double"}
+        return df.select("pair_id", F.lit(kind).alias("kind"), *[(given[c] if c in given else F.lit(None) if c not in df.columns else F.col(c)).cast(k).alias(c) for c, k in kinds.items()])
 
-    rows = out(equal, "equal", F.col("s"), F.col("s"), F.lit(1.0)).unionByName(out(best, "replaced", F.col("clean"), F.col("changed"), F.col("ratio")))
-    return rows.unionByName(out(deleted, "deleted", F.col("clean"), none, F.lit(None))).unionByName(out(inserted, "inserted", none, F.col("changed"), F.lit(None)))
+    rows = out(equal, "equal", clean=F.col("s"), changed=F.col("s"), ratio=F.lit(1.0)).unionByName(out(best, "replaced"))
+    return _merged(written(rows.unionByName(out(deleted, "deleted")).unionByName(out(inserted, "inserted"))))
 
 
 def tokens(text: Column) -> Column:

@@ -90,23 +90,23 @@ REVIEW = """select event_id as pos, (event_type in ('view', 'click'))::int + (us
 
 
 def _pairs(spark, d):
-    """A document's first lines against the same with a word changed in every second one and a line more."""
+    """A document's lines against the same with a word changed in every second one, every fourth one cut in two sentences, and a line more."""
     docs = V.articles(spark, d)
     lines = F.split("text", "\n")
     ascii_only = F.transform(lines, lambda x: F.regexp_replace(x, "[^\\x20-\\x7E]", "e"))
-    changed = F.transform(ascii_only, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, "\\bthe\\b", "hte")).otherwise(x))
+    changed = F.transform(ascii_only, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, "\\bthe\\b", "hte")).when(i % 4 == 1, F.concat(F.substring(x, F.lit(1), F.floor(F.length(x) / 2).cast("int")), F.lit(". "), F.substring(x, F.floor(F.length(x) / 2).cast("int") + 1, F.length(x)))).otherwise(x))
     return docs.select(F.col("doc_id").alias("pair_id"), F.array_join(ascii_only, "\n").alias("clean_text"), F.concat(F.array_join(changed, "\n"), F.lit("\nA brand new line of "), F.col("doc_id").cast("string"), F.lit(" 0123456789.")).alias("changed_text"))
 
 
 def align_revisions(spark, d):
     a = R.align_revisions(_pairs(spark, d))
-    return a.groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ratio"), 6).alias("ratio"))
+    return a.groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ratio"), 6).alias("ratio"), F.sum(F.length("clean")).alias("n_clean"), F.sum(F.length("changed")).alias("n_changed"))
 
 
 _S = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 ALIGN = rf"""
 with ln as (select doc_id as pair_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^\x20-\x7E]', 'e', 'g')) as l from documents),
-tx as (select pair_id, array_to_string(l, chr(10)) as c, array_to_string(list_transform(l, lambda x, i: case when (i - 1) % 2 = 0 then regexp_replace(x, '\bthe\b', 'hte', 'g') else x end), chr(10)) || chr(10) || 'A brand new line of ' || pair_id || ' 0123456789.' as h from ln),
+tx as (select pair_id, array_to_string(l, chr(10)) as c, array_to_string(list_transform(l, lambda x, i: case when (i - 1) % 2 = 0 then regexp_replace(x, '\bthe\b', 'hte', 'g') when (i - 1) % 4 = 1 then substr(x, 1, length(x) // 2) || '. ' || substr(x, length(x) // 2 + 1) else x end), chr(10)) || chr(10) || 'A brand new line of ' || pair_id || ' 0123456789.' as h from ln),
 a0 as (select pair_id, unnest(s) as s, generate_subscripts(s, 1) - 1 as pos from (select pair_id, {_S.format('c')} as s from tx)),
 b0 as (select pair_id, unnest(s) as s, generate_subscripts(s, 1) - 1 as pos from (select pair_id, {_S.format('h')} as s from tx)),
 a as (select *, row_number() over (partition by pair_id, s order by pos) as nth from a0), b as (select *, row_number() over (partition by pair_id, s order by pos) as nth from b0),
@@ -115,10 +115,17 @@ r as (select * from b where not exists (select 1 from a where b.pair_id = a.pair
 cl as (select l.pair_id, l.pos as a, r.pos as b, 1 - levenshtein(l.s, r.s) / greatest(length(l.s), length(r.s)) as ratio from l join r using (pair_id)
   where least(length(l.s), length(r.s)) > 0.6 * greatest(length(l.s), length(r.s))),
 be as (select pair_id, b, arg_max(a, (ratio, -a)) as a, max(ratio) as ratio from cl where ratio > 0.6 group by pair_id, b),
-k as (select a.pair_id, 'equal' as kind, 1.0::double as ratio from a join b using (pair_id, s, nth) union all select pair_id, 'replaced', ratio from be
-  union all select pair_id, 'deleted', null from l where not exists (select 1 from be where be.pair_id = l.pair_id and be.a = l.pos)
-  union all select pair_id, 'inserted', null from r where not exists (select 1 from be where be.pair_id = r.pair_id and be.b = r.pos))
-select pair_id, kind, count(*) as n, round(sum(ratio), 6) as ratio from k group by all"""
+m as (select a.pair_id, 'equal' as kind, a.pos as a, b.pos as b, a.s as clean, b.s as changed, 1.0::double as ratio from a join b using (pair_id, s, nth)
+  union all select pair_id, 'replaced', be.a, be.b, l.s, r.s, be.ratio from be join l using (pair_id) join r using (pair_id) where l.pos = be.a and r.pos = be.b),
+k as (select *, b as x from m
+  union all select l.pair_id, 'deleted', l.pos, null, l.s, null, null, coalesce((select arg_max(m.b, (m.a, m.b)) from m where m.pair_id = l.pair_id and m.a < l.pos), -1) from l where not exists (select 1 from be where be.pair_id = l.pair_id and be.a = l.pos)
+  union all select r.pair_id, 'inserted', null, r.pos, null, r.s, null, r.pos from r where not exists (select 1 from be where be.pair_id = r.pair_id and be.b = r.pos)),
+o as (select *, count(ratio) over (partition by pair_id order by x, b is null, a) + (ratio is null)::int as island from k),
+g as (select pair_id, island, string_agg(clean, ' ' order by x, b is null, a) filter (where ratio is null) as clean, string_agg(changed, ' ' order by x, b is null, a) filter (where ratio is null) as changed, max(ratio) as nxt from o group by all),
+me as (select pair_id, island, clean, changed, 1 - levenshtein(clean, changed) / greatest(length(clean), length(changed)) as ratio, nxt from g where nxt < 1 and clean <> '' and changed <> ''),
+z as (select pair_id, 'merged' as kind, clean, changed, ratio from me where ratio > nxt
+  union all select pair_id, kind, clean, changed, ratio from o where ratio is not null or not exists (select 1 from me where me.pair_id = o.pair_id and me.island = o.island and me.ratio > me.nxt))
+select pair_id, kind, count(*) as n, round(sum(ratio), 6) as ratio, sum(length(clean))::bigint as n_clean, sum(length(changed))::bigint as n_changed from z group by all"""
 
 
 def _labelled(spark, d):
