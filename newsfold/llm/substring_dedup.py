@@ -1,14 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: at line ends, after . ! ? before white space, after their full-width forms, and, where end
-marks are missing, at a capital letter after ``OPEN_WORDS`` words or more. A span is a run of consecutive sentences with
-``MIN_WORDS`` words or more. All spans that occur before, by (doc_id, place), lose their sentences here; the first one of
-each keeps them. The word bound leaves common lines alone.
+A text is cut into sentences: at line ends, after . ! ? ... before white space (and quotes or brackets that close there), and after
+their full-width forms. A full stop after an abbreviation, an initial or a one- or two-digit number ends nothing. Only what has no end mark for more than
+``OPEN_STRETCH`` words, not even at its own end, is cut at capital letters, after ``OPEN_WORDS`` words or more. A span is a run of
+two or more consecutive sentences with ``MIN_WORDS`` words or more in all. All spans that occur before, by (doc_id, place), lose their sentences
+here; the first one of each keeps them. The word bound leaves common lines alone.
 
 Not every span has to be hashed for that: the shortest span from each sentence on and the shortest one up to each sentence
-do. Whatever longer span comes again, those of its own sentences come again with it, and together they cover it: from a
-sentence whose shortest span would reach beyond, fewer words than ``MIN_WORDS`` are left, and the one up to the last
-sentence covers these. So there are two hashes a sentence at most (128 bits; white space made single, A-Z lower-cased).
+do. Whatever longer span comes again, those of its own sentences come again with it, and together they cover it: where a
+sentence's shortest span would reach beyond, what is left is no span, and the shortest one up to the last
+sentence, which is one, begins before it. So there are two hashes a sentence at most (128 bits; white space made single, A-Z lower-cased).
 
 The spans are written once and joined globally. Repeats inside one text are seen while it is read; the least doc_id of a hash is combined
 before the shuffle and written, and the join back is a plain equi-join that Spark can split where one passage is
@@ -34,9 +35,15 @@ from pyspark.sql import functions as F
 from newsfold.functions.runtime import free_name, written
 from newsfold.llm.text import documents
 
-#: So that passages of some 50 words are seen though their ends lie inside sentences of the text around them.
-MIN_WORDS, OPEN_WORDS = 36, 6
-_END = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])\s*")
+MIN_SENTENCES, MIN_WORDS, OPEN_STRETCH, OPEN_WORDS = 2, 18, 60, 6
+#: "z. B." and its like aren't cut inside either.
+_END = re.compile(r"(?<=[.!?\u2026])\s+(?!(?:B|h|a|g|e|ex|ej)\.)|(?<=[.!?\u2026][\"'\u201d\u2019\u201c\u00bb\u00ab)\]])\s+|\n\s*|(?<=[。！？])\s*")
+#: A text's last characters that tell a stretch with an end mark.
+_MARKED = re.compile(r"[.!?\u2026。！？][\"'\u201d\u2019\u201c\u00bb\u00ab)\]]*\s*$")
+#: Words before a full stop that end no sentence: initials, short numbers, and abbreviations of the four languages.
+_ABBREVIATED = re.compile(
+    r"(?:^|[\s(\"'\u201c\u201e\u00ab\u00bf\u00a1])(?:[A-Z\u00c0-\u00dd]|\d{1,2}|Mr|Mrs|Ms|Dr|Prof|St|Jr|Gen|Rev|vs|e\.g|i\.e|cf|Fig|approx|bzw|ca|Nr|z\.\s?B|d\.\s?h|u\.\s?a|vgl|Str|Hr|Fr|Abb|MM|Mme|Mlle|p\.\s?ex|av|env|Sra|Srta|Sr|Ud|Uds|EE|UU|pág|núm|p\.\s?ej)\.$"
+)
 #: Where a sentence may begin without an end mark before it; whether the letter is a capital is looked up.
 _OPEN = re.compile(r"\s+(?=[^\Wa-z\d_])")
 #: Scripts without spaces between words: two letters count as a word.
@@ -58,9 +65,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for m in [*_END.finditer(text), None]:
         end, to = m.span() if m else (len(text), len(text))
+        if m and text[end - 1] == "." and "\n" not in text[end:to] and _ABBREVIATED.search(text, max(0, end - 8), end):
+            continue
         own = text[at:end]
         if own and not own.isspace():
-            if own[1:].islower():  # no capital but the first letter
+            if own.count(" ") < OPEN_STRETCH or _MARKED.search(own) or len(own.split()) <= OPEN_STRETCH:
                 out.append((at, end))
             else:
                 out += _parts(text, at, end)
@@ -79,19 +88,19 @@ def spans(text: str) -> list[tuple[bytes, int, int]]:
     count, runs = len(size), []
     held = end = 0
     for i in range(count):
-        while end < count and held < MIN_WORDS:
+        while end < count and (held < MIN_WORDS or end - i < MIN_SENTENCES):
             held += size[end]
             end += 1
-        if held < MIN_WORDS:
+        if held < MIN_WORDS or end - i < MIN_SENTENCES:
             break
         runs.append((i, end))
         held -= size[i]
     held, start, known = 0, count, set(runs)
     for k in range(count, 0, -1):
-        while start > 0 and held < MIN_WORDS:
+        while start > 0 and (held < MIN_WORDS or k - start < MIN_SENTENCES):
             start -= 1
             held += size[start]
-        if held < MIN_WORDS:
+        if held < MIN_WORDS or k - start < MIN_SENTENCES:
             break
         if (start, k) not in known:
             runs.append((start, k))
