@@ -168,11 +168,12 @@ def held_out() -> Column:
 
 
 def train(rows: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
-    """The model of feature rows with labels (doc_id, quality), held-out rows aside."""
+    """The model of feature rows with labels (doc_id, quality), held-out rows aside; of an id with several texts the row of least features counts."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(*FEATURES, "quality", "doc_id").toPandas().sort_values("doc_id")  # max_rows rows
+    least = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "quality")).alias("r"))
+    got = least.select("r.*", "doc_id").toPandas().sort_values("doc_id")  # max_rows rows
     return fit(got[list(FEATURES)].to_numpy(float), got["quality"].to_numpy(float))
 
 

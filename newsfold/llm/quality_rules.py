@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsfold.functions.runtime import free_name
 from newsfold.llm.text import body, documents
 
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 0.5, 0.5
@@ -76,30 +77,30 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of docs with one of these names are replaced.
     """
-    t = body(text)
-    lines = F.split(t, "\n")
-    out = docs.withColumns({"__t": t, "__w": words(t), "__l": F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
+    whole, own, lines = (free_name(docs, n) for n in ("__t", "__w", "__l"))
+    t, w, l = F.col(whole), F.col(own), F.col(lines)
+    out = docs.withColumns({whole: body(text), own: words(body(text)), lines: F.filter(F.split(body(text), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     out = out.withColumns(
         {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.translate("__t", SPACE, "")).cast("long"),
-            "n_symbols": lost(F.col("__t"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_repeat_words": let(F.col("__w"), repeated_words).cast("long"),
-            "clean_text": F.array_join(F.filter(F.split("__t", "\n"), good_line), "\n"),
-            "clean_chars": F.aggregate(F.filter(F.col("__l"), good_line), F.lit(0), lambda n, x: n + F.length(x)).cast("long"),
-            "line_chars": F.aggregate(F.col("__l"), F.lit(0), lambda n, x: n + F.length(x)).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
+            "n_symbols": lost(t, SYMBOLS).cast("long"),
+            "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
+            "n_repeat_words": let(w, repeated_words).cast("long"),
+            "clean_text": F.array_join(F.filter(F.split(t, "\n"), good_line), "\n"),
+            "clean_chars": F.aggregate(F.filter(l, good_line), F.lit(0), lambda n, x: n + F.length(x)).cast("long"),
+            "line_chars": F.aggregate(l, F.lit(0), lambda n, x: n + F.length(x)).cast("long"),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= (1 - MAX_LOST) * F.col("line_chars"))).drop("__t", "__w", "__l")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= (1 - MAX_LOST) * F.col("line_chars"))).drop(whole, own, lines)
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents with their cleaned texts, in the columns of docs."""
-    rows = measured(docs.withColumnRenamed("text", "__text"), "__text").where("kept")
-    return rows.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """The kept documents with their cleaned texts; all other columns, whatever their names, stay as they are."""
+    rows = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).where("kept")
+    return rows.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -662,6 +662,23 @@ def test_equal_texts_share_a_shard(spark):
     assert got.groupby("shard")["size"].sum().max() < 1.03 * even and got.shard.nunique() == 8
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    text = " ".join(f"word{k}" for k in range(60)) + ".\nClick here"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("__t", "__W", "__l", "kept", "n_words", "clean_text", "row", "a.b")})
+    (r,) = quality_rules.clean(df).collect()
+    assert quality_rules.clean(df).columns == df.columns and r.text == text.split("\n")[0] and set(r[2:]) == {7}
+    assert quality_rules.measured(df).first()["__t"] == 7
+
+
+def test_the_model_of_an_id_with_two_texts_is_always_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    one, two = (quality_model.train(quality_model.features(d), labels) for d in (twice, twice.repartition(7, "text")))
+    x = np.random.default_rng(0).random((50, len(quality_model.FEATURES))) * 3
+    assert (one.score(x) == two.score(x)).all()
+
+
 # pipeline
 
 
