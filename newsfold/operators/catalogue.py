@@ -85,12 +85,13 @@ def to_catalogue_rows(articles: DataFrame) -> DataFrame:
     return articles.select("pos", F.greatest("updated_at", "created_at").alias("updated"), urls.alias("urls"), "title", "clickbaitiness", "labels", "outlet")
 
 
-def upsert_catalogue(catalogue: DataFrame, batch: DataFrame, keep_old_urls: bool = False) -> DataFrame:
+def upsert_catalogue(catalogue: DataFrame, batch: DataFrame, keep_old_urls: bool = False, top: int | None = None) -> DataFrame:
     """The catalogue after a batch of rows (pos, updated, urls, title, clickbaitiness, labels, outlet).
 
     A row goes to the entry that holds the first of its signatures that is known; rows with no known signature that
     share their first signature are one new entry, appended in order of arrival. Of several rows for an entry the last
     one's non-empty values count; times take the maximum, labels the union, URLs are replaced (or added to the old ones).
+    top: the largest place so far, where catalogue is only the part that the batch may meet.
     """
     as_articles = batch.withColumn("urls", F.transform("urls", lambda u: F.struct(u["sign"].alias("signature"), u["labels"].alias("labels"))))
     found = match_catalogue(as_articles, catalogue)
@@ -104,8 +105,6 @@ def upsert_catalogue(catalogue: DataFrame, batch: DataFrame, keep_old_urls: bool
         F.max("updated").alias("__updated"), F.min("pos").alias("__pos"), last("title"), last("clickbaitiness"), last("outlet"),
         F.max_by("urls", "pos").alias("__urls"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("__labels"),
     )
-    most = F.coalesce(F.max("idx"), F.lit(-1))
-    base = catalogue.agg(most.alias("__base"))
     both = catalogue.join(folded.where("idx is not null").drop("__new", "__pos"), "idx", "left")
 
     def newer(c: str) -> Column:
@@ -119,7 +118,10 @@ def upsert_catalogue(catalogue: DataFrame, batch: DataFrame, keep_old_urls: bool
     none = F.array().cast(LABELS)
     labels = F.array_union(F.coalesce("labels", none), F.coalesce("__labels", none)).alias("labels")
     kept = both.select("idx", F.greatest("updated", "__updated").alias("updated"), urls, newer("title"), newer("clickbaitiness"), labels, newer("outlet"))
-    fresh = folded.where("idx is null").crossJoin(F.broadcast(base))  # base is one row
+    if top is None:
+        fresh = folded.where("idx is null").crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("__base"))))  # one row
+    else:
+        fresh = folded.where("idx is null").withColumn("__base", F.lit(top).cast("long"))
     fresh = fresh.select((F.col("__base") + 1 + F.col("__pos")).alias("idx"), *[F.col(f"__{c}").alias(c) for c in ("updated", "urls", "title", "clickbaitiness", "labels", "outlet")])
     return kept.unionByName(fresh)
 

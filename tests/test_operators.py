@@ -352,6 +352,46 @@ def test_a_restart_without_news_keeps_the_last_catalogue(spark, tmp_path):
     assert I.Catalogue(spark, f"{tmp_path}/new", first).last() == -1
 
 
+BATCH = "pos long, updated timestamp_ntz, urls array<struct<sign: string, labels: array<string>>>, title string, clickbaitiness string, labels array<string>, outlet string"
+
+
+def test_a_stream_of_batches_is_upserts_and_prunes_one_after_another(spark, tmp_path):
+    rng = random.Random(4)
+
+    def row(k):
+        return (k, DAY + timedelta(hours=rng.randint(0, 500)), [(f"s{rng.randint(0, 60)}", []) for _ in range(rng.randint(0, 2))], f"t{k}", "", [], rng.choice(["x", "x", "y", "z", "off"]))
+
+    first = entries(spark, [(k, *row(k)[1:]) for k in range(40)])
+    sources = spark.createDataFrame([("x", 0, True, 15, 8), ("y", 1, True, None, 3), ("z", 2, True, 12, None), ("off", 3, False, None, None)], "name string, pos long, enabled boolean, max_age_days int, max_num_articles int")
+    now, want, got = F.lit("2024-01-20").cast("timestamp_ntz"), first, None
+    batches = [[row(100 * n + k) for k in range(12)] for n in range(4)]
+    for n, rows in enumerate(batches):  # two runs of two batches
+        df = spark.createDataFrame(rows, BATCH)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        want = spark.createDataFrame(C.prune_catalogue(C.upsert_catalogue(want, df), sources, now).collect(), first.schema)
+        if n % 2:
+            store = I.Catalogue(spark, f"{tmp_path}/store", first, buckets=7)
+            got = store.at(I.stream_ingest(I.stream_files(spark, f"{tmp_path}/in", df.schema, 1), store, sources, now, f"{tmp_path}/check"))
+            plain = lambda d: sorted((r.updated, [u.sign for u in r.urls], r.title, r.outlet) for r in d.collect())
+            assert plain(got) == plain(want) and got.count() > 10
+    assert store.last() == 3 and len(store._batches()) == 2
+
+
+def test_what_a_batch_writes_follows_the_batch(spark, tmp_path):
+    first = spark.range(20_000).select(F.col("id").alias("idx"), F.lit(DAY).cast("timestamp_ntz").alias("updated"), F.array(F.struct(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sign"), F.array().cast("array<string>").alias("labels"))).alias("urls"), F.lit("t").alias("title"), F.lit("").alias("clickbaitiness"), F.array().cast("array<string>").alias("labels"), F.lit("x").alias("outlet"))
+    store = I.Catalogue(spark, f"{tmp_path}/store", first, buckets=64)
+    sources = spark.createDataFrame([("x", 0, True, None, None)], "name string, pos long, enabled boolean, max_age_days int, max_num_articles int")
+    batch = spark.createDataFrame([(k, DAY + timedelta(days=1), [(s, [])], "new", "", [], "x") for k, s in enumerate(["s5", "s9", "own"])], BATCH)
+    batch.coalesce(1).write.parquet(f"{tmp_path}/in")
+    last = I.stream_ingest(I.stream_files(spark, f"{tmp_path}/in", batch.schema, 1), store, sources, F.lit("2024-01-20").cast("timestamp_ntz"), f"{tmp_path}/check")
+    versions = store._manifest(last)[0]
+    assert len(versions) == 64 and 1 <= sum(v == 1 for v in versions.values()) <= 3
+    assert store.at(last).count() == 20_001 and store.at(last).where("title = 'new'").count() == 3 and store.at(-1).where("title = 'new'").count() == 0
+    store.change(last, store.at(last - 1).where("idx = 5"), spark.createDataFrame([(7,)], "idx long"), 30_000)  # the batch is done again, otherwise
+    again = store.at(last)
+    assert again.count() == 19_999 and again.where("title = 'new'").count() == 0 and store.top(last) == 30_000
+
+
 def test_late_rows_are_a_side_output(spark, tmp_path):
     rows = [[(1, 10), (2, 20)], [(3, 9), (4, 14), (5, 30), (6, None)], [(7, 19), (8, 26)]]
     for k, part in enumerate(rows):
