@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -50,6 +52,46 @@ def fit_cadence(arrivals: DataFrame, degree: int = 5) -> tuple[float, list[float
     return float(model.intercept), [float(c) / DAY ** (i + 1) for i, c in enumerate(model.coefficients)]
 
 
+def _scaled(minutes: Column) -> Column:
+    """The minute of the day as -1 to 1, so that its powers stay of one size."""
+    return minutes.cast("double") / F.lit(DAY / 2) - 1
+
+
+def cadence_moments(arrivals: DataFrame, degree: int = 5) -> DataFrame:
+    """(outlet, n, powers, products): sums of x^0 .. x^2d and of y, x y, .. x^d y over an outlet's arrivals, x the scaled minute and y the wait.
+
+    They are combined before the shuffle, so an outlet costs a row a task however many arrivals it has.
+    """
+    x, y = F.col("x"), F.col("time_diff").cast("double")
+
+    def power(k: int) -> Column:
+        return F.lit(1.0) if not k else x if k == 1 else F.pow(x, F.lit(k))
+
+    rows = arrivals.where("time_diff is not null and minutes_since_midnight is not null").withColumn("x", _scaled(F.col("minutes_since_midnight")))
+    sums = rows.groupBy("outlet").agg(F.count(F.lit(1)).alias("n"), *[F.sum(power(k)).alias(f"p{k}") for k in range(2 * degree + 1)], *[F.sum(power(k) * y).alias(f"q{k}") for k in range(degree + 1)])
+    return sums.select("outlet", "n", F.array(*[f"p{k}" for k in range(2 * degree + 1)]).alias("powers"), F.array(*[f"q{k}" for k in range(degree + 1)]).alias("products"))
+
+
+def fit_cadences(arrivals: DataFrame, degree: int = 5) -> DataFrame:
+    """(outlet, n, intercept, coefficients): for each outlet the least-squares polynomial of the wait over the minute of the day (m, m^2, ...).
+
+    One aggregation gives the moments; each outlet's normal equations are solved on its own row, wherever that is. An outlet with fewer
+    different minutes than the polynomial has terms gets the solution of least norm.
+    """
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for powers, products in zip(pdf["powers"], pdf["products"], strict=True):
+                d = len(products)
+                c = np.linalg.lstsq(np.array([[powers[i + j] for j in range(d)] for i in range(d)]), np.asarray(products), rcond=1e-12)[0]
+                poly = np.polynomial.Polynomial(c)(np.polynomial.Polynomial([-1, 2 / DAY]))
+                out.append([float(x) for x in np.pad(poly.coef, (0, d - len(poly.coef)))])
+            yield pd.DataFrame({"outlet": pdf["outlet"], "n": pdf["n"], "intercept": [c[0] for c in out], "coefficients": [c[1:] for c in out]})
+
+    return cadence_moments(arrivals, degree).mapInPandas(solve, f"outlet {arrivals.schema['outlet'].dataType.simpleString()}, n long, intercept double, coefficients array<double>")
+
+
 def estimated_delay(ts: Column, model: tuple[float, Sequence[float]] | None) -> Column:
     """Minutes to the next article after ts; half an hour without a model."""
     if model is None:
@@ -60,9 +102,17 @@ def estimated_delay(ts: Column, model: tuple[float, Sequence[float]] | None) ->
     return out + F.lit(float(model[0]))
 
 
-def next_scan_at(outlets: DataFrame, model: tuple[float, Sequence[float]] | None) -> DataFrame:
-    """outlets (outlet, last_at) with delay and ``next_at``."""
-    rows = outlets.withColumn("delay", estimated_delay(F.col("last_at"), model))
+def with_delay(rows: DataFrame, models: DataFrame, time: str = "last_at") -> DataFrame:
+    """rows (outlet and a time) with ``delay`` by the model of their outlet (of ``fit_cadences``); half an hour without one."""
+    m = minute_of_day(F.col(time)).cast("double")
+    delay = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda out, c: (out + c) * m) + F.col("intercept")
+    known = models.select(F.col("outlet").alias("__outlet"), "intercept", "coefficients")  # a row for each outlet
+    return rows.join(known, F.col("outlet") == F.col("__outlet"), "left").select(*rows.columns, F.coalesce(delay, F.lit(DEFAULT_MINUTES)).alias("delay"))
+
+
+def next_scan_at(outlets: DataFrame, model: tuple[float, Sequence[float]] | DataFrame | None) -> DataFrame:
+    """outlets (outlet, last_at) with delay and ``next_at``; model: one for all, or the models of ``fit_cadences``."""
+    rows = with_delay(outlets, model) if isinstance(model, DataFrame) else outlets.withColumn("delay", estimated_delay(F.col("last_at"), model))
     return rows.withColumn("next_at", F.timestamp_add("SECOND", F.round(F.col("delay") * 60).cast("int"), F.col("last_at")))
 
 

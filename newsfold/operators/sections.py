@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,18 +82,21 @@ def roll_up(tree: DataFrame, summarise=first_sentences, skip: str = "<skip>") ->
     """tree with ``summary``, from the deepest level up.
 
     A section's summary is made from its title, its own body and its children's summaries in <summary> marks; a
-    summary that contains the skip mark is empty.
+    summary that contains the skip mark is empty. Each level is written once, when it is done; a level reads only the
+    summaries whose parent is in it.
     """
-    done = None
+    parents = tree.select(F.col("doc_id").alias("__d"), F.col("pos").alias("__p"), F.col("level").alias("__up"))
+    rows = written(tree.join(parents, (F.col("doc_id") == F.col("__d")) & (F.col("parent_pos") == F.col("__p")), "left").select(*tree.columns, "__up"))
+    done: list[DataFrame] = []
     for level in range(LEVELS, 0, -1):
-        rows = tree.where(F.col("level") == level)
+        own = rows.where(F.col("level") == level)
         text = F.concat_ws("\n\n", "title", F.nullif("body", F.lit("")))
-        if done is not None:
-            kids = done.where("parent_pos is not null").groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "summary"))).alias("k"))
+        if done:
+            open_ = reduce(DataFrame.unionByName, [d.where(F.col("__up") == level).select("doc_id", "parent_pos", "pos", "summary") for d in done])
+            kids = open_.groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "summary"))).alias("k"))
             kids = kids.select("doc_id", "pos", F.transform(F.filter("k.summary", lambda s: s != ""), lambda s: F.concat(F.lit("<summary>"), s, F.lit("</summary>"))).alias("kids"))
-            rows = rows.join(kids, ["doc_id", "pos"], "left")
+            own = own.join(kids, ["doc_id", "pos"], "left")
             text = F.concat_ws("\n\n", "title", F.nullif("body", F.lit("")), "kids")
-        said = rows.select(*tree.columns, summarise(text).alias("summary"))
-        said = said.withColumn("summary", F.when(F.coalesce(F.contains("summary", F.lit(skip)), F.lit(True)), "").otherwise(F.col("summary")))
-        done = written(said if done is None else done.unionByName(said))
-    return done
+        said = own.select(*rows.columns, summarise(text).alias("summary"))
+        done.append(written(said.withColumn("summary", F.when(F.coalesce(F.contains("summary", F.lit(skip)), F.lit(True)), "").otherwise(F.col("summary")))))
+    return reduce(DataFrame.unionByName, done).select(*tree.columns, "summary")

@@ -52,6 +52,18 @@ def dedup_urls(spark, d):
     return S.dedup_first_wins(s.withColumn("urls", two).withColumn("id", F.lit(None).cast("string"))).select("pos", "href")
 
 
+#: The walk itself, a stub a step: held URLs are bits by their number.
+DEDUP_URLS = f"""
+with recursive {ctes(STUBS).removeprefix("with")},
+n as (select pos, href, (row_number() over (order by pos))::int as i, dense_rank() over (order by href) - 1 as u, floor(pos / 3)::bigint as v0 from stubs),
+m as (select pos, href, i, u::int as u, ((select max(u) + 1 from n) + dense_rank() over (order by v0) - 1)::int as v from n),
+w(i, held, pos, kept) as (
+  select 0, repeat('0', (select max(v) + 1 from m)::int)::bit, null::bigint, false
+  union all select m.i, case when get_bit(held, m.u) = 0 and get_bit(held, m.v) = 0 then set_bit(set_bit(held, m.u, 1), m.v, 1) else held end, m.pos, get_bit(held, m.u) = 0 and get_bit(held, m.v) = 0
+  from w join m on m.i = w.i + 1)
+select m.pos, m.href from w join m using (pos) where kept"""
+
+
 def match_catalogue(spark, d):
     return C.match_catalogue(V.incoming(spark, d), V.catalogue(spark, d))
 
@@ -246,7 +258,7 @@ QUERIES = {
     "filter_max_age": (filter_max_age, f"{ctes(STUBS, SOURCES, ENABLED, AGED)} select {FIELDS} from aged"),
     "latest_per_source": (latest_per_source, LATEST),
     "dedup_first_wins": (dedup_first_wins, DEDUP),
-    "dedup_first_wins_urls": (dedup_urls, None),
+    "dedup_first_wins_urls": (dedup_urls, DEDUP_URLS),
     "match_catalogue": (match_catalogue, MATCH),
     "needs_update": (needs_update, NEEDS),
     "merge_articles": (merge_articles, MERGE),

@@ -51,7 +51,18 @@ select doc_id, pos, md5(path) as path, md5(text) as text from a where up is null
 
 
 def roll_up(spark, d):
-    return S.roll_up(_tree(spark, d)).select("doc_id", "pos", "level", F.length("summary").alias("n"))
+    return S.roll_up(_tree(spark, d)).select("doc_id", "pos", "level", F.length("summary").alias("n"), F.md5("summary").alias("summary"))
+
+
+def _level(k):
+    """The sections of level k (four at most) with their summaries, in SQL; the first sentence ends at the first mark before white space."""
+    kids = " union all ".join(f"select * from s{j}" for j in range(k + 1, 5))
+    kids = f"(select string_agg('<summary>' || summary || '</summary>', chr(10) || chr(10) order by x.pos) from ({kids}) x where x.doc_id = p.doc_id and x.parent_pos = p.pos and summary <> '')" if kids else "null"
+    first = r"case when regexp_matches(t, '(?s)[.!?]\s') then regexp_extract(t, '(?s)^(.*?[.!?])\s', 1) else t end"
+    return f"s{k} as (select doc_id, pos, level, parent_pos, case when contains(f, '<skip>') then '' else f end as summary from (select *, {first} as f from (select *, trim(concat_ws(chr(10) || chr(10), title, nullif(body, ''), {kids})) as t from par p where level = {k})))"
+
+
+ROLLED = f"with {HEADED}, {', '.join(_level(k) for k in (4, 3, 2, 1))} select doc_id, pos, level, length(summary)::int as n, md5(summary) as summary from ({' union all '.join(f'select * from s{k}' for k in (4, 3, 2, 1))})"
 
 
 def _stories(spark, d):
@@ -160,7 +171,7 @@ QUERIES = {
     "split_sections": (split_sections, f"with {HEADED} select doc_id, pos, level, title, body from sec"),
     "section_parents": (section_parents, f"with {HEADED} select doc_id, pos, level, parent_pos from par"),
     "section_documents": (section_documents, DOCS),
-    "roll_up": (roll_up, None),
+    "roll_up": (roll_up, ROLLED),
     "storyline_text": (storyline_text, TEXT),
     "storyline_markdown": (storyline_markdown, MARKDOWN),
     "parse_story_payload": (parse_story_payload, PAYLOAD),

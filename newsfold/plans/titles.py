@@ -162,11 +162,28 @@ ERROR = f"with {LOG}, {ARRIVE}, e as (select outlet, {CADENCE[0]} + {_POLY} - ti
 
 
 def fit_cadence(spark, d):
+    """Each outlet's model of degree five, judged on what it was fitted to."""
     rows = C.inter_arrival(_log(spark, d))
-    model = C.fit_cadence(rows)
-    return C.regression_error(rows.withColumn("predicted", C.estimated_delay(F.col("published_at"), model)), "time_diff", "predicted", "outlet")
+    said = C.with_delay(rows, C.fit_cadences(rows), "published_at")
+    return C.regression_error(said, "time_diff", "delay", "outlet")
 
 
+def cadence_moments(spark, d):
+    m = C.cadence_moments(C.inter_arrival(_log(spark, d)), 2)
+    return m.select("outlet", "n", *[F.round(F.col("powers")[k], 5).alias(f"p{k}") for k in range(5)], *[F.round(F.col("products")[k], 4).alias(f"q{k}") for k in range(3)])
+
+
+MOMENTS = f"with {LOG}, {ARRIVE}, x as (select outlet, time_diff as y, m / 720.0::double - 1 as x from a) select outlet, count(*) as n, {', '.join(f'round(sum(x ** {k}), 5) as p{k}' for k in range(5))}, {', '.join(f'round(sum(x ** {k} * y), 4) as q{k}' for k in range(3))} from x group by outlet"
+
+
+def fit_cadence_line(spark, d):
+    """Each outlet's model of degree one."""
+    f = C.fit_cadences(C.inter_arrival(_log(spark, d)), 1)
+    return f.select("outlet", "n", F.round("intercept", 5).alias("intercept"), F.round(F.col("coefficients")[0], 7).alias("slope"))
+
+
+LINE = f"with {LOG}, {ARRIVE} select outlet, count(*) as n, round(regr_intercept(time_diff, m), 5) as intercept, round(regr_slope(time_diff, m), 7) as slope from a group by outlet"
+
 QUERIES = {
     "pairwise_similarity": (pairwise_similarity, f"with {T} select grp, a, b, round(sim, 6) as sim from p"),
     "group_cohesion": (group_cohesion, COHESION),
@@ -183,4 +200,6 @@ QUERIES = {
     "next_scan_at": (next_scan_at, SCAN),
     "regression_error": (regression_error, ERROR),
     "fit_cadence": (fit_cadence, None),
+    "cadence_moments": (cadence_moments, MOMENTS),
+    "fit_cadence_line": (fit_cadence_line, LINE),
 }

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsfold.functions import runtime
+from newsfold.operators import cadence as D
 from newsfold.operators import quorum as Q
 from newsfold.operators import revisions as R
 from newsfold.operators import stubs as S
@@ -157,3 +158,111 @@ def test_too_large_a_group_to_pair_is_an_error(spark):
     assert Q.pairwise_similarity(df, 30).count() == 435
     with pytest.raises(Exception, match="too many titles"):
         Q.pairwise_similarity(df, 29).count()
+
+
+def test_cadences_by_outlet_are_least_squares(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k, outlet in enumerate(["x", "y", None]):
+        m = rng.integers(0, 1440, 500)
+        y = 20 + k + 0.05 * m - 3e-5 * m**2 + rng.normal(0, 1, 500)
+        want[outlet] = np.polynomial.polynomial.polyfit(m, y, 5)
+        rows += [(outlet, int(a), float(b)) for a, b in zip(m, y, strict=True)]
+    rows += [("one", 300, 12.0), ("one", 300, 14.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "outlet string, minutes_since_midnight int, time_diff double")
+    got = {r.outlet: r for r in D.fit_cadences(df).collect()}
+    at = np.arange(0, 1440, 30.0)
+    for outlet, c in want.items():
+        said = np.polynomial.polynomial.polyval(at, [got[outlet].intercept, *got[outlet].coefficients])
+        assert np.allclose(said, np.polynomial.polynomial.polyval(at, c), atol=1e-6) and got[outlet].n == 500
+    assert "none" not in got and D.fit_cadences(df.limit(0)).count() == 0
+    last = spark.createDataFrame([("one", datetime(2024, 1, 1, 5)), ("new", datetime(2024, 1, 1, 5))], "outlet string, last_at timestamp_ntz")
+    said = {r.outlet: (round(r.delay, 6), r.next_at) for r in D.next_scan_at(last, D.fit_cadences(df)).collect()}
+    assert said == {"one": (13.0, datetime(2024, 1, 1, 5, 13)), "new": (30.0, datetime(2024, 1, 1, 5, 30))}
+
+
+def plain_alignment(clean, changed):
+    """Sentence lists aligned and merged one after another, with all pairs compared."""
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    def ratio(x, y):
+        return 1 - distance(x, y) / max(len(x), len(y))
+
+    left, right, rows = list(enumerate(clean)), list(enumerate(changed)), []
+    for a, s in enumerate(clean):
+        b = next((b for b, t in right if t == s), None)
+        if b is not None:
+            right.remove((b, s))
+            left.remove((a, s))
+            rows.append(["equal", a, b, s, s, 1.0])
+    used = set()
+    for b, t in right:
+        best = max(((ratio(s, t), -a) for a, s in left), default=(0, 0))
+        if best[0] > 0.6:
+            used.add(-best[1])
+            rows.append(["replaced", -best[1], b, clean[-best[1]], t, best[0]])
+        else:
+            rows.append(["inserted", None, b, None, t, None])
+    matched = [r for r in rows if r[5] is not None]
+    rows += [["deleted", a, None, s, None, None] for a, s in left if a not in used]
+
+    def place(r):
+        if r[2] is not None:
+            return (r[2], 0, 0)
+        before = [(m[1], m[2]) for m in matched if m[1] < r[1]]
+        return (max(before)[1] if before else -1, 1, r[1])
+
+    out, island = [], []
+    for r in sorted(rows, key=place):
+        if r[5] is None:
+            island.append(r)
+            continue
+        c, h = (" ".join(x[k] for x in island if x[k]) for k in (3, 4))
+        out += [["merged", None, None, c, h, ratio(c, h)]] if c and h and ratio(c, h) > r[5] else island
+        out.append(r)
+        island = []
+    return {(r[0], r[3], r[4], None if r[5] is None else round(r[5], 9)) for r in out + island}
+
+
+def test_alignment_with_merges_is_the_sequential_one(spark):
+    rng = random.Random(9)
+    words = "the river town boats came from sea market early late nobody asked stayed long water counted".split()
+    pairs, want = [], {}
+    for k in range(90):
+        clean = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + "." for _ in range(rng.randint(1, 8))]
+        changed = []
+        for s in clean:
+            how = rng.random()
+            own = s.split()
+            if how < 0.25 and len(own) > 3:
+                changed += [" ".join(own[: len(own) // 2]) + ".", " ".join(own[len(own) // 2 :])]
+            elif how < 0.5:
+                changed.append(s.replace("e", "3", 2))
+            elif how < 0.9:
+                changed.append(s)
+        pairs.append((k, "\n".join(clean), "\n".join(changed)))
+        want[k] = plain_alignment(clean, changed)
+    got = {}
+    for r in R.align_revisions(spark.createDataFrame(pairs, "pair_id long, clean_text string, changed_text string")).collect():
+        got.setdefault(r.pair_id, set()).add((r.kind, r.clean, r.changed, r.ratio and round(r.ratio, 9)))
+    assert got == {k: v for k, v in want.items() if v}
+    assert sum(x[0] == "merged" for v in want.values() for x in v) > 5
+
+
+def test_long_texts_compare_few_sentences(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    clean = [" ".join(rng.choice(words) for _ in range(14)) + "." for _ in range(5000)]
+    changed = [s[:20] + "#" + s[21:] for s in clean]
+    df = spark.createDataFrame([(1, "\n".join(clean), "\n".join(changed))], "pair_id long, clean_text string, changed_text string")
+    got = R.align_revisions(df).groupBy("kind").count().collect()
+    assert [(r.kind, r["count"]) for r in got] == [("replaced", 5000)]
+    l, r = (spark.createDataFrame([(1, k, s) for k, s in enumerate(x)], f"pair_id long, {a} int, {c} string") for x, a, c in ((clean, "a", "clean"), (changed, "b", "changed")))
+    assert R.alike_by_grams(l, r).count() < 500_000  # of 25 million
