@@ -145,8 +145,9 @@ def alike_by_grams(left: DataFrame, right: DataFrame, least: float = ALIKE, q: i
     rank = F.row_number().over(Window.partitionBy("pair_id", "side", "at").orderBy("held", "gram", "nth"))
     common = F.floor(F.col("n") * share - q + 1 - 1e-9) + 1
     rare = written(both.join(held, ["pair_id", "gram"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - q + 2 - F.greatest(common, F.lit(1))))
-    a, b = (rare.where(f"side = {k}").select("pair_id", "gram", "nth", F.col("at").alias(name)) for k, name in enumerate("ab"))
-    return a.join(b, ["pair_id", "gram", "nth"]).select("pair_id", "a", "b").distinct()
+    a, b = (rare.where(f"side = {k}").select("pair_id", "gram", "nth", F.col("at").alias(name), F.col("n").alias(f"n{name}")) for k, name in enumerate("ab"))
+    fit = F.least("na", "nb") > least * F.greatest("na", "nb")
+    return a.join(b, ["pair_id", "gram", "nth"]).where(fit).select("pair_id", "a", "b").distinct()
 
 
 def _best(near: DataFrame, least: float) -> DataFrame:

@@ -265,4 +265,5 @@ def test_long_texts_compare_few_sentences(spark):
     got = R.align_revisions(df).groupBy("kind").count().collect()
     assert [(r.kind, r["count"]) for r in got] == [("replaced", 5000)]
     l, r = (spark.createDataFrame([(1, k, s) for k, s in enumerate(x)], f"pair_id long, {a} int, {c} string") for x, a, c in ((clean, "a", "clean"), (changed, "b", "changed")))
-    assert R.alike_by_grams(l, r).count() < 500_000  # of 25 million
+    n = R.alike_by_grams(l, r).count()
+    assert 5000 <= n < 1_250_000  # of 25 million; each word stands in some 23 sentences
