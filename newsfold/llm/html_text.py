@@ -2,11 +2,12 @@
 
 A page is read once into text blocks, each with its path of block tags from the root. For every path the text length per
 block and the punctuation per block are summed up, smoothed over neighbouring paths in page order and multiplied. A block
-that is links and nothing else, or lies in an element that names itself furniture (an advert's class, ...), has a path of
+that is links and nothing else (but for a paragraph that is a sentence), or lies in an element that names itself furniture (an advert's class, ...), has a path of
 its own with a ratio near zero; navigation, footers, asides and what stands below a heading such as Comments have ratio
-zero. Paths above a threshold over the page are content. The main container is the deepest element that holds most of
+zero. Other furniture headings (Newsletter, ...) end where text goes on in a path that the page has had before. Paths above a threshold over the page are content. The main container is the deepest element that holds most of
 the ratios' sum; headings and other short plain blocks in it, or in a branch beside it that is content for the most
-part, are content too. All sums over elements are made in one pass, so that depth costs nothing.
+part, are content too. What lies beside the container at the level of the page, or outside of the article element, has to have a larger ratio and a share of
+the text. All sums over elements are made in one pass, so that depth costs nothing.
 
 Null html is empty; a page without content has the empty text; broken markup never fails a page. Repeated rows give
 equal rows; empty tables give none; other columns are ignored.
@@ -31,10 +32,10 @@ NESTING = frozenset("canvas object svg template".split())
 #: Elements beside the article.
 BESIDE = frozenset("nav footer aside menu dialog".split())
 #: Words in a class, id or role that name furniture.
-NAMED = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|replies|reply|respond|newsletter|subscribe|signup|login|search|popup|modal|overlay|paywall|toolbar|pagination|pager|complementary|contentinfo|banner)($|[\s_-])",
-    re.I,
-)
+_NAMES = "ads?|adsbygoogle|adverts?|advertis(?:ing|ements?)|advertorial|adbox|adslot|sponsor(?:s|ed|ship)?|promos?|promoted|banner|cookies?|cookie-?bar|consent|gdpr|nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|side-?bar|widget|related|recommend(?:ed|ations?)?|share|sharing|social|comments?|comment-?list|discussions?|disqus|replies|reply|respond|newsletter|subscribe|signup|login|search|popup|modal|overlay|paywall|toolbar|pagination|pager|complementary|contentinfo"
+NAMED = re.compile(rf"(^|[\s_-])({_NAMES}|notices?|alerts?|header|aside)($|[\s_-])", re.I)
+#: The same in the name of a paragraph or the like, where the last words tell of its text.
+NAMED_LEAF = re.compile(rf"(^|[\s_-])({_NAMES})($|[\s_-])", re.I)
 #: A name that tells of the furniture beside or of its absence.
 EXEMPT = re.compile(r"(^|[_-])(has|no|with|without)[_-]|^(entry|article|post|story|content|page|section)[_-]*header$", re.I)
 #: An opening tag ends these open ones.
@@ -49,20 +50,29 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li td pre blockquote".split())
 #: A heading that says that what comes below isn't the article's.
 FURNITURE = re.compile(
-    r"(\d+ )?(reader )?(comments?|replies|leave a (reply|comment)|add a comment|related( (articles?|posts|stories|news|links|content))?|read (more|next)|more (stories|news)|you (may|might) also like|recommended( for you)?|advertisement|sponsored|share this( (article|post|story))?|newsletter|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?",
+    r"(related( (articles?|posts|stories|news|links|content))?|read (more|next)|more (stories|news)|replies|you (may|might) also like|recommended( for you)?|advertisement|sponsored|share this( (article|post|story))?|newsletter)( \(?\d+\)?)?:?",
+    re.I,
+)
+#: And that it is readers' comments up to the next heading of its rank.
+COMMENTS = re.compile(
+    r"(\d+ )?(reader )?(comments?|leave a (reply|comment)|add a comment|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?|\d+ (replies|meinungen|opinions?|opiniones|avis|réactions)|(replies|meinungen|opinions|opiniones|avis|réactions) \(?\d+\)?:?",
     re.I,
 )
+#: A paragraph that is one link and a sentence.
+SENTENCE = re.compile(r"(\S+\s+){4,}\S*[.!?…]")
 #: The share of a block's letters in links above which it is links alone.
 LINKED = 0.9
 #: The share of the whole that the main container keeps, and of the largest ratio that a path needs.
 HOLDS, LEAST = 0.6, 0.02
+#: Of containers beside the main one at the level of the page: the share of the largest ratio, and of the text that passes; and that share outside of the article element.
+FAR, FAR_SHARE, OUTER_SHARE = 0.4, 0.05, 0.2
 #: The share of the whole that shows a named element to be a wrapper; factors of a path's ratio by its mark.
 WRAPS, LOWERED = 0.8, (1.0, 0.001, 0.0)
 
 
 @lru_cache(maxsize=4096)
-def _names_furniture(names: str) -> bool:
-    return any(NAMED.search(x) and not EXEMPT.search(x) for x in names.split())
+def _names_furniture(names: str, leaf: bool) -> bool:
+    return any((NAMED_LEAF if leaf else NAMED).search(x) and not EXEMPT.search(x) for x in names.split())
 
 
 def _sound(m: re.Match) -> str:
@@ -114,18 +124,25 @@ class _Tokens(HTMLParser):
 def _ended(tokens: list[tuple]) -> set[int]:
     """The numbers of the silent start tags that an end tag of their own closes."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # in the stack, by tag
     ended = set()
+
+    def cut(k):
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
     for at, (tag, attrs) in enumerate(tokens):
         if tag not in SILENT or tag == "head":
             continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+        k = places[tag][-1] if places[tag] else None
         if attrs is None:
             if k is not None:
                 ended.add(stack[k][1])
-                del stack[k:]
+                cut(k)
         else:
             if k is not None and tag not in NESTING:
-                del stack[k:]
+                cut(k)
+            places[tag].append(len(stack))
             stack.append((tag, at))
     return ended
 
@@ -181,7 +198,8 @@ class _Reader:
         while self.silent and not self.silent[-1][1]:  # one that is never ended hides what comes up to the next block
             self._cut(self.silent[-1][0])
         floor = self.silent[-1][0] if self.silent else 0
-        for k in range(len(self.open) - 1, floor, -1):
+        some = any(self.count[t] > 0 for t in ENDS.get(tag, ()))
+        for k in range(len(self.open) - 1, floor, -1) if some else ():
             t = self.tag[self.open[k]]
             if t in ENDS.get(tag, ()):
                 self._cut(k)
@@ -193,7 +211,7 @@ class _Reader:
         elif tag in BESIDE or tag == "header" and not (self.count["article"] or self.count["main"]):
             self._push(tag, 2)
         else:
-            self._push(tag, 0 if tag in ("html", "body", "article", "main") else max(self._named(attrs), tag == "form"))
+            self._push(tag, 0 if tag in ("html", "body", "article", "main") else max(self._named(attrs, tag in LEAVES), tag == "form"))
         if tag in SILENT and tag != "head":  # what a head leaves open doesn't hide the body
             self.silent.append((len(self.open) - 1, ended))
 
@@ -213,15 +231,15 @@ class _Reader:
         self.fresh = True
 
     @staticmethod
-    def _named(attrs) -> int:
+    def _named(attrs, leaf=False) -> int:
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             return 2
-        return int(any(k in ("class", "id", "role") and v and _names_furniture(v) for k, v in attrs))
+        return int(any(k in ("class", "id", "role") and v and _names_furniture(v, leaf) for k, v in attrs))
 
     def _end(self, tag):
         if not self.count[tag]:
             return
-        floor = max((k for k, ended in self.silent if ended), default=1)  # an end tag in a silent element ends nothing outside
+        floor = next((k for k, ended in reversed(self.silent) if ended), 1)  # an end tag in a silent element ends nothing outside
         for k in range(len(self.open) - 1, floor - 1, -1):
             t = self.tag[self.open[k]]
             if t == tag:
@@ -262,24 +280,40 @@ class _Page:
         #: Blocks that are furniture whatever they lie in: below a heading that says so, or links and nothing else.
         self.own = [0] * len(found)
         for i, (n, t, linked) in enumerate(found):
-            level = self.level(n)
-            if level and FURNITURE.fullmatch(t):
-                self._below(i, level)
-            elif not level and linked and linked >= LINKED * len(t.replace(" ", "")):
-                self.own[i] = max(self.own[i], 1)
+            alone = not self.level(n) and linked and linked >= LINKED * len(t.replace(" ", ""))
+            self.own[i] = int(alone and not (self.tag[n] == "p" and SENTENCE.fullmatch(t)))
+        self._below()
 
     def level(self, n: int) -> int:
         """The level of a heading, else 0."""
         return int(self.tag[n][1]) if self.tag[n] in HEADINGS else 0
 
-    def _below(self, i: int, level: int) -> None:
-        """Mark a heading's block and those up to the next heading of its rank in the same element."""
-        up = self.parent[self.at[i]]
-        for j in range(i, len(self.at)):
-            n = self.at[j]
-            if n > self.last[up] or n < up or j > i and self.parent[n] == up and 0 < self.level(n) <= level:
-                return
-            self.own[j] = 2
+    def _below(self) -> None:
+        """Mark the blocks of furniture headings and those that they stand for, in the same element.
+
+        Comments go up to the next heading of their rank; other furniture also ends where a path goes on that has been before.
+        """
+        ends = [-1] * len(self.tag)  # the last block in each element
+        for j, n in enumerate(self.at):
+            ends[n] = j
+        for n in range(len(ends) - 1, 0, -1):
+            ends[self.parent[n]] = max(ends[self.parent[n]], ends[n])
+        open_: list[tuple[int, int, bool]] = []  # (element, level, comments) of headings whose blocks go on, the innermost last
+        seen: set[int] = set()
+        for j, (n, t) in enumerate(zip(self.at, self.text, strict=True)):
+            level, up = self.level(n), self.parent[n]
+            goes_on = not level and self.tag[n] != "li" and self.path[n] in seen and not self.own[j]
+            while open_:
+                element, rank, talk = open_[-1]
+                if ends[element] >= j and not (element == up and 0 < level <= rank) and (talk or not goes_on):
+                    break
+                open_.pop()
+            if level and (FURNITURE.fullmatch(t) or COMMENTS.fullmatch(t)):
+                open_.append((up, level, bool(COMMENTS.fullmatch(t))))
+            if open_:
+                self.own[j] = 2
+            else:
+                seen.add(self.path[n])
 
     def summed(self, values) -> list[float]:
         """For each element the sum of the values of the blocks in it."""
@@ -367,14 +401,45 @@ def main_text(html: str | None) -> str:
         inside = main and (n == main or branch[up] == main)
         branch[n] = main if inside else n if n in on_way or up in on_way else branch[up]
         leaves[n] = leaves[up] + (n in on_way)
-    length: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    length: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])  # of a branch: plain text, and what passes near and far
+    far = FAR * max(ratio)
     for n, text, r, m in zip(page.at, page.text, ratio, marks, strict=True):
         length[branch[n]][0] += len(text) * (not m)
         length[branch[n]][1] += len(text) * (r >= least)
-    full = {b for b, (n, passing) in length.items() if 2 * passing >= n} | {main}
-    full.discard(0)
+        length[branch[n]][2] += len(text) * (r >= far)
     climbed = min((leaves[n] for n, r in zip(page.at, ratio, strict=True) if r >= least), default=0)
-    return " ".join(t for n, t, r, m in zip(page.at, page.text, ratio, marks, strict=True) if r >= least or r > 0 and not m and (branch[n] in full or leaves[n] >= climbed and page.tag[n] in ("h1", "h2", "h3")))
+    page_level = {page.parent[n] for n, t in enumerate(page.tag) if t in ("nav", "header", "footer") and page.named[n] == 2}
+    outer, n = 0, main
+    while n > 0:
+        outer = n if page.tag[n] in ("article", "main") else outer
+        n = page.parent[n]
+    in_outer = [False] * len(page.tag)
+    for n in range(1, len(in_outer)):
+        in_outer[n] = n == outer or in_outer[page.parent[n]]
+    passing = sum(x for _, x, _ in length.values())
+
+    @lru_cache(maxsize=None)
+    def belongs(b: int) -> tuple[float, bool]:
+        """The share of the largest ratio that a path needs in a branch, and whether the branch may have text at all."""
+        up = page.parent[b]
+        if b in (0, main) or not main:
+            return LEAST, True
+        share = length[b][1] / passing
+        if outer and not in_outer[b]:
+            return LEAST, share >= OUTER_SHARE
+        if page.tag[b] not in LEAVES and (page.tag[up] in ("", "html", "body") or up in page_level):
+            return FAR, share >= FAR_SHARE
+        return LEAST, True
+
+    full = {b for b, (n, *x) in length.items() if b and 2 * x[belongs(b)[0] == FAR] >= n} | {main} - {0}
+    most, out = max(ratio), []
+    for n, t, r, m in zip(page.at, page.text, ratio, marks, strict=True):
+        need, may = belongs(branch[n])
+        heading = page.tag[n] in ("h1", "h2", "h3") and leaves[n] >= climbed
+        plain = r > 0 and not m
+        if may and (r >= need * most or plain and branch[n] in full) or plain and heading:
+            out.append(t)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:

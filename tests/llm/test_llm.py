@@ -355,6 +355,37 @@ def test_depth_costs_nothing():
     assert time.process_time() - began < 8
 
 
+def test_article_text_stays_and_unnamed_furniture_goes():
+    text = "Police said on Monday, after a long night, that the road is open. Traffic goes on, slowly."
+    p = f"<p>{text}</p>"
+
+    def told(page):
+        return html_text.main_text(page)
+
+    for heading in ("Advertisement", "Read more", "Newsletter", "Replies", "Related"):
+        assert told(f"<article>{p}<h2>{heading}</h2>{p}</article>") == f"{text} {text}", heading
+    assert told(f"<article>{p * 2}<p class=alert>Police warned, again, of ice.</p></article>") == f"{text} {text} Police warned, again, of ice."
+    assert told(f"<article><div class=promotion-history>{p * 2}</div></article>") == f"{text} {text}"
+    assert told(f"<article>{p * 2}<p><a href=x>The full report, published on Monday, is here.</a></p></article>") == f"{text} {text} The full report, published on Monday, is here."
+    four = " ".join([text] * 4)
+    assert told(f"<body><div>We use cookies, to improve your stay. Fine?</div><article>{p * 4}</article></body>") == four
+    assert told(f"<body><div class=top>Home, News, Sport</div><div class=story>{p * 4}</div><div class=bottom>Copyright 2024, all rights reserved.</div></body>") == four
+    for odd in (f"<div class='discussion-thread'>{p}</div>", "<div class=adsbygoogle>Buy, now. Win.</div>", "<h3>12 Meinungen</h3><p>Nein, so nicht. Nie.</p>", "<h3>Kommentare (3)</h3><p>Doch, so schon. Immer.</p>"):
+        assert told(f"<article>{p * 4}{odd}</article>") == four, odd
+
+
+@pytest.mark.parametrize("page", ["<div><h2>Comments</h2><p>a, b.</p>", "<svg></g></x>", "<svg></math></canvas>", "<div><h2>Newsletter</h2><li>a, b.</li>", "<center>x", "<object></div>", "<div><svg></div>"])
+def test_nesting_costs_its_length(page):
+    import time
+
+    spent = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        html_text.main_text(page * n)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 10 * spent[0] + 0.2, spent  # four times the text
+
+
 def made_page(rng):
     """A page of random parts and, beside it, its main text: what is put together here isn't read back by any parser."""
 
