@@ -133,7 +133,9 @@ def html_to_markdown(spark, d):
 
 
 def extract_pages(spark, d):
-    return P.extract_pages(V.pages(spark, d), F.lit(V.NOW).cast("timestamp")).select("page_id", "title", "text", "language", "created_at", "paywalled", "error")
+    """Every third page gives no language of its own; it is detected with profiles of all documents."""
+    pages = V.pages(spark, d).withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<html[^>]*>", "<html>")).otherwise(F.col("html")))
+    return P.extract_pages(pages, F.lit(V.NOW).cast("timestamp"), P.language_profiles(V.articles(spark, d))).select("page_id", "title", "text", "language", "created_at", "paywalled", "error")
 
 
 def _marked(spark, d):
