@@ -693,6 +693,38 @@ def test_equal_texts_share_a_shard(spark):
     assert got.groupby("shard")["size"].sum().max() < 1.03 * even and got.shard.nunique() == 8
 
 
+def brute_leaves(rows, leaves, whole):
+    """The leaves of the tree over (key, weight, coordinates), by sorting."""
+    if leaves == 1:
+        return [rows]
+    span = [max(r[2][d] for r in rows) - min(r[2][d] for r in rows) for d in range(4)]
+    d = max(range(4), key=lambda d: (span[d] / whole[d], -d))
+    rows, goal, below, k = sorted(rows, key=lambda r: r[2][d]), sum(r[1] for r in rows) * (leaves // 2) / leaves, 0, 0
+    while below + rows[k][1] <= goal:
+        below += rows[k][1]
+        k += 1
+    k += below + rows[k][1] - goal < goal - below  # nearer with it than without
+    return brute_leaves(rows[:k], leaves // 2, whole) + brute_leaves(rows[k:], leaves - leaves // 2, whole)
+
+
+@pytest.mark.parametrize("shards", [4, 7])
+def test_shards_are_the_leaves_of_a_sorted_tree(spark, shards):
+    rng = np.random.default_rng(shards)
+    rows = [(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(rng.integers(1, 30))), rng.choice(["en", "fr", "de"]), f"s{rng.integers(20)}") for i in range(4000)]
+    df = spark.createDataFrame([tuple(map(lambda x: x.item() if hasattr(x, "item") else x, r)) for r in rows], "doc_id long, text string, lang string, source string")
+    sized = sharding.sized(df)
+    total = sized.agg(F.sum("size")).first()[0]
+    _, units = sharding.units(sized, total / shards, 4)
+    held = [(bytes(u.key), u.w, [u.x0, u.x1, u.x2, u.x3]) for u in units.collect()]
+    whole = [max(u[2][d] for u in held) - min(u[2][d] for u in held) for d in range(4)]
+    want = {hashlib.md5(t.encode()).digest(): i for i, t, _, _ in rows}
+    leaves = [{want[k] for k, _, _ in leaf} for leaf in brute_leaves(held, shards, whole)]
+    got = [set() for _ in range(shards)]
+    for r in sharding.shard(df, shards=shards).collect():
+        got[r.shard].add(r.doc_id)
+    assert got == leaves
+
+
 def test_clean_keeps_columns_of_any_name(spark):
     text = " ".join(f"word{k}" for k in range(60)) + ".\nClick here"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("__t", "__W", "__l", "kept", "n_words", "clean_text", "row", "a.b")})
