@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsfold.functions.vectors import hashed_vector
+from newsfold.functions.vectors import HASH, PRIME, hashed_vector
 from newsfold.operators import cadence as C
 from newsfold.operators import quorum as Q
 from newsfold.plans import views as V
@@ -117,6 +117,12 @@ def hashed_vectors(spark, d):
     return t.select("page_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), " ").alias("v"))
 
 
+VECTORS = f"""
+with t as (select page_id, list_transform(list_filter(string_split(lower(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)), ''), lambda x: x <> ''), lambda x: unicode(x)::bigint) as c from pages),
+g as (select page_id, list_transform(range(1, len(c) - 1), lambda i: (c[i] * {HASH[0]} + c[i + 1] * {HASH[1]} + c[i + 2] * {HASH[2]}) % {PRIME} % 32) as g from t)
+select page_id, array_to_string(list_transform(range(32), lambda k: len(list_filter(g, lambda x: x = k))), ' ') as v from g"""
+
+
 def _log(spark, d):
     e = V.table(spark, d, "events")
     return e.select(F.col("event_type").alias("outlet"), F.col("event_id").alias("pos"), F.col("ts").alias("published_at"), F.when(F.col("user_id") % 10 == 0, F.col("ts")).alias("updated_at"))
@@ -194,7 +200,7 @@ QUERIES = {
     "title_quorum": (title_quorum, QUORUM),
     "tfidf_top_terms": (tfidf_top_terms, TFIDF.replace("STOP", ", ".join(f"'{w}'" for w in Q.STOP_WORDS))),
     "entity_jaccard": (entity_jaccard, JACCARD),
-    "hashed_vectors": (hashed_vectors, None),
+    "hashed_vectors": (hashed_vectors, VECTORS),
     "inter_arrival": (inter_arrival, f"with {LOG}, {ARRIVE} select outlet, published_at, time_diff, m as minutes_since_midnight from a"),
     "check_publish_log": (check_publish_log, CHECK),
     "next_scan_at": (next_scan_at, SCAN),
