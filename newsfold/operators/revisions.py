@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer
@@ -150,6 +152,30 @@ def alike_by_grams(left: DataFrame, right: DataFrame, least: float = ALIKE, q: i
     return a.join(b, ["pair_id", "gram", "nth"]).where(fit).select("pair_id", "a", "b").distinct()
 
 
+#: Sentences of a band that one task compares with another's, about.
+BLOCK = 500
+
+
+def of_fitting_length(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(pair_id, a, clean, b, changed): all sentences of left (pair_id, a, clean) and right (pair_id, b, changed) of a pair whose lengths
+    allow a ratio above ``least``.
+
+    Such lengths lie in one band of lengths or in neighbouring ones: a band's longest is 1 / least times its shortest. Sentences meet by
+    pair, band and block, of which a band has as many as its clean sentences fill, so that the longest pair of texts is spread over tasks.
+    """
+
+    def band(s: str) -> Column:
+        return F.floor(F.log(F.length(s)) / (-math.log(least) * 1.001)).cast("int")  # a little wider, for what rounding may do
+
+    l = left.where(F.length("clean") > 0).withColumn("band", band("clean"))
+    blocks = l.groupBy("pair_id", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    l = l.join(blocks, ["pair_id", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
+    r = right.where(F.length("changed") > 0).withColumn("band", F.explode(F.sequence(band("changed") - 1, band("changed") + 1)))
+    r = r.join(blocks, ["pair_id", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    fit = F.least(F.length("clean"), F.length("changed")) > least * F.greatest(F.length("clean"), F.length("changed"))
+    return l.join(r, ["pair_id", "band", "block"]).where(fit).select("pair_id", "a", "clean", "b", "changed")
+
+
 def _best(near: DataFrame, least: float) -> DataFrame:
     """(pair_id, b, a, clean, changed, ratio): of candidates (pair_id, a, clean, b, changed) each b with the most alike a, if above least; the first of equals."""
     # a ratio above the threshold bounds the lengths, which is cheap to see first
@@ -193,7 +219,7 @@ def align_revisions(pairs: DataFrame) -> DataFrame:
     equal: the same sentence, by occurrence; replaced: each other changed sentence with its most alike clean one, if their
     ratio (1 - edit distance / length) is above ``ALIGNED``; inserted and deleted: the rest, of which adjacent ones are put together as
     merged where that reads better (``_merged``). Only sentences of one pair meet: those with a partner above ``ALIKE`` find it by rare grams, and
-    only those that have none are compared with all other sentences of a fitting length.
+    only those that have none are compared with all other sentences of a fitting length, in blocks (``of_fitting_length``).
     """
 
     def side(c: str, name: str) -> DataFrame:
@@ -206,7 +232,7 @@ def align_revisions(pairs: DataFrame) -> DataFrame:
     l, r = written(left.select("pair_id", "a", F.col("s").alias("clean"))), written(right.select("pair_id", "b", F.col("s").alias("changed")))
     alike = written(_best(alike_by_grams(l, r).join(l, ["pair_id", "a"]).join(r, ["pair_id", "b"]), ALIKE))
     rest = r.join(alike.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
-    best = alike.unionByName(written(_best(l.join(rest, "pair_id"), ALIGNED)))
+    best = alike.unionByName(written(_best(of_fitting_length(l, written(rest), ALIGNED), ALIGNED)))
     deleted = l.join(best.select("pair_id", "a").distinct(), ["pair_id", "a"], "left_anti")
     inserted = r.join(best.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
 

@@ -267,3 +267,12 @@ def test_long_texts_compare_few_sentences(spark):
     l, r = (spark.createDataFrame([(1, k, s) for k, s in enumerate(x)], f"pair_id long, {a} int, {c} string") for x, a, c in ((clean, "a", "clean"), (changed, "b", "changed")))
     n = R.alike_by_grams(l, r).count()
     assert 5000 <= n < 1_250_000  # of 25 million; each word stands in some 23 sentences
+
+
+def test_sentences_of_fitting_length_meet_once_whatever_the_blocks(spark):
+    rng = random.Random(4)
+    clean, changed = ([(k % 3 and 1, k, "x" * (rng.choice([0, 1, 2, 3, 5, 25, 27, 60, 100]) if k % 2 else rng.randint(1, 300))) for k in range(n)] for n in (400, 300))
+    l, r = spark.createDataFrame(clean, "pair_id long, a int, clean string"), spark.createDataFrame(changed, "pair_id long, b int, changed string")
+    want = sorted((p, a, b) for p, a, s in clean for q, b, t in changed if p == q and min(len(s), len(t)) > R.ALIGNED * max(len(s), len(t)))
+    for block in (7, 500):
+        assert sorted((x.pair_id, x.a, x.b) for x in R.of_fitting_length(l, r, R.ALIGNED, block).collect()) == want
