@@ -12,6 +12,7 @@ torn leave no even way.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 
@@ -58,9 +59,9 @@ def units(rows: DataFrame, target: float, buckets: int) -> tuple[DataFrame, Data
 
 
 def _by_node(values: dict[int, float | int], kind: str, node: Column) -> Column:
-    """values[node], or null, from one literal array over the nodes."""
-    held = F.array(*[F.lit(values.get(n)).cast(kind) for n in range(1, max(values, default=1) + 1)])
-    return F.try_element_at(held, node)
+    """values[node], or null, from one literal over the nodes, read as an array while the plan is made."""
+    held = json.dumps([values.get(n) for n in range(1, max(values, default=1) + 1)])
+    return F.try_element_at(F.from_json(F.lit(held), f"array<{kind}>"), node)
 
 
 def _node(cuts: dict[int, tuple[int, float]]) -> Column:
