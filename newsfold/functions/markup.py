@@ -8,6 +8,10 @@ from html.parser import HTMLParser
 
 HIDDEN = frozenset("script style form noscript template iframe svg nav footer aside button select textarea".split())
 BLOCK = frozenset("p div section article main header h1 h2 h3 h4 h5 h6 ul ol li table tr blockquote pre figure figcaption dl dt dd body".split())
+#: Block elements before which an open paragraph ends.
+ENDS_P = BLOCK - {"body", "tr"}
+#: Elements within which an outer paragraph stays open.
+APART = frozenset("table caption td th button object marquee template html".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NOT_FREE = frozenset(["false", "no", "0"])
 PAID_TYPES = ("NewsArticle", "Article", "BlogPosting", "WebPage", "CreativeWork")
@@ -34,12 +38,16 @@ class Page(HTMLParser):
         try:
             self.feed(html)
             self.close()
+            while self._open:
+                self.handle_endtag(self._open[-1][0])
         except Exception as e:  # a page that can't be read is reported, and doesn't end the job
             self.error: str | None = f"{type(e).__name__}: {e}"[:200]
         else:
             self.error = None
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P and self._within("p"):
+            self.handle_endtag("p")
         a = {k: v or "" for k, v in attrs}
         if tag == "html":
             self.lang = a.get("lang", "")
@@ -78,14 +86,26 @@ class Page(HTMLParser):
         level = {"li": "- ", "blockquote": "> "} | {f"h{i}": "#" * i + " " for i in range(1, 7)}
         self.blocks.append((level.get(tag, ""), []))
 
+    def _within(self, tag: str) -> bool:
+        """Whether such an element is open, and nothing between that is hidden or keeps it apart."""
+        for t, hidden in reversed(self._open):
+            if t == tag or hidden or t in APART:
+                return t == tag
+        return False
+
+    def _silent(self) -> bool:
+        return any(h or t in ("head", "title") for t, h in self._open)
+
     def _say(self, text):
-        if not any(h for _, h in self._open) and not any(t in ("head", "title") for t, _ in self._open):
+        if not self._silent():
             if not self.blocks:
                 self._block("p")
             self.blocks[-1][1].append(text)
 
     def _end(self, begun: str, mark: str):
-        """The end of a mark; a mark around nothing goes."""
+        """The end of a mark, before white space that stands there; a mark around nothing goes."""
+        if self._silent():
+            return
         parts = self.blocks[-1][1] if self.blocks else []
         k = len(parts)
         while k and not isinstance(parts[k - 1], Mark) and not parts[k - 1].strip():
@@ -93,7 +113,14 @@ class Page(HTMLParser):
         if k and isinstance(parts[k - 1], Mark) and parts[k - 1] == begun:
             del parts[k - 1]
         else:
-            self._say(Mark(mark))
+            tail = parts[k:]
+            del parts[k:]
+            if k and not isinstance(parts[-1], Mark):
+                end = parts[-1].rstrip()
+                tail.insert(0, parts[-1][len(end) :])
+                parts[-1] = end
+            for x in (Mark(mark), *tail):
+                self._say(x)
 
     def handle_endtag(self, tag):
         if tag not in [t for t, _ in self._open]:

@@ -102,16 +102,18 @@ def detect_language(spark, d):
     return P.detect_language(docs, P.language_profiles(docs))
 
 
-DETECT = rf"""
-with t as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' as t from documents),
-g as (select doc_id, lang, t[i:i+2] as gram from (select doc_id, lang, t, unnest(generate_series(1, length(t) - 2)) as i from t where length(t) >= 3)),
-c as (select lang, gram, count(*) as n from g group by all),
+#: top: the profiles of all documents; detected of the texts of ``asked`` (id, text).
+PROFILES = rf"""
+t0 as (select lang, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' as t from documents),
+c as (select lang, gram, count(*) as n from (select lang, t[i:i+2] as gram from (select lang, t, unnest(generate_series(1, length(t) - 2)) as i from t0 where length(t) >= 3)) group by all),
 p as (select lang, gram, n / sum(n) over (partition by lang) as p, row_number() over (partition by lang order by n desc, gram) as rn from c),
 top as (select lang, gram, ln(p) as logp from p where rn <= {P.PROFILE}),
 tab as (select gram, lang, coalesce(logp, ln({P.UNSEEN})) as logp from (select distinct gram from top) cross join (select distinct lang from top) left join top using (gram, lang)),
-s as (select g.doc_id, tab.lang, round(sum(logp * k), 6) as s from (select doc_id, gram, count(*) as k from g group by all) g join tab using (gram) group by all),
-b as (select doc_id, arg_max(lang, (s, lang)) as detected from s group by doc_id)
-select doc_id, detected from documents left join b using (doc_id)"""
+t1 as (select id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' as t from asked),
+g as (select id, t[i:i+2] as gram from (select id, t, unnest(generate_series(1, length(t) - 2)) as i from t1 where length(t) >= 3)),
+s as (select g.id, tab.lang, round(sum(logp * k), 6) as s from (select id, gram, count(*) as k from g group by all) g join tab using (gram) group by all),
+found as (select id, arg_max(lang, (s, lang)) as detected from s group by id)"""
+DETECT = f"with asked as (select doc_id as id, text from documents), {PROFILES} select doc_id, detected from documents left join found on id = doc_id"
 
 
 def clean_text(spark, d):
@@ -128,14 +130,36 @@ def normalize_title(spark, d):
     return V.pages(spark, d).select("page_id", F.md5(T.normalize_title(t)).alias("md5"), T.title_suspicious(t).alias("suspicious"))
 
 
+#: The visible blocks of the pages' own few elements, in order: lead (of a heading), mark (of bold text, which ends with its block) and words.
+BLOCKS = r"""
+v as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<!--.*?-->|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?(</footer>|$)', chr(1), 'g') as h from pages),
+t as (select page_id, regexp_replace(replace(replace(replace(h, '<br>', ' '), '<b>', chr(2)), '<h1>', chr(1) || chr(3)), '<[^>]*>', chr(1), 'g') as h from v),
+x as (select page_id, string_split(regexp_replace(replace(replace(replace(h, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), chr(1)) as h from t),
+b as (select page_id, list_filter(list_transform(h, lambda k: {'lead': case when contains(k, chr(3)) then '# ' else '' end, 'mark': case when contains(k, chr(2)) then '**' else '' end,
+    'words': trim(regexp_replace(regexp_replace(k, '[\x02\x03]', '', 'g'), '\s+', ' ', 'g'))}), lambda k: k.words <> '') as h from x)"""
+
+
 def html_to_markdown(spark, d):
     return P.html_to_markdown(V.pages(spark, d))
 
 
+MARKDOWN = f"with {BLOCKS} select page_id, coalesce(array_to_string(list_transform(h, lambda k: k.lead || k.mark || k.words || k.mark), chr(10) || chr(10)), '') as markdown from b"
+
+
 def extract_pages(spark, d):
     """Every third page gives no language of its own; it is detected with profiles of all documents."""
     pages = V.pages(spark, d).withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<html[^>]*>", "<html>")).otherwise(F.col("html")))
-    return P.extract_pages(pages, F.lit(V.NOW).cast("timestamp"), P.language_profiles(V.articles(spark, d))).select("page_id", "title", "text", "language", "created_at", "paywalled", "error")
+    return P.extract_pages(pages, F.lit(V.NOW).cast("timestamp"), P.language_profiles(V.articles(spark, d))).select("page_id", "title", "text", "language", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "paywalled", "error")
+
+
+EXTRACT = f"""
+with {BLOCKS},
+a as (select b.page_id, html, nullif(array_to_string(list_transform(h, lambda k: k.words), chr(10)), '') as text from b join pages using (page_id)),
+asked as (select page_id as id, text from a where page_id % 3 = 0 and text is not null), {PROFILES}
+select page_id, nullif(trim(regexp_replace(regexp_replace(replace(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')), '') as title, text,
+  case when page_id % 3 = 0 then detected else nullif(lower(left(regexp_extract(coalesce(html, ''), '<html lang="([^"]*)"', 1), 2)), '') end as language,
+  timestamp '{V.NOW}' as created_at, false as paywalled, case when text is null then 'no text' end as error
+from a left join found on id = page_id"""
 
 
 def _marked(spark, d):
@@ -189,8 +213,8 @@ QUERIES = {
     "detect_language": (detect_language, DETECT),
     "clean_text": (clean_text, CLEAN),
     "normalize_title": (normalize_title, "select page_id, md5(trim(case when page_id % 3 = 0 then 'first ' else '' end || regexp_extract(html, '<title>([^<]*)', 1))) as md5, page_id % 3 = 0 or regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '^ | $') as suspicious from pages"),
-    "html_to_markdown": (html_to_markdown, None),
-    "extract_pages": (extract_pages, None),
+    "html_to_markdown": (html_to_markdown, MARKDOWN),
+    "extract_pages": (extract_pages, EXTRACT),
     "paywall_flag": (paywall_flag, "select page_id, page_id % 6 in (0, 1, 3) as paywalled from pages"),
     "paywall_evidence": (paywall_evidence, EVIDENCE),
     "split_sentences": (split_sentences, SENT),

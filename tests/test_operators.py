@@ -12,6 +12,7 @@ from newsfold.functions import text as T
 from newsfold.functions import urls as U
 from newsfold.functions.graph import connected_components
 from newsfold.functions.runtime import lagged, ranked
+from newsfold.functions.markup import Page
 from newsfold.functions.vectors import HASH, PRIME, hashed_vector
 from newsfold.operators import cadence as D
 from newsfold.operators import catalogue as C
@@ -503,3 +504,20 @@ def test_lagged_is_the_row_before(spark):
     df = spark.createDataFrame(rows, "k string, pos long, v int").withColumn("__key", F.lit(1))
     got = lagged(df, "k", "pos", F.floor(F.col("pos") / 7), "before", "v")
     assert {r.pos: r.before for r in got.collect()} == want and got.columns == [*df.columns, "before"]
+
+
+@pytest.mark.parametrize("html,markdown", [
+    ("<p><b>one <br><p>two", "**one**\n\ntwo"),
+    ("<article><p><b>a<p><i>b<p>c <b>d </b>e</article>f", "**a**\n\n*b*\n\nc **d** e\n\nf"),
+    ("<p>a <b>b", "a **b**"),
+    ("<p>a<nav><p>b</nav> c</p>d", "a\n\nc\n\nd"),
+    ("<p>a<span class=ad><p>b</p></span> c", "a\n\nc"),
+    ("<p>a <b><nav><b>x</b></nav>y</b>", "a **y**"),
+    ("<table><tr><td><p>a<table><tr><td><p>b</table></table>", "a\n\nb"),
+    ("<p>a <b> </b><a href=x>b </a>c", "a [b](x) c"),
+    ("<ul><li>a<li><p>b<li>c</ul>", "- a\n\nb\n\n- c"),
+    ("<title>t<p>x", ""),
+    ("", ""),
+])
+def test_paragraphs_and_marks_end_where_html_ends_them(html, markdown):
+    assert Page(html).markdown() == markdown and Page(html).error is None
