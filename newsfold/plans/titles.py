@@ -171,7 +171,17 @@ def fit_cadence(spark, d):
     """Each outlet's model of degree five, judged on what it was fitted to."""
     rows = C.inter_arrival(_log(spark, d))
     said = C.with_delay(rows, C.fit_cadences(rows), "published_at")
-    return C.regression_error(said, "time_diff", "delay", "outlet")
+    return C.regression_error(said, "time_diff", "delay", "outlet").select("outlet", "n", F.round("mae", 5).alias("mae"), F.round("mse", 4).alias("mse"))
+
+
+#: The same fit by polynomials that are orthogonal over an outlet's arrivals: p is the one of a degree, o the one before it, f the fit so far.
+ORTHOGONAL = ", ".join(
+    f"""l{k + 1} as (select outlet, y, x, (x - xp / n2) * p - coalesce(n2 / nullif(o2, 0), 0) * o as p, p as o, f + yp / n2 * p as f
+  from (select *, sum(p * p) over w as n2, sum(o * o) over w as o2, sum(x * p * p) over w as xp, sum(y * p) over w as yp from l{k} window w as (partition by outlet)))"""
+    for k in range(6)
+)
+FIT = f"""with {LOG}, {ARRIVE}, l0 as (select outlet, time_diff as y, m / 720.0::double - 1 as x, 1.0::double as p, 0.0::double as o, 0.0::double as f from a), {ORTHOGONAL}
+select outlet, count(*) as n, round(avg(abs(f - y)), 5) as mae, round(avg((f - y) ** 2), 4) as mse from l6 group by outlet"""
 
 
 def cadence_moments(spark, d):
@@ -205,7 +215,7 @@ QUERIES = {
     "check_publish_log": (check_publish_log, CHECK),
     "next_scan_at": (next_scan_at, SCAN),
     "regression_error": (regression_error, ERROR),
-    "fit_cadence": (fit_cadence, None),
+    "fit_cadence": (fit_cadence, FIT),
     "cadence_moments": (cadence_moments, MOMENTS),
     "fit_cadence_line": (fit_cadence_line, LINE),
 }
