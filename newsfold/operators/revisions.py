@@ -123,8 +123,12 @@ def review_rank(reviews: DataFrame) -> DataFrame:
 ALIKE, GRAM = 0.9, 3
 
 
-def ratio(clean: Column, changed: Column) -> Column:
-    return 1 - F.levenshtein(clean, changed) / F.greatest(F.length(clean), F.length(changed))
+def within(most: Column) -> Column:
+    """A row for a row whose ``clean`` and ``changed`` have an edit distance of at most ``most``: the distance.
+
+    Spark stops counting beyond it. It is exploded so that filters on it don't have it computed again.
+    """
+    return F.explode(F.filter(F.array(F.call_function("levenshtein", F.col("clean"), F.col("changed"), most.cast("int"))), lambda d: d >= 0))
 
 
 def alike_by_grams(left: DataFrame, right: DataFrame, least: float = ALIKE, q: int = GRAM) -> DataFrame:
@@ -136,20 +140,30 @@ def alike_by_grams(left: DataFrame, right: DataFrame, least: float = ALIKE, q: i
     """
     share = 1 - q * (1 - least)
 
+    def numbered(s: Column) -> Column:
+        """The grams of a sentence as hashes, each with how often it has come before; equal hashes of others only make more candidates."""
+
+        def hashes(c: Column) -> Column:
+            return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - q), lambda i: F.xxhash64(F.slice(c, i + 1, q))))
+
+        def told(g: Column) -> Column:
+            return F.transform(g, lambda x, i: F.xxhash64(x, i - F.array_position(g, x)))
+
+        # a lambda's variable is computed once, however often it is looked at
+        return F.transform(F.transform(F.array(F.split(s, "")), hashes), told)[0]
+
     def grams(df: DataFrame, at: str, s: str) -> DataFrame:
         n = F.length(s)
-        rows = df.where(n >= q).select("pair_id", F.col(at).alias("at"), n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col(s), i, F.lit(q)))).alias("gram"))
-        rows = rows.groupBy("pair_id", "at", "n", "gram").agg(F.count(F.lit(1)).alias("times"))
-        return rows.select("pair_id", "at", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+        return df.where(n >= q).select("pair_id", F.col(at).alias("at"), n.alias("n"), F.explode(numbered(F.col(s))).alias("gram"))
 
     both = written(grams(left, "a", "clean").withColumn("side", F.lit(0)).unionByName(grams(right, "b", "changed").withColumn("side", F.lit(1))))
     held = both.groupBy("pair_id", "gram").agg(F.count(F.lit(1)).alias("held"))
-    rank = F.row_number().over(Window.partitionBy("pair_id", "side", "at").orderBy("held", "gram", "nth"))
+    rank = F.row_number().over(Window.partitionBy("pair_id", "side", "at").orderBy("held", "gram"))
     common = F.floor(F.col("n") * share - q + 1 - 1e-9) + 1
     rare = written(both.join(held, ["pair_id", "gram"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - q + 2 - F.greatest(common, F.lit(1))))
-    a, b = (rare.where(f"side = {k}").select("pair_id", "gram", "nth", F.col("at").alias(name), F.col("n").alias(f"n{name}")) for k, name in enumerate("ab"))
+    a, b = (rare.where(f"side = {k}").select("pair_id", "gram", F.col("at").alias(name), F.col("n").alias(f"n{name}")) for k, name in enumerate("ab"))
     fit = F.least("na", "nb") > least * F.greatest("na", "nb")
-    return a.join(b, ["pair_id", "gram", "nth"]).where(fit).select("pair_id", "a", "b").distinct()
+    return a.join(b, ["pair_id", "gram"]).where(fit).select("pair_id", "a", "b").distinct()
 
 
 #: Sentences of a band that one task compares with another's, about.
@@ -180,7 +194,8 @@ def _best(near: DataFrame, least: float) -> DataFrame:
     """(pair_id, b, a, clean, changed, ratio): of candidates (pair_id, a, clean, b, changed) each b with the most alike a, if above least; the first of equals."""
     # a ratio above the threshold bounds the lengths, which is cheap to see first
     fit = near.where(F.least(F.length("clean"), F.length("changed")) > least * F.greatest(F.length("clean"), F.length("changed")))
-    close = fit.withColumn("ratio", ratio(F.col("clean"), F.col("changed"))).where(F.col("ratio") > least)
+    longest = F.greatest(F.length("clean"), F.length("changed"))
+    close = fit.select("*", within(F.ceil((1 - least) * longest)).alias("d")).withColumn("ratio", 1 - F.col("d") / longest).where(F.col("ratio") > least)
     return close.groupBy("pair_id", "b").agg(F.max_by(F.struct("a", "clean", "changed", "ratio"), F.struct("ratio", (-F.col("a")).alias("n"))).alias("m")).select("pair_id", "b", "m.*")
 
 
@@ -205,9 +220,8 @@ def _merged(rows: DataFrame) -> DataFrame:
     found = placed.groupBy("pair_id", "island").agg(joined("clean").alias("clean"), joined("changed").alias("changed"), F.max("ratio").alias("next"))
     longest = F.greatest(F.length("clean"), F.length("changed"))
     found = found.where((F.col("next") < 1) & (F.length("clean") > 0) & (F.length("changed") > 0)).where(F.least(F.length("clean"), F.length("changed")) > F.col("next") * longest)
-    # beyond this distance the ratio can't be larger, and Spark stops counting
-    found = found.withColumn("most", F.ceil((1 - F.col("next")) * longest).cast("int")).withColumn("d", F.expr("levenshtein(clean, changed, most)"))
-    better = written(found.where("d >= 0").withColumn("ratio", 1 - F.col("d") / longest).where(F.col("ratio") > F.col("next")).select("pair_id", "island", "clean", "changed", "ratio"))
+    found = found.select("*", within(F.ceil((1 - F.col("next")) * longest)).alias("d"))
+    better = written(found.withColumn("ratio", 1 - F.col("d") / longest).where(F.col("ratio") > F.col("next")).select("pair_id", "island", "clean", "changed", "ratio"))
     gone = better.select("pair_id", "island", F.lit(True).alias("gone"))
     kept = placed.join(gone, ["pair_id", "island"], "left").where(F.col("gone").isNull() | F.col("ratio").isNotNull()).select("pair_id", "kind", "clean", "changed", "ratio")
     return kept.unionByName(better.select("pair_id", F.lit("merged").alias("kind"), "clean", "changed", "ratio"))
