@@ -98,9 +98,12 @@ IS_IP = r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$"
 def power_levels(users: DataFrame, blocks: DataFrame) -> DataFrame:
     """(name, power): the trust of a user's distinct groups, less that of a block; invalid users 0; addresses by blocks alone.
 
-    users: name, groups, blockid, invalid; blocks: ip.
+    users: name, groups, blockid, invalid, and where the source says so ``anonymous``, whether the name is an address; else its form decides.
+    blocks: ip.
     """
     ip = F.col("name").rlike(IS_IP)
+    if "anonymous" in users.columns:
+        ip = F.coalesce("anonymous", ip)
     groups = F.array_distinct(F.concat(F.coalesce("groups", F.array().cast("array<string>")), F.when(F.col("blockid").isNotNull(), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))))
     power = F.aggregate(F.transform(groups, trust_of), F.lit(0), lambda s, x: s + x)
     hit = blocks.select(F.col("ip").alias("name"), F.lit(True).alias("__hit")).distinct()
