@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer
@@ -265,24 +267,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]"), F.lit(0))
 
 
+def _lacking(clean: pd.Series, changed: pd.Series) -> pd.Series:
+    """Of each changed token whether the clean tokens lack it, by occurrence."""
+
+    def flags(old, new):
+        left = Counter(old if old is not None else ())
+        out = []
+        for t in new:
+            out.append(left[t] <= 0)
+            left[t] -= 1
+        return out
+
+    return pd.Series([None if new is None else flags(old, new) for old, new in zip(clean, changed, strict=True)], dtype=object)
+
+
+def labelled_sentences(aligned: DataFrame) -> DataFrame:
+    """(pair_id, sent, words) of the sentences of ``label_tokens``: a row a sentence, with its tokens and their labels in order.
+
+    A row of aligned has both of its sentences, so the labels need no shuffle.
+    """
+    rows = aligned.where("kind <> 'equal'").select("pair_id", "sent", tokens(F.col("clean")).alias("old"), tokens(F.col("changed")).alias("new"))
+    rows = rows.withColumn("lacks", F.pandas_udf(_lacking, "array<boolean>")("old", "new"))
+    new = F.zip_with("new", "lacks", lambda t, v: F.struct(t.alias("token"), F.when(v, F.lit("V")).otherwise(F.lit("N")).alias("label")))
+    old = F.transform("old", lambda t: F.struct(t.alias("token"), F.lit("N").alias("label")))
+    sides = F.array(F.struct(F.col("sent"), new.alias("words")), F.struct((-F.col("sent") - 1).alias("sent"), old.alias("words")))
+    return rows.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.*").where("words is not null")
+
+
 def label_tokens(aligned: DataFrame) -> DataFrame:
     """(pair_id, sent, pos, token, label) of changed sentences: V what the clean sentence lacks, by occurrence, else N.
 
     Sentences without a clean one are V throughout; clean sentences are added with N throughout. aligned: align_revisions'
     rows with ``sent``, a number of the row within its pair.
     """
-    rows = aligned.where("kind <> 'equal'")
-
-    def counted(df: DataFrame, c: str) -> DataFrame:
-        t = df.where(F.col(c).isNotNull()).select("pair_id", "sent", F.posexplode(tokens(F.col(c))).alias("pos", "token"))
-        return t.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "sent", "token").orderBy("pos")))
-
-    old = counted(rows, "clean")
-    has = old.select("pair_id", "sent", "token", "nth", F.lit("N").alias("label"))
-    new = counted(rows, "changed").join(has, ["pair_id", "sent", "token", "nth"], "left").withColumn("label", F.coalesce("label", F.lit("V")))
-    negative = old.withColumn("label", F.lit("N")).withColumn("sent", -F.col("sent") - 1)
-    cols = ["pair_id", "sent", "pos", "token", "label"]
-    return new.select(cols).unionByName(negative.select(cols))
+    return labelled_sentences(aligned).select("pair_id", "sent", F.posexplode("words").alias("pos", "w")).select("pair_id", "sent", "pos", "w.token", "w.label")
 
 
 def label_counts(labelled: DataFrame, label: str = "label") -> DataFrame:
@@ -290,13 +308,22 @@ def label_counts(labelled: DataFrame, label: str = "label") -> DataFrame:
 
 
 def token_features(labelled: DataFrame, keys: tuple[str, ...] = ("pair_id", "sent")) -> DataFrame:
-    """labelled (keys, pos, token) with lower, shape, is_alpha, is_digit, the neighbours and whether the sentence begins or ends."""
-    w = Window.partitionBy(*keys).orderBy("pos")
+    """labelled (keys, pos, token) with lower, shape, is_alpha, is_digit, the neighbours and whether the sentence begins or ends.
+
+    labelled may have a row a sentence (keys, words), as ``labelled_sentences`` gives them: then a token's neighbours are in its own row, and
+    nothing is shuffled.
+    """
+    if "words" in labelled.columns:
+        near = F.transform("words", lambda x, i: F.struct(x.alias("w"), F.get("words", i - 1)["token"].alias("before"), F.get("words", i + 1)["token"].alias("after")))
+        labelled = labelled.select(*[c for c in labelled.columns if c != "words"], F.posexplode(near).alias("pos", "x")).select("*", "x.w.*", F.col("x.before").alias("__before"), F.col("x.after").alias("__after")).drop("x")
+    else:
+        w = Window.partitionBy(*keys).orderBy("pos")
+        labelled = labelled.withColumns({"__before": F.lag("token").over(w), "__after": F.lead("token").over(w)})
+    before, after = F.col("__before"), F.col("__after")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
-    before, after = F.lag("token").over(w), F.lead("token").over(w)
     return labelled.withColumns(
         {"lower": F.lower("token"), "shape": shape, "is_alpha": F.col("token").rlike("^\\p{L}+$"), "is_digit": F.col("token").rlike("^\\p{Nd}+$"), "previous": F.lower(before), "next": F.lower(after), "bos": before.isNull(), "eos": after.isNull()}
-    )
+    ).drop("__before", "__after")
 
 
 FEATURES = ["lower", "shape", "is_alpha", "is_digit", "previous", "next", "bos", "eos"]

@@ -1,9 +1,51 @@
 """What must not come back at size: shuffles of tokens, names that no longer look like addresses, entries that share a URL."""
 
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from newsfold.operators import revisions as V
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_power_of_addresses_that_the_source_names(spark):
     users = spark.createDataFrame([("10.0.0.1008", ["sysop"], None, None, True), ("10.0.0.1015", ["bot"], 1, None, True), ("1.2.3.4", ["bot"], None, None, False), ("::1", ["bot"], None, None, None)], "name string, groups array<string>, blockid long, invalid boolean, anonymous boolean")
     got = {r.name: r.power for r in V.power_levels(users, spark.createDataFrame([("10.0.0.1015",)], "ip string")).collect()}
     assert got == {"10.0.0.1008": 0, "10.0.0.1015": -10000, "1.2.3.4": 10, "::1": 0}
+
+
+def test_tokens_are_labelled_without_a_shuffle(spark):
+    rng = random.Random(3)
+
+    def text():
+        return rng.choice([None, ""]) if rng.random() < 0.1 else " ".join(rng.choice(["a", "b", "B.", "été", "7"]) for _ in range(rng.randint(1, 12)))
+
+    rows = [(i % 7, i, "equal" if i % 11 == 5 else "replaced", text(), text()) for i in range(200)]
+    df = spark.createDataFrame(rows, "pair_id int, sent int, kind string, clean string, changed string")
+    labelled, features = V.label_tokens(df), V.token_features(V.labelled_sentences(df))
+    assert "Exchange" not in plan_of(labelled) and "Exchange" not in plan_of(features)
+
+    def split(s):
+        return s.replace(".", " .").split() if s is not None else None
+
+    want, sentences = [], {}
+    for pair, sent, kind, clean, changed in rows:
+        if kind != "equal":
+            left = Counter(split(clean) or ())
+            for pos, t in enumerate(split(changed) or ()):
+                want.append((pair, sent, pos, t, "N" if left[t] > 0 else "V"))
+                left[t] -= 1
+            want += [(pair, -sent - 1, pos, t, "N") for pos, t in enumerate(split(clean) or ())]
+            sentences |= {(pair, sent): split(changed), (pair, -sent - 1): split(clean)}
+    assert sorted(map(tuple, labelled.collect())) == sorted(want)
+    # the features of sentences are those of their tokens
+    own = sorted(features.collect(), key=lambda r: (r.pair_id, r.sent, r.pos))
+    assert own == sorted(V.token_features(labelled).select(features.columns).collect(), key=lambda r: (r.pair_id, r.sent, r.pos))
+    for r in own:
+        s = sentences[r.pair_id, r.sent]
+        assert (r.previous, r.next) == (s[r.pos - 1].lower() if r.pos else None, s[r.pos + 1].lower() if r.pos + 1 < len(s) else None)
+    assert features.where(F.col("bos")).count() == sum(bool(s) for s in sentences.values())
