@@ -232,35 +232,92 @@ def _merged(rows: DataFrame) -> DataFrame:
     return kept.unionByName(better.select("pair_id", F.lit("merged").alias("kind"), "clean", "changed", "ratio"))
 
 
-def align_revisions(pairs: DataFrame) -> DataFrame:
-    """(pair_id, kind, clean, changed, ratio) of the sentences of pairs (pair_id, clean_text, changed_text).
+#: A pair of texts of which at most so many pairs of sentences are to be compared has them compared in one row.
+COMPARED = 250_000
 
-    equal: the same sentence, by occurrence; replaced: each other changed sentence with its most alike clean one, if their
-    ratio (1 - edit distance / length) is above ``ALIGNED``; inserted and deleted: the rest, of which adjacent ones are put together as
-    merged where that reads better (``_merged``). Only sentences of one pair meet: those with a partner above ``ALIKE`` find it by rare grams, and
-    only those that have none are compared with all other sentences of a fitting length, in blocks (``of_fitting_length``).
+
+def _sentence_rows(pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, pos, s, other, na, nb), written: each sentence of the clean (side 0) and the changed text (1), with the place of its equal on
+    the other side, by occurrence, and how many sentences of each side have none in this pair.
+
+    Pairs are dealt once, and all windows lie within a pair. Null pairs have no equals.
     """
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("clean_text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("changed_text").alias("text")))
+    texts = pairs.select("pair_id", "clean_text", "changed_text").repartition("pair_id").select("pair_id", F.explode(sides).alias("x"))
+    rows = texts.select("pair_id", "x.side", F.posexplode(sentences(F.col("x.text"))).alias("pos", "s"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "side", "s").orderBy("pos")))
+    same = Window.partitionBy("pair_id", "s", "nth")
+    on = [F.max(F.when(F.col("side") == k, F.col("pos"))).over(same) for k in (0, 1)]
+    rows = rows.withColumn("other", F.when(F.col("pair_id").isNotNull(), F.when(F.col("side") == 0, on[1]).otherwise(on[0])))
+    left = [F.count(F.when((F.col("side") == k) & F.col("other").isNull(), 1)).over(Window.partitionBy("pair_id")) for k in (0, 1)]
+    return written(rows.select("pair_id", "side", "pos", "s", "other", left[0].alias("na"), left[1].alias("nb")))
+
+
+def _in_row(left: DataFrame) -> DataFrame:
+    """(pair_id, kind, a, b, clean, changed, ratio) of the sentences without an equal (pair_id, side, pos, s), of pairs with few of them.
+
+    A pair is a row with the sentences of both sides. Each changed one is held against the clean ones of a length that allows a ratio above
+    ``ALIKE`` and, if none is as much alike, against those that allow one above ``ALIGNED``.
+    """
+    own = F.struct(F.col("pos").alias("pos"), F.col("s").alias("s"), F.length("s").alias("n"))
+    both = left.groupBy("pair_id").agg(*[F.collect_list(F.when(F.col("side") == k, own)).alias(c) for k, c in enumerate("lr")])
+
+    def best(r: Column, least: float) -> Column:
+        def fit(x: Column) -> Column:
+            return F.least(x["n"], r["n"]) > least * F.greatest(x["n"], r["n"])
+
+        def judged(x: Column) -> Column:
+            longest = F.greatest(x["n"], r["n"])
+            d = F.call_function("levenshtein", x["s"], r["s"], F.ceil((1 - least) * longest).cast("int"))
+            return F.struct((1 - F.nullif(d, F.lit(-1)) / longest).alias("ratio"), (-x["pos"]).alias("before"), x["s"].alias("s"))
+
+        return F.array_max(F.filter(F.transform(F.filter("l", fit), judged), lambda m: m["ratio"] > least))
 
-    def side(c: str, name: str) -> DataFrame:
-        rows = pairs.select("pair_id", F.posexplode(sentences(F.col(c))).alias("pos", "s"))
-        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "s").orderBy("pos"))).select("pair_id", "s", "nth", F.col("pos").alias(name))
+    def row(kind: Column, a: Column, b: Column, clean: Column, changed: Column, ratio: Column) -> Column:
+        return F.struct(kind.alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), clean.cast("string").alias("clean"), changed.cast("string").alias("changed"), ratio.cast("double").alias("ratio"))
 
-    a, b = written(side("clean_text", "a")), written(side("changed_text", "b"))
-    equal = a.join(b, ["pair_id", "s", "nth"])
-    left, right = a.join(b, ["pair_id", "s", "nth"], "left_anti"), b.join(a, ["pair_id", "s", "nth"], "left_anti")
-    l, r = written(left.select("pair_id", "a", F.col("s").alias("clean"))), written(right.select("pair_id", "b", F.col("s").alias("changed")))
+    none = F.lit(None)
+    found = both.withColumn("m", F.transform("r", lambda r: F.struct(r.alias("r"), F.coalesce(best(r, ALIKE), best(r, ALIGNED)).alias("best"))))
+    found = found.withColumn("used", F.filter(F.transform("m", lambda m: -m["best"]["before"]), lambda a: a.isNotNull()))
+    changed = F.transform("m", lambda m: row(F.when(m["best"].isNull(), "inserted").otherwise("replaced"), -m["best"]["before"], m["r"]["pos"], m["best"]["s"], m["r"]["s"], m["best"]["ratio"]))
+    gone = F.transform(F.filter("l", lambda x: ~F.array_contains("used", x["pos"])), lambda x: row(F.lit("deleted"), x["pos"], none, x["s"], none, none))
+    return found.select("pair_id", F.explode(F.concat(changed, gone)).alias("x")).select("pair_id", "x.*")
+
+
+def _over_tasks(left: DataFrame) -> DataFrame:
+    """What ``_in_row`` gives, of pairs that may have any number of sentences: they meet by rare grams, and then in blocks."""
+    l, r = (written(left.where(F.col("side") == k).select("pair_id", F.col("pos").alias(at), F.col("s").alias(c))) for k, at, c in ((0, "a", "clean"), (1, "b", "changed")))
     alike = written(_best(alike_by_grams(l, r).join(l, ["pair_id", "a"]).join(r, ["pair_id", "b"]), ALIKE))
     rest = r.join(alike.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
     best = alike.unionByName(written(_best(of_fitting_length(l, written(rest), ALIGNED), ALIGNED)))
     deleted = l.join(best.select("pair_id", "a").distinct(), ["pair_id", "a"], "left_anti")
     inserted = r.join(best.select("pair_id", "b"), ["pair_id", "b"], "left_anti")
+    return _rows(best, "replaced").unionByName(_rows(deleted, "deleted")).unionByName(_rows(inserted, "inserted"))
+
 
-    def out(df: DataFrame, kind: str, **given: Column) -> DataFrame:
-        kinds = {"a": "int", "b": "int", "clean": "string", "changed": "string", "ratio": "double"}
-        return df.select("pair_id", F.lit(kind).alias("kind"), *[(given[c] if c in given else F.lit(None) if c not in df.columns else F.col(c)).cast(k).alias(c) for c, k in kinds.items()])
+def _rows(df: DataFrame, kind: str) -> DataFrame:
+    """df as rows (pair_id, kind, a, b, clean, changed, ratio) of a kind; columns that it lacks are null."""
+    kinds = {"a": "int", "b": "int", "clean": "string", "changed": "string", "ratio": "double"}
+    return df.select("pair_id", F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
-    rows = out(equal, "equal", clean=F.col("s"), changed=F.col("s"), ratio=F.lit(1.0)).unionByName(out(best, "replaced"))
-    return _merged(written(rows.unionByName(out(deleted, "deleted")).unionByName(out(inserted, "inserted"))))
+
+def align_revisions(pairs: DataFrame, compared: int = COMPARED) -> DataFrame:
+    """(pair_id, kind, clean, changed, ratio) of the sentences of pairs (pair_id, clean_text, changed_text).
+
+    equal: the same sentence, by occurrence; replaced: each other changed sentence with its most alike clean one, if their
+    ratio (1 - edit distance / length) is above ``ALIGNED``; inserted and deleted: the rest, of which adjacent ones are put together as
+    merged where that reads better (``_merged``). Only sentences of one pair meet. Pairs with at most ``compared`` pairs of sentences that have no equal
+    are done in a row each; in larger ones sentences with a partner above ``ALIKE`` find it by rare grams, and only those that have none are
+    compared with all other sentences of a fitting length, in blocks (``of_fitting_length``).
+    """
+    rows = _sentence_rows(pairs)
+    equal = rows.where("side = 1 and other is not null").select("pair_id", F.col("other").alias("a"), F.col("pos").alias("b"), F.col("s").alias("clean"), F.col("s").alias("changed"), F.lit(1.0).alias("ratio"))
+    few = F.col("pair_id").isNotNull() & (F.col("na") * F.col("nb") <= compared)
+    left = rows.where("other is null")
+    out = _rows(equal, "equal").unionByName(_in_row(left.where(few)))
+    if not (large := left.where(~few)).isEmpty():
+        out = out.unionByName(_over_tasks(large))
+    return _merged(written(out))
 
 
 def tokens(text: Column) -> Column:

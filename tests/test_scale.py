@@ -49,3 +49,25 @@ def test_tokens_are_labelled_without_a_shuffle(spark):
         s = sentences[r.pair_id, r.sent]
         assert (r.previous, r.next) == (s[r.pos - 1].lower() if r.pos else None, s[r.pos + 1].lower() if r.pos + 1 < len(s) else None)
     assert features.where(F.col("bos")).count() == sum(bool(s) for s in sentences.values())
+
+
+def test_pairs_in_a_row_and_over_tasks_are_aligned_alike(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+
+    def sentence():
+        return " ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) + "."
+
+    def changed(s):
+        return "".join(c if rng.random() > p else rng.choice("xyz ") for c in s) if (p := rng.choice([0, 0, 0.03, 0.2])) else s
+
+    rows = []
+    for i in range(12):
+        a = [sentence() for _ in range(rng.randint(0, 25))]
+        b = [changed(s) for s in a if rng.random() > 0.15] + [sentence() for _ in range(rng.randint(0, 4))]
+        rows.append((i if i else None, "\n".join(a), "\n".join(b)))
+    df = spark.createDataFrame(rows + [(90, None, "Only here."), (91, "Only there.", None)], "pair_id int, clean_text string, changed_text string")
+    cols = ["pair_id", "kind", "clean", "changed", "ratio"]
+    got = {n: sorted(map(repr, V.align_revisions(df, n).select(cols).collect())) for n in (0, 100, V.COMPARED)}
+    assert got[0] == got[100] == got[V.COMPARED]
+    assert {"equal", "replaced", "deleted", "inserted"} <= {eval(r.replace("Row(", "dict("))["kind"] for r in got[0]}
