@@ -140,25 +140,40 @@ def stream_dedup(stubs: DataFrame, key: str = "signature", time: str = "ts", del
     return stubs.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_needs_update(stubs: DataFrame, key: str = "signature", time: str = "ts", delay: str = MAX_AGE) -> DataFrame:
-    """(key, ts) of stubs that are later than all before them with their key, up to ``delay`` of silence."""
+#: Groups of keys whose state is kept together: a call of Python a group and batch, however many keys there are.
+KEY_BUCKETS = 2048
 
-    silence = int(pd.Timedelta(delay).total_seconds() * 1000)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+def stream_needs_update(stubs: DataFrame, key: str = "signature", time: str = "ts", delay: str = MAX_AGE, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """(key, ts) of stubs that are later than all before them with their key, up to ``delay`` of silence.
+
+    Keys are dealt to buckets by their hash. A bucket's state has each key with its latest time and until when it is kept.
+    """
+    silence = int(pd.Timedelta(delay).total_seconds() * 1000)
+    never = np.iinfo(np.int64).min
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (t, until) for k, t, until in zip(*state.get, strict=True)} if state.exists else {}
+        mark = state.getCurrentWatermarkMs()
+        latest: dict = {}
+        if not state.hasTimedOut:
+            rows = pd.concat([pdf[["key", "t"]] for pdf in batches]).dropna(subset=["t"]).drop_duplicates().sort_values("t", kind="stable")
+            before = np.array([held.get(k, (never,))[0] for k in rows["key"]], dtype=np.int64)
+            latest = dict(zip(rows["key"].tolist(), rows["t"].astype("int64").tolist(), strict=True))  # of a key the last one stays
+            yield rows[rows["t"].to_numpy() > before]
+        held = {k: v for k, v in held.items() if v[1] >= mark or k in latest}
+        for k, t in latest.items():
+            seen = max(t, held[k][0]) if k in held else t
+            held[k] = (seen, max(seen // 1000 + silence, mark + 1))
+        if held:
+            state.update((list(held), [t for t, _ in held.values()], [until for _, until in held.values()]))
+            state.setTimeoutTimestamp(max(min(until for _, until in held.values()), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        seen = state.get[0] if state.exists else None
-        t = np.unique(np.concatenate([pdf["t"].to_numpy() for pdf in batches]))  # each is later than all before it
-        t = t if seen is None else t[t > seen]
-        seen = int(t[-1]) if t.size else seen
-        state.update((seen,))
-        state.setTimeoutTimestamp(max(seen // 1000 + silence, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": k[0], "t": t})
-
-    rows = stubs.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("t", F.unix_micros("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, t long", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    rows = stubs.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("t", F.unix_micros("at"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(step, "key string, t long", "keys array<string>, seen array<long>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
