@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsfold.functions.graph import connected_components
-from newsfold.functions.runtime import small, written
+from newsfold.functions.runtime import free_name, parts, small, written
 from newsfold.functions.vectors import cosine, dot, norm
 
 #: Shares of a group's titles that make a supermajority and a consensus; 1 is unanimous.
@@ -31,6 +35,8 @@ STOP_WORDS = tuple(
 
 #: Titles of a group that are paired at most; an article has some ten.
 PAIRED = 5_000
+#: Characters of the texts of which one task holds the terms, about.
+PART_CHARS = 8_000_000
 
 
 def unit_vectors(titles: DataFrame) -> DataFrame:
@@ -195,21 +201,58 @@ def title_quorum(clusters: DataFrame) -> DataFrame:
     return best.select("grp", (-F.col("b.c")).alias("cluster"), share.alias("share"), label.alias("label"))
 
 
+def _terms(words: str) -> list[str]:
+    """The words between single spaces, and the pairs of neighbours."""
+    w = words.split(" ")
+    return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def _rows_of_keys(keys: pa.ChunkedArray) -> list[list[int]]:
+    """The rows of each key."""
+    found: dict = {}
+    for i, k in enumerate(keys.to_pylist()):
+        found.setdefault(k, []).append(i)
+    return list(found.values())
+
+
 def tfidf_top_terms(docs: DataFrame, key: str = "doc_id", n: int = 10) -> DataFrame:
-    """(key, term, weight, rank): words and word pairs without English stop words, smooth idf, unit length per document."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    rows = docs.select(key, words.alias("w")).where(F.size("w") > 0)
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    # texts are dealt by document, which is less to send than their terms; the counts are read for the terms' frequencies
-    # and for the join, so they are written
-    tf = written(rows.repartition(key).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # total is one row
-    idf = df.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
-    by = Window.partitionBy(key)
-    w = w.withColumn("weight", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(by)), 9))
-    return w.withColumn("rank", F.row_number().over(by.orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= n).select(key, "term", "weight", "rank")
+    """(key, term, weight, rank): words and word pairs without English stop words, smooth idf, unit length per document.
+
+    Documents are dealt to parts of some ``PART_CHARS`` characters. A part counts the documents of each of its terms, so a term is sent once a
+    part and not once a document; the sums over all parts go back to the part, which weighs its documents with them.
+    """
+    part, found = free_name(docs, "__part"), F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))
+    words = F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
+    total, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    dealt = F.pmod(F.xxhash64(key), F.lit(parts(docs.sparkSession, chars, PART_CHARS))).cast("int").alias(part)
+    rows = docs.select(dealt, key, words.alias("w")).where(F.size("w") > 0).select(part, key, F.array_join("w", " ").alias("w"))
+
+    def counted(t: pa.Table) -> pa.Table:
+        held: Counter = Counter()
+        texts = t["w"].to_pylist()
+        for own in _rows_of_keys(t[key]):
+            held.update({term for i in own for term in _terms(texts[i])})
+        return pa.table({part: pa.array([t[part][0].as_py()] * len(held), "int32"), "term": pa.array(list(held.keys()), "string"), "df": pa.array(list(held.values()), "int64")})
+
+    def weighed(t: pa.Table, df: pa.Table) -> pa.Table:
+        idf = dict(zip(df["term"].to_pylist(), df["idf"].to_pylist(), strict=True))
+        texts, first, top = t["w"].to_pylist(), [], []
+        for own in _rows_of_keys(t[key]):
+            tf = Counter(term for i in own for term in _terms(texts[i]))
+            x = np.fromiter(tf.values(), "float64", len(tf)) * np.fromiter(map(idf.__getitem__, tf), "float64", len(tf))
+            weight = np.round(x / math.sqrt(x @ x), 9)
+            least = np.partition(weight, -n)[-n] if len(weight) > n else -math.inf
+            best = heapq.nsmallest(n, ((-w, term) for w, term in zip(weight.tolist(), tf, strict=True) if w >= least))
+            first += [own[0]] * len(best)
+            top += [(term, -w, i + 1) for i, (w, term) in enumerate(best)]
+        term, weight, rank = zip(*top, strict=True) if top else ((), (), ())
+        return pa.table({key: t[key].take(pa.array(first, "int64")), "term": pa.array(term, "string"), "weight": pa.array(weight, "float64"), "rank": pa.array(rank, "int32")})
+
+    own = rows.groupBy(part).applyInArrow(counted, f"{part} int, term string, df long")
+    df = F.sum("df").over(Window.partitionBy("term"))  # a row a part at most
+    idf = own.select(part, "term", (F.ln((1 + F.lit(total)) / (1 + df)) + 1).alias("idf"))
+    schema = T.StructType([docs.schema[key]]).add("term", "string").add("weight", "double").add("rank", "integer")
+    return rows.groupBy(part).cogroup(idf.groupBy(part)).applyInArrow(weighed, schema)
 
 
 def entity_jaccard(titles: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """What must not come back at size: shuffles of tokens, names that no longer look like addresses, entries that share a URL."""
 
+import math
 import random
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from newsfold.operators import quorum as Q
 from newsfold.operators import revisions as V
 
 
@@ -110,3 +114,27 @@ def test_ancestors_are_found_in_one_pass(spark):
             parts.insert(0, "\n\n".join(filter(None, [a.title, a.summary])))
             up = a.parent_pos
         assert (r.path, r.text) == (" > ".join(path), "\n\n".join(filter(None, parts)))
+
+
+@pytest.mark.parametrize("chars", [50, 8_000_000])
+def test_terms_are_sent_by_part_and_not_by_document(spark, monkeypatch, chars):
+    monkeypatch.setattr(Q, "PART_CHARS", chars, raising=False)
+    rng = random.Random(chars)
+    words = ["The", "x", "árbol", "Wort", "a_1", "99", "zz", "𝒜b"]
+    rows = [(None if i == 7 else i - 2**60, rng.choice([None, "", "the"]) if i % 9 == 0 else " ".join(rng.choices(words, k=rng.randint(1, 40)))) for i in range(80)]
+    rows.append((rows[1][0], "Wort zz zz"))  # an id that comes twice
+    df = Q.tfidf_top_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan_of(df))) == {"__part", "term"}
+    tf: dict = {}
+    for i, text in rows:
+        w = [x for x in re.findall(r"\w{2,}", (text or "").lower()) if x not in Q.STOP_WORDS]
+        if w:
+            tf.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    n = Counter(t for c in tf.values() for t in c)
+    want = set()
+    for i, c in tf.items():
+        x = {t: k * (math.log((1 + len(rows)) / (1 + n[t])) + 1) for t, k in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        best = sorted((-round(v / norm, 9), t) for t, v in x.items())[:10]
+        want |= {(i, t, -w, k + 1) for k, (w, t) in enumerate(best)}
+    assert {tuple(r) for r in df.collect()} == want
