@@ -144,20 +144,35 @@ def route_urls(urls: DataFrame, rules: Sequence[tuple[str, str, int]]) -> DataFr
 
 #: (stub, URL) rows of a component that one task walks through at most.
 WALK_ROWS = 50_000
+#: Share of the pairs which a round must not leave; otherwise they are split into components.
+SLOW = 0.8
 
 
 def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round over undecided pairs (pos, href): the stubs that go (pos), and the pairs that stay undecided; both written.
+    """One round over undecided pairs (pos, href): the stubs that go (pos), and the pairs that stay undecided; both of written tables.
 
-    A stub that is first for all of its URLs is taken; those that share a URL with it go. Minima are combined before the shuffle.
+    A stub that is first for all of its URLs is taken; those that share a URL with it go. Minima are combined before the shuffle, and what holds
+    for all URLs of a stub is found over its few pairs.
     """
+    own = Window.partitionBy("pos")
     first = pairs.groupBy("href").agg(F.min("pos").alias("first"))
-    judged = written(pairs.join(first, "href").groupBy("pos").agg(F.min(F.col("pos") == F.col("first")).alias("taken")))
-    taken = judged.where("taken").select("pos")
-    held = pairs.join(taken, "pos", "left_semi").select("href").distinct()
-    rest = pairs.join(taken, "pos", "left_anti")
-    gone = written(rest.join(held, "href", "left_semi").select("pos").distinct())
-    return gone, written(rest.join(gone, "pos", "left_anti"))
+    judged = written(pairs.join(first, "href").select("pos", "href", F.min(F.col("pos") == F.col("first")).over(own).alias("taken")))
+    held = judged.where("taken").select("href", F.lit(True).alias("held"))  # a URL has one first stub
+    rest = judged.where("not taken").join(held, "href", "left").select("pos", "href", F.max(F.coalesce("held", F.lit(False))).over(own).alias("gone"))
+    rest = written(rest)
+    return rest.where("gone").select("pos"), rest.where("not gone").select("pos", "href")
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The stubs that go, in order of ``pos``."""
+    held: set[str] = set()
+    gone = []
+    for pos, own in pdf.groupby("pos", sort=True)["href"]:
+        if held.isdisjoint(own):
+            held.update(own)
+        else:
+            gone.append(pos)
+    return pd.DataFrame({"pos": pd.Series(gone, dtype="int64")})
 
 
 def _walked(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -169,18 +184,7 @@ def _walked(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     roots = connected_components(pairs.join(first, "href").select(F.col("pos").alias("a"), F.col("first").alias("b")))
     rows = written(pairs.join(roots.withColumnRenamed("node", "pos"), "pos", "left").withColumn("root", F.coalesce("root", "pos")))
     large = written(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
-        gone = []
-        for pos, own in pdf.groupby("pos", sort=True)["href"]:
-            if held.isdisjoint(own):
-                held.update(own)
-            else:
-                gone.append(pos)
-        return pd.DataFrame({"pos": pd.Series(gone, dtype="int64")})
-
-    gone = rows.join(large, "root", "left_anti").groupBy("root").applyInPandas(walk, "pos long")
+    gone = rows.join(large, "root", "left_anti").groupBy("root").applyInPandas(_walk, "pos long")
     return written(gone), written(rows.join(large, "root", "left_semi").select("pos", "href"))
 
 
@@ -191,22 +195,24 @@ def dedup_first_wins(stubs: DataFrame, urls: str | None = "urls", walk_rows: int
     so, all but the first of each id go. Null ids and stubs without URLs never collide. urls: an array column of hrefs;
     None: the single column ``href``.
 
-    A first round over all rows decides what has one URL each and most of the rest. What is left is split into components of stubs
-    with common URLs: those of at most ``walk_rows`` pairs are walked through in one grouped pass; larger ones go on in rounds, each of which decides at
-    least the first stub of every component.
+    Rounds decide what has one URL each and, where URLs are shared at random, a good part of the rest each. As soon as at most ``walk_rows`` pairs are
+    left, these are walked through in one group. Where a round decides little, as in chains, the pairs are split into components of stubs with
+    common URLs: those of at most ``walk_rows`` pairs are walked through in one grouped pass; larger ones go on in rounds, each of which decides at
+    least the first stub of every component, and are split again when half of them are left.
     """
     href = F.explode(F.array_distinct(F.col(urls))) if urls else F.col("href")
     pairs = written(stubs.select(F.col("pos").cast("long").alias("pos"), href.alias("href")).where("href is not null"))
     lost = []
-    if not pairs.isEmpty():
-        gone, pairs = _round(pairs)
-        lost.append(gone)
-    if not pairs.isEmpty():
-        gone, pairs = _walked(pairs, walk_rows)
-        lost.append(gone)
-    while not pairs.isEmpty():
-        gone, pairs = _round(pairs)
+    n, before, split = pairs.count(), None, None
+    while n:
+        if n <= walk_rows:
+            gone, left = written(pairs.withColumn("root", F.lit(0)).groupBy("root").applyInPandas(_walk, "pos long")), None
+        elif before and n > SLOW * before and (split is None or 2 * n <= split):
+            (gone, left), split = _walked(pairs, walk_rows), n
+        else:
+            gone, left = _round(pairs)
         lost.append(gone)
+        pairs, n, before = left, left.count() if left is not None else 0, n
     kept = stubs.join(reduce(DataFrame.unionByName, lost), "pos", "left_anti") if lost else stubs
     firsts = kept.where("id is not null").groupBy("id").agg(F.min("pos").alias("pos"))
     return kept.join(firsts.select("pos"), "pos", "left_semi").unionByName(kept.where("id is null"))

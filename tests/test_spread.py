@@ -276,3 +276,14 @@ def test_sentences_of_fitting_length_meet_once_whatever_the_blocks(spark):
     want = sorted((p, a, b) for p, a, s in clean for q, b, t in changed if p == q and min(len(s), len(t)) > R.ALIGNED * max(len(s), len(t)))
     for block in (7, 500):
         assert sorted((x.pair_id, x.a, x.b) for x in R.of_fitting_length(l, r, R.ALIGNED, block).collect()) == want
+
+
+def test_urls_shared_at_random_need_no_components(spark, monkeypatch):
+    def contract(edges):
+        raise AssertionError("components of what rounds decide")
+
+    monkeypatch.setattr(S, "connected_components", contract)
+    rng = random.Random(10)
+    rows = [(k, [f"u{rng.randint(0, 300)}", f"s{k // 3}"]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "pos long, urls array<string>").withColumn("id", F.lit(None).cast("string"))
+    assert sorted(r.pos for r in S.dedup_first_wins(df, walk_rows=300).collect()) == walk(rows)
