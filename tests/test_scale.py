@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from newsfold.operators import pages as P
 from newsfold.operators import quorum as Q
 from newsfold.operators import revisions as V
 
@@ -138,3 +139,30 @@ def test_terms_are_sent_by_part_and_not_by_document(spark, monkeypatch, chars):
         best = sorted((-round(v / norm, 9), t) for t, v in x.items())[:10]
         want |= {(i, t, -w, k + 1) for k, (w, t) in enumerate(best)}
     assert {tuple(r) for r in df.collect()} == want
+
+
+def test_likeliest_language_is_that_of_the_counted_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 3000, raising=False)
+    rng = random.Random(13)
+    alphabets = {"xx": "abc dé", "yy": "cde fß", "zz": "漢字𝒜a 𝒜"}
+    rows = [(i, lang, "".join(rng.choices(alphabets[lang], k=rng.randint(0, 60)))) for i, lang in enumerate(rng.choices(sorted(alphabets), k=300))]
+    rows += [(1000, "xx", None), (1001, None, "abc"), (1002, "yy", ""), (1003, None, "qqq www"), (1004, None, None), (1005, None, "b" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, language string, text string")
+    plain = {r.doc_id: r.t for r in docs.select("doc_id", P.letters(F.col("text")).alias("t")).collect()}
+    grams = {i: Counter(t[k : k + 3] for k in range(len(t or "") - 2)) for i, t in plain.items()}
+    top = {}
+    for lang in alphabets:
+        n = sum((grams[i] for i, own, _ in rows if own == lang), Counter())
+        top[lang] = {g: math.log(k / n.total()) for g, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: P.PROFILE]}
+    known = set().union(*top.values())
+    want = {}
+    for i, c in grams.items():
+        own = {g: k for g, k in c.items() if g in known}
+        score = {lang: round(sum(k * top[lang].get(g, math.log(P.UNSEEN)) for g, k in own.items()), 6) for lang in top}
+        want[i] = max(score, key=lambda lang: (score[lang], lang)) if own else None
+    profiles = P.language_profiles(docs)
+    assert {(r.language, r.gram) for r in profiles.collect()} == {(lang, g) for lang in top for g in top[lang]}
+    got = docs.select("doc_id", P.likeliest(F.col("text"), profiles).alias("detected"))
+    assert {r.doc_id: r.detected for r in got.collect()} == want == {r.doc_id: r.detected for r in P.detect_language(docs, profiles).collect()}
+    nobody = docs.where("false").select("doc_id", "language", "text")
+    assert docs.select(P.likeliest(F.col("text"), P.language_profiles(nobody)).alias("x")).where("x is not null").count() == 0
