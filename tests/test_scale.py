@@ -166,3 +166,10 @@ def test_likeliest_language_is_that_of_the_counted_trigrams(spark, monkeypatch):
     assert {r.doc_id: r.detected for r in got.collect()} == want == {r.doc_id: r.detected for r in P.detect_language(docs, profiles).collect()}
     nobody = docs.where("false").select("doc_id", "language", "text")
     assert docs.select(P.likeliest(F.col("text"), P.language_profiles(nobody)).alias("x")).where("x is not null").count() == 0
+
+
+def test_pages_are_read_once_for_their_language(spark, sf_dir):
+    docs = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, language string")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plan = plan_of(P.extract_pages(pages, profiles=P.language_profiles(docs)))
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
