@@ -6,12 +6,14 @@ import re
 from collections import Counter
 
 import pytest
+from oracle import duck, rows_of
 from pyspark.sql import functions as F
 
 from newsfold.operators import pages as P
 from newsfold.operators import quorum as Q
 from newsfold.operators import revisions as V
 from newsfold.operators import sections as S
+from newsfold.plans import catalog
 
 
 def plan_of(df):
@@ -201,3 +203,14 @@ def test_sections_are_rolled_up_without_writing(spark):
         assert "FileScan" not in plan_of(got) and (fn not in built_in or plan_of(got).count("Exchange") == 1)
         assert got.columns == [*tree.columns, "summary"]
         assert {(r.doc_id, r.pos, r.summary) for r in got.collect()} == {(*k, said(*k)) for k in rows}
+
+
+@pytest.mark.parametrize("name", ["html_to_markdown", "extract_pages"])
+def test_references_that_a_heading_cuts_are_read_as_in_sql(spark, sf_dir, tmp_path, name):
+    pages, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(60).toPandas() for t in ("pages", "documents"))
+    cut = ["&quot", "&quo", "&quot;", "&amp", "&am", "&", "&amp;quot", "&quot&quot;"]
+    for tag in ("h1", "title"):
+        pages["html"] = [h.replace(f"</{tag}>", f" token = {cut[i % len(cut)]}</{tag}>") for i, h in enumerate(pages["html"])]
+    pages.to_parquet(tmp_path / "pages.parquet")
+    docs.to_parquet(tmp_path / "documents.parquet")
+    assert rows_of(catalog.queries()[name](spark, str(tmp_path))) == duck(catalog.oracle_sql()[name], str(tmp_path))
