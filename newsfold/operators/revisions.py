@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer
@@ -324,31 +325,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]"), F.lit(0))
 
 
-def _lacking(clean: pd.Series, changed: pd.Series) -> pd.Series:
+def _lacking(old: pa.Array, new: pa.Array) -> pa.Array:
     """Of each changed token whether the clean tokens lack it, by occurrence."""
-
-    def flags(old, new):
-        left = Counter(old if old is not None else ())
-        out = []
-        for t in new:
-            out.append(left[t] <= 0)
-            left[t] -= 1
-        return out
-
-    return pd.Series([None if new is None else flags(old, new) for old, new in zip(clean, changed, strict=True)], dtype=object)
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (old, new)]
+    words = pc.dictionary_encode(pa.concat_arrays([old.flatten(), new.flatten()]), null_encoding="encode")
+    row = np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes])
+    key = row * len(words.dictionary) + words.indices.to_numpy()
+    order = np.argsort(key, kind="stable")  # of a row's equal tokens the clean ones come first
+    is_new = order >= sizes[0].sum()
+    first = np.diff(key[order], prepend=-1) > 0
+    begin, group = np.flatnonzero(first), np.cumsum(first) - 1
+    olds = np.bincount(group[~is_new], minlength=len(begin))[group]
+    lacks = np.empty(len(key), dtype=bool)
+    lacks[order] = np.arange(len(key)) - begin[group] >= 2 * olds
+    ends = np.concatenate([[0], np.cumsum(sizes[1])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(lacks[sizes[0].sum() :]), mask=new.is_null())
 
 
 def labelled_sentences(aligned: DataFrame) -> DataFrame:
-    """(pair_id, sent, words) of the sentences of ``label_tokens``: a row a sentence, with its tokens and their labels in order.
+    """(pair_id, sent, words, labels) of the sentences of ``label_tokens``: a row a sentence, with its tokens and their labels in order.
 
-    A row of aligned has both of its sentences, so the labels need no shuffle.
+    A row of aligned has both of its sentences, so the labels need no shuffle; where they aren't used no Python runs.
     """
     rows = aligned.where("kind <> 'equal'").select("pair_id", "sent", tokens(F.col("clean")).alias("old"), tokens(F.col("changed")).alias("new"))
-    rows = rows.withColumn("lacks", F.pandas_udf(_lacking, "array<boolean>")("old", "new"))
-    new = F.zip_with("new", "lacks", lambda t, v: F.struct(t.alias("token"), F.when(v, F.lit("V")).otherwise(F.lit("N")).alias("label")))
-    old = F.transform("old", lambda t: F.struct(t.alias("token"), F.lit("N").alias("label")))
-    sides = F.array(F.struct(F.col("sent"), new.alias("words")), F.struct((-F.col("sent") - 1).alias("sent"), old.alias("words")))
-    return rows.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.*").where("words is not null")
+    rows = rows.withColumn("lacks", F.arrow_udf(_lacking, "array<boolean>")("old", "new"))
+    rows = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_old"))
+    labels = F.when(F.col("is_old"), F.array_repeat(F.lit("N"), F.size("old"))).otherwise(F.transform("lacks", lambda v: F.when(v, F.lit("V")).otherwise(F.lit("N"))))
+    sent = F.when(F.col("is_old"), -F.col("sent") - 1).otherwise(F.col("sent"))
+    return rows.select("pair_id", sent.alias("sent"), F.when(F.col("is_old"), F.col("old")).otherwise(F.col("new")).alias("words"), labels.alias("labels")).where("words is not null")
 
 
 def label_tokens(aligned: DataFrame) -> DataFrame:
@@ -357,7 +361,8 @@ def label_tokens(aligned: DataFrame) -> DataFrame:
     Sentences without a clean one are V throughout; clean sentences are added with N throughout. aligned: align_revisions'
     rows with ``sent``, a number of the row within its pair.
     """
-    return labelled_sentences(aligned).select("pair_id", "sent", F.posexplode("words").alias("pos", "w")).select("pair_id", "sent", "pos", "w.token", "w.label")
+    rows = labelled_sentences(aligned).select("pair_id", "sent", "labels", F.posexplode("words").alias("pos", "token"))
+    return rows.select("pair_id", "sent", "pos", "token", F.get("labels", F.col("pos")).alias("label"))
 
 
 def label_counts(labelled: DataFrame, label: str = "label") -> DataFrame:
@@ -367,19 +372,22 @@ def label_counts(labelled: DataFrame, label: str = "label") -> DataFrame:
 def token_features(labelled: DataFrame, keys: tuple[str, ...] = ("pair_id", "sent")) -> DataFrame:
     """labelled (keys, pos, token) with lower, shape, is_alpha, is_digit, the neighbours and whether the sentence begins or ends.
 
-    labelled may have a row a sentence (keys, words), as ``labelled_sentences`` gives them: then a token's neighbours are in its own row, and
-    nothing is shuffled.
+    labelled may have a row a sentence (keys, words, labels), as ``labelled_sentences`` gives them: then a token's neighbours are in its own row,
+    and nothing is shuffled.
     """
     if "words" in labelled.columns:
-        near = F.transform("words", lambda x, i: F.struct(x.alias("w"), F.get("words", i - 1)["token"].alias("before"), F.get("words", i + 1)["token"].alias("after")))
-        labelled = labelled.select(*[c for c in labelled.columns if c != "words"], F.posexplode(near).alias("pos", "x")).select("*", "x.w.*", F.col("x.before").alias("__before"), F.col("x.after").alias("__after")).drop("x")
+        rows = labelled.select("*", F.posexplode("words").alias("pos", "token"))
+        near = [F.get("words", F.col("pos") + k).alias(c) for k, c in ((-1, "__before"), (1, "__after"))]
+        labelled = rows.select(*[c for c in labelled.columns if c not in ("words", "labels")], "pos", "token", F.get("labels", F.col("pos")).alias("label"), *near)
     else:
         w = Window.partitionBy(*keys).orderBy("pos")
         labelled = labelled.withColumns({"__before": F.lag("token").over(w), "__after": F.lead("token").over(w)})
     before, after = F.col("__before"), F.col("__after")
+    plain = F.col("token").rlike("^[a-z]+\\z")  # most tokens; the rest is dearer
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
+    shape = F.when(plain, F.repeat(F.lit("x"), F.length("token"))).otherwise(shape)
     return labelled.withColumns(
-        {"lower": F.lower("token"), "shape": shape, "is_alpha": F.col("token").rlike("^\\p{L}+$"), "is_digit": F.col("token").rlike("^\\p{Nd}+$"), "previous": F.lower(before), "next": F.lower(after), "bos": before.isNull(), "eos": after.isNull()}
+        {"lower": F.lower("token"), "shape": shape, "is_alpha": plain | F.col("token").rlike("^\\p{L}+$"), "is_digit": ~plain & F.col("token").rlike("^\\p{Nd}+$"), "previous": F.lower(before), "next": F.lower(after), "bos": before.isNull(), "eos": after.isNull()}
     ).drop("__before", "__after")
 
 

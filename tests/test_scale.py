@@ -214,3 +214,15 @@ def test_references_that_a_heading_cuts_are_read_as_in_sql(spark, sf_dir, tmp_pa
     pages.to_parquet(tmp_path / "pages.parquet")
     docs.to_parquet(tmp_path / "documents.parquet")
     assert rows_of(catalog.queries()[name](spark, str(tmp_path))) == duck(catalog.oracle_sql()[name], str(tmp_path))
+
+
+def test_token_features_are_counted_by_document_in_one_stage(spark, sf_dir):
+    plan = plan_of(catalog.queries()["token_features"](spark, sf_dir))
+    # documents are dealt once; labels, which aren't counted, are not looked for
+    assert plan.count("Exchange") == 1 and "Expand" not in plan and "EvalPython" not in plan
+    odd = ["abc", "abc\n", "", "Abc", "été", "ÉTÉ", "x2", "٣", "a_b", "ß", "ªb", "á", ".", "12", None]
+    rows = spark.createDataFrame([(1, i, odd[i], "N") for i in range(len(odd))], "pair_id int, pos int, token string, label string")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
+    f = V.token_features(rows, ("pair_id",))
+    for c, want in (("shape", shape), ("is_alpha", F.col("token").rlike("^\\p{L}+$")), ("is_digit", F.col("token").rlike("^\\p{Nd}+$"))):
+        assert f.where(~F.col(c).eqNullSafe(want)).count() == 0, c
