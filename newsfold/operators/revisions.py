@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -394,23 +395,42 @@ def token_features(labelled: DataFrame, keys: tuple[str, ...] = ("pair_id", "sen
 FEATURES = ["lower", "shape", "is_alpha", "is_digit", "previous", "next", "bos", "eos"]
 
 
+def counted_features(features: DataFrame) -> DataFrame:
+    """(label, FEATURES, n), written: equal rows of ``token_features`` as one, with their number."""
+    return written(features.groupBy("label", *FEATURES).agg(F.count(F.lit(1)).alias("n")))
+
+
 def fit_token_classifier(features: DataFrame, size: int = 1 << 14, rounds: int = 20) -> PipelineModel:
-    """A logistic model of the labels V and N over hashed token features. model.write() saves, PipelineModel.load() loads."""
-    data = features.fillna("", ["previous", "next"])
-    steps = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), FeatureHasher(inputCols=FEATURES, outputCol="features", numFeatures=size, categoricalCols=["is_alpha", "is_digit", "bos", "eos"]), LogisticRegression(labelCol="y", featuresCol="features", maxIter=rounds, regParam=0.001)]
-    return Pipeline(stages=steps).fit(data)
+    """A logistic model of the labels V and N over hashed token features. model.write() saves, PipelineModel.load() loads.
+
+    The model weighs a row of ``counted_features`` by its number, so it holds distinct rows only; their features are computed and hashed once.
+    """
+    data = counted_features(features.fillna("", ["previous", "next"]))
+    steps = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), FeatureHasher(inputCols=FEATURES, outputCol="features", numFeatures=size, categoricalCols=["is_alpha", "is_digit", "bos", "eos"])]
+    hashing = Pipeline(stages=steps).fit(data)
+    vectors = written(hashing.transform(data).select("label", "n", "y", "features"))
+    model = LogisticRegression(labelCol="y", featuresCol="features", weightCol="n", maxIter=rounds, regParam=0.001).fit(vectors)
+    return PipelineModel([*hashing.stages, model])
+
+
+def _predicted(model: PipelineModel) -> Column:
+    names = F.array(*[F.lit(n) for n in model.stages[0].labels])
+    return F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted")
 
 
 def predict_tokens(model: PipelineModel, features: DataFrame) -> DataFrame:
     """features with ``predicted``."""
-    names = model.stages[0].labels
-    out = model.transform(features.fillna("", ["previous", "next"]))
-    return out.withColumn("predicted", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("prediction") + 1).cast("int"))).select(*features.columns, "predicted")
+    return model.transform(features.fillna("", ["previous", "next"])).select(*features.columns, _predicted(model))
+
+
+def predicted_in_training(model: PipelineModel) -> DataFrame:
+    """(label, n, predicted) of the rows that a model has just been fitted on, whose features aren't computed again."""
+    return model.stages[-1].summary.predictions.select("label", F.col("n").cast("long").alias("n"), _predicted(model))
 
 
-def classification_report(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """(label, precision, recall, f1, support), and as label 'weighted' the means by support."""
-    pairs = rows.groupBy(F.col(label).cast("string").alias("l"), F.col(predicted).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def classification_report(rows: DataFrame, label: str = "label", predicted: str = "predicted", n: str | None = None) -> DataFrame:
+    """(label, precision, recall, f1, support), and as label 'weighted' the means by support. n: a column that says how many rows a row stands for."""
+    pairs = rows.groupBy(F.col(label).cast("string").alias("l"), F.col(predicted).cast("string").alias("p")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
     own = pairs.groupBy(F.col("l").alias("label")).agg(F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("l") == F.col("p"), F.col("n"))), F.lit(0)).alias("hit"))
     said = pairs.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("said"))
     r = own.join(said, "label", "left")

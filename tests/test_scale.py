@@ -226,3 +226,26 @@ def test_token_features_are_counted_by_document_in_one_stage(spark, sf_dir):
     f = V.token_features(rows, ("pair_id",))
     for c, want in (("shape", shape), ("is_alpha", F.col("token").rlike("^\\p{L}+$")), ("is_digit", F.col("token").rlike("^\\p{Nd}+$"))):
         assert f.where(~F.col(c).eqNullSafe(want)).count() == 0, c
+
+
+def test_token_classifier_holds_distinct_rows_and_learns_as_from_all(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = random.Random(11)
+    words = ["a", "bee", "XX", "Été", "7", "c1", "."]
+    rows = [(i, 0, p, rng.choice(words)) for i in range(400) for p in range(rng.randint(1, 5))]
+    rows = [(*r, "V" if (r[3] in ("XX", "7")) ^ (rng.random() < 0.1) else "N") for r in rows]
+    f = V.token_features(spark.createDataFrame(rows, "pair_id long, sent int, pos int, token string, label string")).cache()
+    model = V.fit_token_classifier(f)
+    seen = V.predicted_in_training(model)
+    assert dict(seen.dtypes)["n"] == "bigint" and seen.count() == f.select("label", *V.FEATURES).distinct().count() < f.count()
+    # equal rows, counted, give the model of all rows, but that a variance is divided by n less the mean count instead of n - 1
+    plain = Pipeline(stages=[*model.stages[:2], LogisticRegression(labelCol="y", featuresCol="features", maxIter=20, regParam=0.001)]).fit(f.fillna("", ["previous", "next"]))
+    assert model.stages[-1].coefficients.toArray() == pytest.approx(plain.stages[-1].coefficients.toArray(), abs=0.02)
+    alike = V.predict_tokens(model, f).groupBy("label", "predicted").count().collect()
+    assert sorted(alike) == sorted(V.predict_tokens(plain, f).groupBy("label", "predicted").count().collect())
+    assert sorted(alike) == sorted(seen.groupBy("label", "predicted").agg(F.sum("n")).collect())
+    report = V.classification_report(seen, n="n")
+    assert report.schema == V.classification_report(V.predict_tokens(model, f)).schema
+    assert sorted(report.collect()) == sorted(V.classification_report(V.predict_tokens(model, f)).collect())
